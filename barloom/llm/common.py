@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +68,21 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, nothing else changed."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Shared:
+    """A broadcast value, and what Python workers build from it: once for each worker, not for each task."""
+
+    built: dict[str, Any] = {}
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def get(self, build: Callable[[Any], Any], name: str = "") -> Any:
+        """``build(value)``; the worker keeps the last four."""
+        key = self.key + name
+        if key not in Shared.built:
+            while len(Shared.built) >= 4:
+                del Shared.built[next(iter(Shared.built))]
+            Shared.built[key] = build(self.sent.value)
+        return Shared.built[key]

@@ -10,16 +10,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slices
+from barloom.llm.common import Shared, slices
 
 #: Each byte of UTF-8: letters lower-cased, digits and bytes of other characters kept, the rest blank.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -61,29 +59,14 @@ class Automaton:
         return len(found), sorted(hit), items
 
 
-@lru_cache(2)
-def _automaton(key: int, width: int) -> Automaton:
-    return Automaton(_SHARDS[key].value, width)
-
-
-_SHARDS: dict[int, Broadcast] = {}
-
-
-def automaton(shard: Broadcast, width: int) -> Automaton:
-    """One for each Python worker and shard."""
-    key = hash(shard._jbroadcast.id()) if shard._jbroadcast is not None else id(shard.value)
-    _SHARDS[key] = shard
-    return _automaton(key, width)
-
-
-def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[Broadcast]:
+def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[Shared]:
     """The items, broadcast in shards of about ``max_bytes`` of text each, one shard at least."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-total // max_bytes))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([tuple(r) for r in dealt.where(F.col("shard") == k).select("item", "text").collect()]) for k in range(n)]
+    spark = benchmark.sparkSession
+    return [Shared(spark, [tuple(r) for r in dealt.where(F.col("shard") == k).select("item", "text").collect()]) for k in range(n)]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_bytes: int = 8 << 20) -> DataFrame:
@@ -102,9 +85,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     parts = shards(benchmark, item_col, item_text_col, max_bytes)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), (F.sha2(F.col(text_col), 256) if len(parts) > 1 else F.lit("")).alias("_text"))
 
-    def scan(shard: Broadcast) -> DataFrame:
+    def scan(shard: Shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = automaton(shard, width)
+            finder = shard.get(lambda items: Automaton(items, width), str(width))
             for batch in slices(batches):
                 n_words, hits, items = [], [], []
                 for text in batch.column(1).to_pylist():
@@ -156,7 +139,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             hits: list[set[int]] = [set() for _ in texts]
             counts = [0] * len(texts)
             for part in parts:
-                finder = automaton(part, width)
+                finder = part.get(lambda items: Automaton(items, width), str(width))
                 for k, text in enumerate(texts):
                     counts[k], hit, _ = finder.scan(text)
                     hits[k].update(hit)

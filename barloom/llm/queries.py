@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, decontaminate, exact_dedup, minhash, warc
+from barloom.llm import bpe, decontaminate, exact_dedup, minhash, quality, warc
 from barloom.llm.common import table
 
 
@@ -21,6 +21,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the documents that are labelled as good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").selectExpr("doc_id as _trusted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
     "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
