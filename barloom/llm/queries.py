@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import bpe, decontaminate, exact_dedup, minhash, quality, toxicity, warc
+from barloom.llm import bpe, decontaminate, exact_dedup, extract, minhash, quality, toxicity, warc
 from barloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), full=False)
 
 
+def op10_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_extract": op10_extract,
 }
 
 ORACLE_SQL: dict[str, str] = {
