@@ -126,7 +126,7 @@ def overlap(patterns: DataFrame, state: DataFrame, flags: list[str], first: int
     active = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in flags])))
     used = [r[0] for r in patterns.select("variable").where(F.col("variable").isin(flags)).distinct().collect()]  # at most the flags
     both = F.array_sort(F.array_intersect(active, F.lit(used) if used else F.array().cast("array<string>")))
-    return state.select(F.size(active).alias("n_active"), F.size(both).alias("n_overlap"), F.slice(both, 1, first).alias("first"))
+    return state.select(*[c for c in ("symbol",) if c in state.columns], F.size(active).alias("n_active"), F.size(both).alias("n_overlap"), F.slice(both, 1, first).alias("first"))
 
 
 def summary(patterns: DataFrame) -> DataFrame:

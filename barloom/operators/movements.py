@@ -130,7 +130,7 @@ def snapshots(moves: DataFrame, states: DataFrame, columns: list[str]) -> DataFr
 
     ``states``: symbol, ts and ``columns``.  Both ends are looked up in one pass; an open movement has no end.
     """
-    ends = moves.select("symbol", "tf", "mov_id", F.explode(F.array(F.struct(F.lit("start").alias("_at"), F.col("timestamp_inicio").alias("_ts")), F.struct(F.lit("end"), F.col("timestamp_fin")))).alias("_e"))
+    ends = moves.select("symbol", "tf", "mov_id", F.explode(F.array(F.struct(F.lit("start").alias("_at"), F.col("timestamp_inicio").alias("_ts")), F.struct(F.lit("end").alias("_at"), F.col("timestamp_fin").alias("_ts")))).alias("_e"))
     ends = ends.select("symbol", "tf", "mov_id", "_e.*").where("_ts is not null").withColumnRenamed("_ts", "_probe")
     found = asof(ends, states, ["symbol"], "_probe", "ts", columns, "_state")
     side = lambda s: F.max(F.when(F.col("_at") == s, F.col("_state"))).alias(f"at_{s}")
