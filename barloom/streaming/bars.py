@@ -21,10 +21,10 @@ def stream_bars(ticks: DataFrame, tf: str, delay: str = "10 minutes") -> DataFra
 
     As in batch a bar labelled T covers (T - width, T].  Ticks later than ``delay`` are dropped, repeated ones count once.
     """
-    unique = ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["symbol", "seq"])
-    shifted = unique.withColumn("_w", F.col("ts") - F.expr("interval 1 microsecond"))
+    shifted = ticks.withColumn("_w", F.col("ts") - F.expr("interval 1 microsecond")).withWatermark("_w", delay)
+    unique = shifted.dropDuplicatesWithinWatermark(["symbol", "seq"])
     order = F.struct("ts", "seq")
-    grouped = shifted.withWatermark("_w", delay).groupBy("symbol", F.window("_w", f"{MINUTES[tf]} minutes").alias("_win"))
+    grouped = unique.groupBy("symbol", F.window("_w", f"{MINUTES[tf]} minutes").alias("_win"))
     bars = grouped.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.sum("volume").alias("volume"))
     return bars.select("symbol", F.lit(tf).alias("tf"), F.col("_win.end").alias("ts"), "open", "high", "low", "close", "volume")
 

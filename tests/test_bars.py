@@ -193,7 +193,7 @@ def test_machine_rules():
 
 
 def test_movement_open_at_the_end(spark):
-    df = make(spark, [10.0] * 5).withColumns({"bos_event": F.when(F.col("ts") == F.lit(T0), "BOS_BULL").otherwise("NONE"), "choch_event": F.lit("NONE")})
+    df = make(spark, [10.0] * 5, spread=0.0).withColumns({"bos_event": F.when(F.col("ts") == F.lit(T0), "BOS_BULL").otherwise("NONE"), "choch_event": F.lit("NONE")})
     assert [(r.cierre_tipo, r.duracion_barras) for r in movements.movements(df).collect()] == [("FIN_DATOS", 5)]
 
 
