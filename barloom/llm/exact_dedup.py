@@ -31,12 +31,27 @@ def _slots(key: Column, bits: int) -> list[Column]:
 def repeated_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
     """(word, bits): 64 slots a row; a bit is set where two rows or more fall into its slot."""
     slots = keys.select(F.explode(F.array(*_slots(F.col(key), bits))).alias("slot"))
-    twice = slots.groupBy("slot").count().where("count >= 2")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+    return _words(slots.groupBy("slot").count().where("count >= 2"))
+
+
+def _words(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
     )
 
 
+def split_by(rows: DataFrame, key: str, wanted: DataFrame, bits_per_row: int = 16, max_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is certainly not in the one column of ``wanted``, rows where it may be), nothing shuffled.
+
+    The Bloom filter is broadcast up to ``max_words`` words; beyond that it is joined by a shuffle.
+    """
+    keys = wanted.toDF("_wanted")
+    bits = max(1 << 10, 1 << (bits_per_row * max(1, keys.count()) // 2).bit_length())
+    words = checkpoint(_words(keys.select(F.explode(F.array(*_slots(F.col("_wanted"), bits))).alias("slot")).distinct()))
+    marked = probe(rows, words, key, bits, words.count() <= max_words)
+    return marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
+
+
 def probe(rows: DataFrame, words: DataFrame, key: str, bits: int, small: bool) -> DataFrame:
     """``rows`` with ``_maybe``: false only for rows whose key certainly occurs once."""
     hit = F.lit(True)

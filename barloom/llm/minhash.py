@@ -8,10 +8,10 @@
    threshold; a pair is pruned once that probability is below ``miss``.
 4. Surviving pairs are verified exactly on the full sets, and verified links join components.
 
-No bucket emits all its pairs.  The first round compares each member with the first of its bucket
-only.  Later rounds look at pairs whose components still differ; each member names its best few
-partners, the number of which grows fourfold with each round, until no untested pair is left.
-Members of large buckets are dealt to a grid of blocks, so no task holds a whole one.
+No bucket emits its pairs.  A first round compares each member with the first of its bucket only;
+that joins most copies.  The second looks at all pairs of a bucket whose components still differ,
+verifies survivors within the task and gives out only links that join components.  Members of large
+buckets are dealt to a grid of blocks, so no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from barloom.llm.common import checkpoint, join_counted, slices
+from barloom.llm.exact_dedup import split_by
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD_BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -126,13 +128,13 @@ def bucket_members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return keys.join(shared, "key").join(classes.select("cls", "sig"), "cls").select("key", "cls", "sig", "n")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], target: int = 30_000) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], target: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups (equal key and cell) from rows sorted by group."""
     held: list[pa.Table] = []
     size = 0
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
-        size += batch.num_rows
+        size += batch.nbytes
         if size < target:
             continue
         table = pa.concat_tables(held).combine_chunks()
@@ -144,9 +146,10 @@ def _groups(batches: Iterator[pa.RecordBatch], target: int = 30_000) -> Iterator
             at -= 1
         if at:
             yield table.slice(0, at)
-        held, size = [table.slice(at)], table.num_rows - at
+        held = [table.slice(at)]
+        size = held[0].nbytes
         target = max(target, 2 * size)
-    if size:
+    if held:
         yield pa.concat_tables(held).combine_chunks()
 
 
@@ -212,30 +215,46 @@ def star_candidates(members: DataFrame, comparer: Comparer) -> DataFrame:
     return dealt.mapInArrow(run, "x binary, y binary").distinct()
 
 
-def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs, those that are among the best few of either member."""
-    one, two = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((two, -np.concatenate([score, score]), one))
-    one = one[order]
-    rank = np.arange(len(one)) - np.searchsorted(one, one)
-    kept = np.unique(order[rank < partners] % len(a))
-    return a[kept], b[kept], score[kept]
+def class_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(cls, set): the sorted shingle hashes of each class; texts whose set has another name are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [(c, shingle_hashes(t, width)) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = [(c, s.tobytes()) for c, s in found if set_name(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["cls", "set"])
+
+    return texts.select("cls", "_t").mapInArrow(run, "cls binary, set binary").dropDuplicates(["cls"])
+
+
+class _Union:
+    """Components by union of numbers."""
 
-def cross_candidates(members: DataFrame, comparer: Comparer, partners: int, block: int) -> DataFrame:
-    """(x, y): pairs of one bucket with different components that survive and are not in ``tried``.
+    def __init__(self, n: int):
+        self.parent = list(range(n))
 
-    ``members``: key, cls, sig, n, comp (the component so far), tried (array of classes already
-    compared exactly).  A pair counts in the first bucket that it shares.  Each member names at most
-    ``partners`` others in a bucket.  A bucket with more than ``block`` members is dealt to a grid of
-    block pairs.
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+
+def cross_links(members: DataFrame, comparer: Comparer, percent: int, block: int) -> DataFrame:
+    """(x, y): links between different components, enough of them to join all that are linked.
+
+    ``members``: key, cls, sig, set, n, comp (the component so far).  Every pair of one bucket with
+    different components is compared by signature in the first bucket that it shares, and on its full
+    sets if it survives, unless links found before it in the task join its components already.  Only
+    links are given out, fewer than there are members.  A bucket with more than ``block`` members is
+    dealt to a grid of block pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             comp = np.unique(np.array(table["comp"].to_pylist(), "S33"), return_inverse=True)[1]
-            keys = table["key"].to_pylist()
-            group = np.cumsum([0] + [keys[i] != keys[i - 1] or c != d for i, (c, d) in enumerate(zip(table["cell"].to_pylist()[1:], table["cell"].to_pylist()), 1)])
+            keys, cells = table["key"].to_pylist(), table["cell"].to_pylist()
+            group = np.cumsum([0] + [keys[i] != keys[i - 1] or cells[i] != cells[i - 1] for i in range(1, len(keys))])
             mixed = np.bincount(group, comp != comp[np.searchsorted(group, group)]) > 0
             rows = np.flatnonzero(mixed[group])
             if not len(rows):
@@ -244,27 +263,37 @@ def cross_candidates(members: DataFrame, comparer: Comparer, partners: int, bloc
             cell, part = np.array(table["cell"].to_pylist()), np.array(table["part"].to_pylist())
             band = np.array([int.from_bytes(k[:2], "big") for k in table["key"].to_pylist()])
             sig = _matrix(table["sig"], comparer.n)
-            tried = {(i, t) for i, ts in enumerate(table["tried"].to_pylist()) if ts for t in ts}
-            names = table["cls"].to_pylist() if tried else []
-            found: list[tuple[np.ndarray, ...]] = []
+            sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            joined = _Union(int(comp.max()) + 1)
+            links: list[tuple[int, int]] = []
             pending: list[tuple[np.ndarray, np.ndarray]] = []
-            waiting = held = 0
+            waiting = 0
 
             def compare() -> None:
-                nonlocal waiting, held, found
+                nonlocal waiting
                 a, b = (np.concatenate(x) for x in zip(*pending))
                 pending.clear()
                 waiting = 0
+                small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+                fits = 100 * small >= percent * large
+                a, b = a[fits], b[fits]
                 for at in range(0, len(a), 1 << 17):
                     x, y, m = comparer.survivors(sig, a[at : at + (1 << 17)], b[at : at + (1 << 17)])
-                    own = comparer.first_shared(sig, x, y) == band[x] if len(x) else np.zeros(0, bool)
-                    if tried:
-                        own &= np.array([(i, names[j]) not in tried for i, j in zip(x.tolist(), y.tolist())], bool)
-                    found.append((x[own], y[own], m[own]))
-                    held += int(own.sum())
-                if held > 1 << 20:
-                    found = [_best(*(np.concatenate(x) for x in zip(*found)), partners)]
-                    held = len(found[0][0])
+                    if not len(x):
+                        continue
+                    own = np.flatnonzero(comparer.first_shared(sig, x, y) == band[x])
+                    for k in own[np.argsort(-m[own], kind="stable")].tolist():
+                        i, j = int(x[k]), int(y[k])
+                        u, v = joined.find(int(comp[i])), joined.find(int(comp[j]))
+                        if u == v:
+                            continue
+                        s, t = sets[i], sets[j]
+                        place = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                        both = int((t[place] == s).sum())
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            joined.parent[max(u, v)] = min(u, v)
+                            links.append((i, j))
 
             size = np.bincount(group)
             place = np.arange(len(group)) - np.searchsorted(group, group)
@@ -280,20 +309,27 @@ def cross_candidates(members: DataFrame, comparer: Comparer, partners: int, bloc
                     compare()
             if pending:
                 compare()
-            if held:
-                a, b, _ = _best(*(np.concatenate(x) for x in zip(*found)), partners)
-                yield from _emit(table, a, b)
+            if links:
+                yield from _emit(table, *(np.array(x) for x in zip(*links)))
 
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
     # a block is paired with each other one; pairs within a block are compared in a cell of their own, numbered -1 - block
     cells = F.expr("case when _blocks = 1 then array(-1) else concat(array(-1 - part), transform(filter(sequence(0, _blocks - 1), o -> o != part), o -> least(part, o) * _blocks + greatest(part, o))) end")
     dealt = members.withColumn("_blocks", blocks).withColumn("part", part).withColumn("cell", F.explode(cells))
-    dealt = dealt.select("key", "cell", "part", "cls", "sig", "comp", "tried").repartition("key", "cell").sortWithinPartitions("key", "cell", "cls")
+    dealt = dealt.select("key", "cell", "part", "cls", "sig", "set", "comp").repartition("key", "cell").sortWithinPartitions("key", "cell", "cls")
     return dealt.mapInArrow(run, "x binary, y binary").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def member_texts(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, _t): a text of each class that shares a bucket.  A Bloom filter of ids keeps all other texts from being shuffled."""
+    wanted = checkpoint(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+    source = split_by(source, "_id", wanted.select("rep"))[1]
+    return wanted.join(source, F.col("rep").eqNullSafe(F.col("_id"))).select("cls", "_t")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(x, y, linked): the pairs compared exactly; linked where 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,9 +348,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.bool_())], ["x", "y", "linked"]
             )
 
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    texts = nodes.join(source, F.col("rep").eqNullSafe(F.col("_id"))).select("cls", "_t")
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
+    texts = split_by(texts, "cls", nodes)[1]
     one, two = texts.select(F.col("cls").alias("x"), F.col("_t").alias("s")), texts.select(F.col("cls").alias("y"), F.col("_t").alias("t"))
     both = pairs.join(one, "x").join(two, "y").select("x", "y", "s", "t")
     return both.mapInArrow(run, "x binary, y binary, linked boolean").distinct()
@@ -341,7 +376,7 @@ def components(links: DataFrame, low: str = "x", high: str = "y") -> DataFrame:
         seen = state
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 5, miss: float = 1e-6, partners: int = 4, block: int = 4096) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 5, miss: float = 1e-6, block: int = 2048) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``width``-word
@@ -354,31 +389,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A link at similarity s is missed in candidate search with probability
     (1 - s ** ``rows``) ** ``bands`` (7e-9 at 0.85), in pruning with about ``miss``.
     """
+    found = _grouped(docs.select(id_col, text_col), id_col, text_col, percent, width, bands, rows, miss, block)
+    return found.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, bands: int, rows: int, miss: float, block: int) -> DataFrame:
+    """(_id, n_shingles, cls, component_id), one row per row of ``docs``."""
     comparer = Comparer(bands, rows, percent / 100, miss)
-    docs = docs.select(id_col, text_col)
     sketch = checkpoint(sketches(docs, id_col, text_col, width, bands, rows))
     classes = checkpoint(
         sketch.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"))
     )
     members = checkpoint(bucket_members(classes, bands, rows))
 
-    compared = checkpoint(verified(star_candidates(members, comparer), classes, docs, id_col, text_col, width, percent))
-    links, comp = compared.where("linked"), None
-    while True:
-        comp = components(links) if comp is None or links.limit(1).count() else comp
-        tried = compared.where("not linked").select("x", "y")
-        tried = tried.unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy(F.col("x").alias("cls")).agg(F.collect_set("y").alias("tried"))
-        state = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(tried, "cls", "left")
-        state = state.withColumn("comp", F.hex(F.coalesce("comp", "cls")))
-        pairs = checkpoint(cross_candidates(state, comparer, partners, block))
-        if not pairs.limit(1).count():
-            break
-        fresh = checkpoint(verified(pairs, classes, docs, id_col, text_col, width, percent))
-        compared = compared.unionByName(fresh)
-        links = compared.where("linked")
-        if not fresh.where("linked").limit(1).count():
-            links = links.limit(0)
-        partners *= 4
+    texts = checkpoint(member_texts(members, classes, docs, id_col, text_col))
+    compared = checkpoint(verified(checkpoint(star_candidates(members, comparer)), texts, width, percent))
+    links = compared.where("linked").select("x", "y")
+    comp = components(links)
+    # only buckets whose members are not all in one component yet are looked at again, with full sets
+    state = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.hex(F.coalesce("comp", "cls")))
+    state = checkpoint(state)
+    undecided = state.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a != _b").select("key")
+    state = state.join(undecided, "key").join(class_sets(texts, width), "cls")
+    more = checkpoint(cross_links(state, comparer, percent, block))
+    if more.limit(1).count():
+        comp = components(links.unionByName(more))
 
     named = classes.join(comp, classes["cls"] == comp["node"], "left").select(classes["cls"], "rep", "size", F.coalesce("comp", classes["cls"]).alias("comp"))
     named = checkpoint(named)
@@ -386,17 +421,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = named.join(least, "comp", "left").select("cls", "size", F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least")).alias("least"), "comp", "rep")
     roots = named.where("cls = comp").select("comp", F.col("rep").alias("root"))
     whole = checkpoint(whole.join(roots, "comp").select("cls", "size", F.least("least", "root").alias("component_id")))
-    alone = sketch.where("cls is null").select("_id", "n_shingles", F.col("_id").alias("component_id"))
+    alone = sketch.where("cls is null").select("_id", "n_shingles", "cls", F.col("_id").alias("component_id"))
     rest = join_counted(sketch.where("cls is not null").select("_id", "n_shingles", "cls"), whole, "cls", "size", sketch.count())
-    found = alone.unionByName(rest.select("_id", "n_shingles", "component_id"))
-    return found.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return alone.unionByName(rest.select("_id", "n_shingles", "cls", "component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 5, miss: float = 1e-6, block: int = 2048
+) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of near copies, the document with the smallest id.
 
-    Rules as for :func:`near_groups`; columns stay as they are; repeated rows of a kept id all stay.
+    Rules as for :func:`near_groups`; columns stay as they are; repeated rows of a kept id all stay, as
+    do rows without an id where no other id is in their component.  Only rows that a Bloom filter of
+    dropped ids lets through are shuffled.
     """
-    gone = checkpoint(near_groups(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone")).distinct())
-    packed = docs.select(F.col(id_col).alias("_id0"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return packed.join(gone, F.col("_id0").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    packed = docs.select(F.col(id_col).alias("_id0"), F.col(text_col).cast("string").alias("_t0"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    found = _grouped(packed.select("_id0", "_t0"), "_id0", "_t0", percent, width, bands, rows, miss, block)
+    gone = checkpoint(found.where(~F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("_gone"), F.col("cls").alias("_cls")).distinct())
+    safe, maybe = split_by(packed, "_id0", gone.select("_gone"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_hashes(t, width) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary()), batch.column(2)], ["_id0", "_name", "_row"])
+
+    # an id may have several texts, so the text's set is asked as well
+    kinds = {f.name: f.dataType for f in packed.schema.fields}
+    schema = StructType([StructField("_id0", kinds["_id0"]), StructField("_name", BinaryType()), StructField("_row", kinds["_row"])])
+    maybe = maybe.select("_id0", "_t0", "_row").mapInArrow(named, schema)
+    maybe = maybe.join(gone, F.col("_id0").eqNullSafe(F.col("_gone")) & (F.col("_name") == F.col("_cls")), "left_anti")
+    return safe.select("_row.*").unionByName(maybe.select("_row.*"))
