@@ -68,6 +68,8 @@ class WordBPE:
     """BPE over lower-cased words with an end-of-word mark; white space is dropped.
 
     Decoding joins token strings with one space, as a vocabulary file without a decoder says.
+    Code points that no Unicode version up to 15.1 assigns may be classed otherwise than by the
+    vocabulary's own library.
     """
 
     #: Texts below this character take a pattern with its classes written out.

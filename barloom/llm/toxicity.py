@@ -163,6 +163,7 @@ def learn(rows: DataFrame, max_rows: int = 20_000, support: int = 5, least_weigh
     An entry needs ``support`` toxic rows, a log ratio of its shares in toxic and clean rows of
     ``least_weight`` and a ratio to its standard error of ``least_z``.  Exception phrases are an entry's
     word with the word before or after it, where they occur in ``support`` rows and mostly in clean ones.
+    Without rows of both labels every score is that of the one label there is, clean if there is none.
     """
     rows = rows.where("toxic in (0, 1)")
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -216,8 +217,8 @@ def learn(rows: DataFrame, max_rows: int = 20_000, support: int = 5, least_weigh
         # the two labels weigh the same
         weigh = np.array([r["count"] * 0.5 * (toxic + clean) / (toxic if r["toxic"] else clean) for r in grid])
         curve = _logistic(x, np.array([r["toxic"] for r in grid], float), weigh).tolist()
-    elif clean:
-        curve = [-5.0, 0.0, 0.0]
+    else:  # one label or none to learn from
+        curve = [5.0 if toxic else -5.0, 0.0, 0.0]
     return {"weights": weights, "exceptions": exceptions, "curve": curve}
 
 
