@@ -47,9 +47,9 @@ def outcomes(moves: DataFrame, bars: DataFrame, bucket_seconds: int = 86_400) ->
     return done.withColumn("ratio_mfe_mae", F.when(F.col("mae_pct") > 0, F.col("mfe_pct") / F.col("mae_pct")))
 
 
-def by_timeframe(rows: DataFrame) -> DataFrame:
+def by_timeframe(rows: DataFrame, digits: int = 4) -> DataFrame:
     return rows.groupBy("tf", "direccion").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("magnitud_pct"), 4).alias("magnitud_media"), F.round(F.avg("mfe_pct"), 4).alias("mfe_media"), F.round(F.avg("mae_pct"), 4).alias("mae_media")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("magnitud_pct"), digits).alias("magnitud_media"), F.round(F.avg("mfe_pct"), digits).alias("mfe_media"), F.round(F.avg("mae_pct"), digits).alias("mae_media")
     )
 
 

@@ -269,7 +269,7 @@ FLAGGED = f"""fl AS MATERIALIZED (SELECT *, {flag('close > open')} AS above_open
 OUTCOMES = f"""{LINKED_BARS}, {excursion(_1H)}, {REBOUND}, {ALIGNED}, {FLAGGED},
     o0 AS MATERIALIZED (SELECT linked.*, round_even(mfe_pct, 4) AS mfe_pct, round_even(mae_pct, 4) AS mae_pct, fib_agotamiento, rebote_fib, alineamiento_3tf, lead(duracion_barras) OVER (PARTITION BY symbol, tf ORDER BY timestamp_inicio, mov_id) AS nb
         FROM linked JOIN exc USING (mov_id) JOIN reb USING (mov_id) JOIN ali USING (mov_id))"""
-ORACLE["outcomes_by_tf_dir"] = f"{OUTCOMES} SELECT tf, direccion, count(*) AS n, round(avg(magnitud_pct), 4) AS magnitud_media, round(avg(mfe_pct), 4) AS mfe_media, round(avg(mae_pct), 4) AS mae_media FROM o0 GROUP BY 1, 2"
+ORACLE["outcomes_by_tf_dir"] = f"{OUTCOMES} SELECT tf, direccion, count(*) AS n, round(avg(magnitud_pct), 7) AS magnitud_media, round(avg(mfe_pct), 7) AS mfe_media, round(avg(mae_pct), 7) AS mae_media FROM o0 GROUP BY 1, 2"
 ORACLE["outcome_mismatches"] = f"{OUTCOMES} SELECT mov_id, fib_agotamiento FROM o0 WHERE false"
 STATED = f"""{OUTCOMES}, o1 AS MATERIALIZED (SELECT o0.*, CASE WHEN nb IS NULL THEN 'ULTIMO' WHEN nb >= duracion_barras THEN 'CONTINUACION' ELSE 'REVERSION' END AS continuacion, s.above_open, s.above_prev, s.long_range, s.upper_half
         FROM o0 ASOF LEFT JOIN (SELECT * FROM fl WHERE tf = '1H') s ON o0.symbol = s.symbol AND o0.timestamp_inicio > s.ts),
@@ -342,7 +342,7 @@ def forward(h: int) -> str:
 
 
 FORWARD = f"fw AS MATERIALIZED (SELECT *, {', '.join(forward(h) for h in (30, 60, 120))} FROM fl)"
-ORACLE["forward_returns"] = f"WITH {bars('e', '1H')}, {FLAGGED}, {FORWARD} SELECT symbol, ts, {', '.join(f'round({p}_{h}, 4) AS {p}_{h}' for h in (30, 60, 120) for p in ('ret', 'mae', 'mfe'))} FROM fw"
+ORACLE["forward_returns"] = f"WITH {bars('e', '1H')}, {FLAGGED}, {FORWARD} SELECT symbol, ts, {', '.join(f'{p}_{h}' for h in (30, 60, 120) for p in ('ret', 'mae', 'mfe'))} FROM fw"
 _UNI = ", ".join(f"round(avg((ret_{h} > 0)::INT), 4) AS wl{h}, round(avg((ret_{h} < 0)::INT), 4) AS ws{h}" for h in (30, 60, 120))
 _BEST = f"greatest({', '.join(f'{s}{h}' for h in (30, 60, 120) for s in ('wl', 'ws'))})"
 ORACLE["univariate_edge"] = f"""WITH {bars('e', '1H')}, {FLAGGED}, {FORWARD}, u AS ({' UNION ALL '.join(f"SELECT *, '{f}' AS variable FROM fw WHERE {f} = 1" for f in FLAGS)}), g AS (SELECT variable, count(*) AS n, {_UNI} FROM u GROUP BY 1)

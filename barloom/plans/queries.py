@@ -287,7 +287,7 @@ def movement_machine(spark, sf_dir):
 
 @query
 def outcomes_by_tf_dir(spark, sf_dir):
-    return outcomes.by_timeframe(leg_outcomes(spark, sf_dir))
+    return outcomes.by_timeframe(leg_outcomes(spark, sf_dir), 7)
 
 
 @query
@@ -396,7 +396,7 @@ def pattern_key_stats(spark, sf_dir):
 @query
 def forward_returns(spark, sf_dir):
     df = signals.forward(events(spark, sf_dir, "1H"))
-    return df.select("symbol", "ts", *[F.round(f"{p}_{h}", 4).alias(f"{p}_{h}") for h in (30, 60, 120) for p in ("ret", "mae", "mfe")])
+    return df.select("symbol", "ts", *[f"{p}_{h}" for h in (30, 60, 120) for p in ("ret", "mae", "mfe")])
 
 
 @query
