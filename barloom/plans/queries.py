@@ -12,6 +12,7 @@ from barloom.functions import indicators as ind
 from barloom.functions.windows import KEYS, ewm, flag, rolling, series, with_position, with_run
 from barloom.operators import analysis, asof, hop, knn, mining, movements, outcomes, resample, signals, structure
 from barloom.sources import bars as sources
+from barloom.stored import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,7 +53,8 @@ def legs(bars: DataFrame) -> DataFrame:
 
 
 def linked_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return movements.link_parents(legs(events(spark, sf_dir, "1H", "4H", "1D")))
+    # several joins read these; they are computed once
+    return checkpoint(movements.link_parents(checkpoint(legs(events(spark, sf_dir, "1H", "4H", "1D")))))
 
 
 def leg_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +194,7 @@ def fib_confluence(spark, sf_dir):
 @query
 def indicator_census(spark, sf_dir):
     """All 142 indicator columns, as the sum of each flag for each series."""
-    df = ind.all_indicators(orders(spark, sf_dir))
+    df = ind.fib_levels(checkpoint(ind.ma_family(checkpoint(ind.stochastic(ind.macd(orders(spark, sf_dir)))))))
     return df.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ind.flag_columns(df)])
 
 
@@ -292,7 +294,7 @@ def outcomes_by_tf_dir(spark, sf_dir):
 
 @query
 def outcome_mismatches(spark, sf_dir):
-    return outcomes.mismatches(leg_outcomes(spark, sf_dir), events(spark, sf_dir, "1H")).select("mov_id", "fib_agotamiento")
+    return outcomes.mismatches(checkpoint(leg_outcomes(spark, sf_dir)), events(spark, sf_dir, "1H")).select("mov_id", "fib_agotamiento")
 
 
 FLAGS = ["above_open", "above_prev", "long_range", "upper_half"]
@@ -316,7 +318,7 @@ def stated_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     longer = F.lead("duracion_barras").over(w) >= F.col("duracion_barras")
     rows = rows.withColumn("continuacion", F.when(longer.isNull(), "ULTIMO").when(longer, "CONTINUACION").otherwise("REVERSION"))
     states = flagged(events(spark, sf_dir, "1H")).select("symbol", "ts", *FLAGS)
-    return asof.asof(rows, states, ["symbol"], "timestamp_inicio", "ts", FLAGS, "_s", strict=True).select("*", "_s.*").drop("_s", "ts")
+    return checkpoint(asof.asof(rows, states, ["symbol"], "timestamp_inicio", "ts", FLAGS, "_s", strict=True).select("*", "_s.*").drop("_s", "ts"))
 
 
 def rounded(df: DataFrame, names: list[str], digits: int = 4) -> DataFrame:
@@ -379,7 +381,7 @@ def top_k_patterns(spark, sf_dir):
 
 @query
 def histogram_moves(spark, sf_dir):
-    df = ind.macd(orders(spark, sf_dir))
+    df = checkpoint(ind.macd(orders(spark, sf_dir)))
     df = analysis.histogram_moves(df, long_exit=F.col("macd_hist_bars_falling") >= 5, short_exit=F.col("macd_hist_bars_rising") >= 5, least_bars=5, least_pct=10.0)
     return df.drop("tf")
 
