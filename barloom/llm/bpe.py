@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import slices
 
+#: Texts below this character take a pattern with its classes written out.
+PLAIN = 0x250
 #: Larger than any rank.
 NO_RANK = 1 << 40
 
@@ -59,7 +61,7 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _class(kind: str, below: int) -> str:
+def character_class(kind: str, below: int) -> str:
     """A class of the characters under ``below`` whose Unicode category starts with ``kind``."""
     return "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] == kind)
 
@@ -72,9 +74,6 @@ class WordBPE:
     vocabulary's own library.
     """
 
-    #: Texts below this character take a pattern with its classes written out.
-    PLAIN = 0x250
-
     def __init__(self, path: str, cache_size: int = 250_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -87,7 +86,7 @@ class WordBPE:
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        letters, numbers = _class("L", self.PLAIN), _class("N", self.PLAIN)
+        letters, numbers = character_class("L", PLAIN), character_class("N", PLAIN)
         self.plain = re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
         self.wide = regex.compile(f"{CONTRACTIONS}|[\\p{{L}}]+|[\\p{{N}}]|[^{WHITE}\\p{{L}}\\p{{N}}]+")
         self.letters = byte_letters()
@@ -100,7 +99,7 @@ class WordBPE:
             return self.plain.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # a final sigma is lower-cased as any other
-        return (self.plain if max(text, default="") < chr(self.PLAIN) else self.wide).findall(text)
+        return (self.plain if max(text, default="") < chr(PLAIN) else self.wide).findall(text)
 
     def encode_word(self, word: str) -> list[int]:
         units = [self.letters[b] for b in word.encode()]
@@ -146,9 +145,18 @@ class ByteBPE:
     def encode_piece(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        ranks = self.ranks
-        bounds = merge_parts(len(piece), lambda a, b, c: ranks.get(piece[a:c], NO_RANK))
-        return [ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
+        # merge_parts written out: here the two parts' bytes together are the key
+        rank = self.ranks.get
+        bounds = list(range(len(piece) + 1))
+        ranks = [rank(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while ranks and (least := min(ranks)) != NO_RANK:
+            at = ranks.index(least)
+            del bounds[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(piece[bounds[at] : bounds[at + 2]], NO_RANK)
+            if at:
+                ranks[at - 1] = rank(piece[bounds[at - 1] : bounds[at + 1]], NO_RANK)
+        return [self.ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")

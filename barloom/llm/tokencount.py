@@ -14,21 +14,32 @@ after something that is neither white space nor an apostrophe.
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.bpe import byte_bpe
+from barloom.llm.bpe import PLAIN, WHITE, byte_bpe, character_class
 from barloom.llm.common import slices
 
 # The pattern of the byte-level vocabulary.
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LETTERS, _NUMBERS = (character_class(kind, PLAIN) for kind in "LN")
+#: The same for texts below the character PLAIN, with the classes written out.
+_PLAIN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{WHITE}{_LETTERS}{_NUMBERS}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 Edit = tuple[int, int, str]
 
 
+def split(text: str) -> list[str]:
+    """The pre-tokens of a text."""
+    return (_PLAIN if text.isascii() or max(text) < chr(PLAIN) else PATTERN).findall(text)
+
+
 class PieceCounts(dict):
     """Numbers of tokens of pre-tokens; emptied when full."""
 
@@ -55,7 +66,7 @@ def piece_counts(path: str) -> PieceCounts:
 
 def count(text: str, counts: PieceCounts) -> int:
     """Tokens of a text, encoded whole."""
-    return sum(map(counts.__getitem__, PATTERN.findall(text)))
+    return sum(map(counts.__getitem__, split(text)))
 
 
 def _may_begin(before: str, piece: str) -> bool:
@@ -73,19 +84,21 @@ class CountTree:
         self._build()
 
     def _cut(self, text: str) -> list[tuple[str, int]]:
+        pieces = split(text)
+        if not pieces:
+            return []
+        self.encoded += len(pieces)
+        ends = list(accumulate(map(len, pieces)))
+        sums = [0, *accumulate(map(self.counts.__getitem__, pieces))]
         leaves: list[tuple[str, int]] = []
-        held: list[str] = []
-        tokens = size = 0
-        for piece in PATTERN.findall(text):
-            if size >= self.leaf_size and _may_begin(held[-1], piece):
-                leaves.append(("".join(held), tokens))
-                held, tokens, size = [], 0, 0
-            held.append(piece)
-            size += len(piece)
-            tokens += self.counts[piece]
-            self.encoded += 1
-        if held:
-            leaves.append(("".join(held), tokens))
+        first = start = 0
+        while first < len(pieces):
+            at = bisect_left(ends, start + self.leaf_size, first) + 1
+            while at < len(pieces) and not _may_begin(pieces[at - 1], pieces[at]):
+                at += 1
+            at = min(at, len(pieces))
+            leaves.append((text[start : ends[at - 1]], sums[at] - sums[first]))
+            first, start = at, ends[at - 1]
         return leaves
 
     def _build(self) -> None:
@@ -142,15 +155,14 @@ class CountTree:
             after = self.leaves[last + 1][0] if last + 1 < len(self.leaves) else ""
             if not after:
                 break
-            pieces = PATTERN.findall(changed + after[: self.leaf_size])
+            pieces = split(changed + after[: self.leaf_size])
             offset, before = 0, ""
             for piece in pieces:
                 if offset >= len(changed):
                     break
                 offset += len(piece)
                 before = piece
-            follows = PATTERN.match(after)
-            if changed and offset == len(changed) and _may_begin(before, follows.group()):
+            if changed and offset == len(changed) and _may_begin(before, split(after)[0]):
                 break
             last += 1
             changed += after
