@@ -74,7 +74,7 @@ class WordBPE:
     vocabulary's own library.
     """
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 100_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -196,6 +196,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 out["ids"] = pa.array([list(map(int, r[0].split())) for r in rows], pa.list_(pa.int32()))
                 out["decoded"] = pa.array([r[2] for r in rows], pa.string())
             yield pa.RecordBatch.from_pydict(out)
+        bpe.cache.clear()  # workers live on and have other work
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.stored import checkpoint, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) is a
-    folder made here.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut; lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +38,7 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``max_bytes``, one row at least."""
+    """The same rows in record batches of about ``max_bytes``, one row at least; Arrow's free memory goes back at the end."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -63,26 +46,22 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         step = max(1, int(n * max_bytes / max(batch.nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
-
-
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased, nothing else changed."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    pa.default_memory_pool().release_unused()
 
 
 class Shared:
     """A broadcast value, and what Python workers build from it: once for each worker, not for each task."""
 
-    built: dict[str, Any] = {}
+    built: dict[str, dict[str, Any]] = {}
 
     def __init__(self, spark: SparkSession, value: Any):
         self.key, self.sent = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
 
-    def get(self, build: Callable[[Any], Any], name: str = "") -> Any:
-        """``build(value)``; the worker keeps the last four."""
-        key = self.key + name
-        if key not in Shared.built:
-            while len(Shared.built) >= 4:
-                del Shared.built[next(iter(Shared.built))]
-            Shared.built[key] = build(self.sent.value)
-        return Shared.built[key]
+    def get(self, build: Callable[[Any], Any], name: str = "", keep: int = 2) -> Any:
+        """``build(value)``; of each name the worker keeps the last ``keep``."""
+        held = Shared.built.setdefault(name, {})
+        if self.key not in held:
+            while len(held) >= keep:
+                del held[next(iter(held))]
+            held[self.key] = build(self.sent.value)
+        return held[self.key]

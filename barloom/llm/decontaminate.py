@@ -14,6 +14,7 @@ from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
 
     def scan(shard: Shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = shard.get(lambda items: Automaton(items, width), str(width))
+            finder = shard.get(lambda items: Automaton(items, width), f"windows of {width}", 8)
             for batch in slices(batches):
                 n_words, hits, items = [], [], []
                 for text in batch.column(1).to_pylist():
@@ -131,24 +132,23 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     A benchmark of several shards is scanned shard by shard in the same task.
     """
-    parts = shards(benchmark, item_col, item_text_col, max_bytes)
+    parts, at = shards(benchmark, item_col, item_text_col, max_bytes), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(batch.schema.names.index("_text0")).to_pylist()
+            texts = pc.struct_field(batch.column(0), at).to_pylist()
             hits: list[set[int]] = [set() for _ in texts]
             counts = [0] * len(texts)
             for part in parts:
-                finder = part.get(lambda items: Automaton(items, width), str(width))
+                finder = part.get(lambda items: Automaton(items, width), f"windows of {width}", max(8, len(parts)))
                 for k, text in enumerate(texts):
                     counts[k], hit, _ = finder.scan(text)
                     hits[k].update(hit)
             clean = [not is_contaminated_counts(len(h), n) for h, n in zip(hits, counts)]
-            yield batch.filter(pa.array(clean)).select([0])
+            yield batch.filter(pa.array(clean, pa.bool_()))
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).cast("string").alias("_text0"))
-    schema = packed.select("_row").schema
-    return packed.mapInArrow(run, schema).select("_row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return packed.mapInArrow(run, packed.schema).select("_row.*")
 
 
 def is_contaminated_counts(n_hit: int, n_words: int, share: int = 20) -> bool:

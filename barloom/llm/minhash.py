@@ -40,7 +40,7 @@ class _WordHashes(dict):
     """Hashes of words; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 16:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
