@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ ORDER, CLASSES = 4, 64
 SIZE = CLASSES**ORDER
 #: Smallest step of a log perplexity in the histograms that quartiles are read from.
 STEP = 0.001
+#: Length classes: a text has less than 2 ** 32 characters.
+LENGTHS = 32
 
 
 @lru_cache(1)
@@ -197,25 +200,44 @@ def _ranked(bins: DataFrame, *keys: str) -> DataFrame:
     return sums.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "total": F.sum("n").over(own)})
 
 
+def _pooled(bins: DataFrame, least: int) -> DataFrame:
+    """Histograms of the distance from a median (``bin``) for every length class: its own, and where it has fewer than ``least`` documents also those of the nearest classes up to that number.
+
+    The mean over fewer characters spreads more, so distances of longer texts grow by the root of the ratio of lengths.
+    """
+    counts = bins.groupBy("len").agg(F.sum("n").alias("n")).withColumn("_for", F.explode(F.sequence(F.lit(0), F.lit(LENGTHS - 1))))
+    nearer = Window.partitionBy("_for").orderBy(F.abs(F.col("len") - F.col("_for"))).rangeBetween(Window.unboundedPreceding, -1)
+    uses = counts.withColumn("_nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("_nearer") < least)
+    wider = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("len") - F.col("_for")) / 2))
+    return bins.join(F.broadcast(uses.select("len", "_for")), "len").select(F.col("_for").alias("len"), F.round(F.col("bin") * wider).cast("long").alias("bin"), "n")
+
+
 def fences(scores: DataFrame, reach: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Limits of ``_nll``: (lang, mid), (lang, len, low, high) and (len, below, above).
+    """Limits of ``_nll``: (lang, mid), (lang, len, low, high) and (len, below, above, bottom, top), the last for every length class.
 
     ``mid`` is a language's median.  ``low`` and ``high`` are the quartiles of a language's length class
     less and plus ``reach`` times their distance, where it has ``least`` documents; ``below`` and
-    ``above`` are such limits of the distance from ``mid``, over all languages.  Quantiles are exact to
-    STEP: they are read from histograms, never from a gathered list.
+    ``above`` are such limits of the distance from ``mid``, over all languages, ``bottom`` and ``top``
+    those of ``_nll`` itself.  In these four a thin length class is pooled with the nearest ones.
+    Quantiles are exact to STEP: they are read from histograms, never from a gathered list.
     """
     bins = scores.where("_nll is not null").groupBy("lang", "len", F.round(F.col("_nll") / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins = checkpoint(bins)
     mids = _ranked(bins, "lang").groupBy("lang").agg(_quantile(0.5).alias("mid"))
     margin = F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), F.lit(5))
-    limits = lambda ranked, *keys: (
-        ranked.groupBy(*keys).agg(F.first("total").alias("total"), _quantile(0.25).alias("q1"), _quantile(0.75).alias("q3")).where(F.col("total") >= least)
+    limits = lambda ranked, fewest, *keys: (
+        ranked.groupBy(*keys).agg(F.first("total").alias("total"), _quantile(0.25).alias("q1"), _quantile(0.75).alias("q3")).where(F.col("total") >= fewest)
         .select(*keys, ((F.col("q1") - margin) * STEP).alias("low"), ((F.col("q3") + margin) * STEP).alias("high"))
     )
+    # no probability is below 1e-9, so there are at most 21,000 of these
+    whole = sorted(tuple(r) for r in bins.groupBy("bin").agg(F.sum("n")).collect())
+    half = sum(n for _, n in whole) / 2
+    middle = next((x for (x, _), upto in zip(whole, accumulate(n for _, n in whole)) if upto >= half), 0)
     off = bins.join(mids, "lang").withColumn("bin", F.col("bin") - F.col("mid"))
-    every = limits(_ranked(off, "len"), "len").selectExpr("len", "low as below", "high as above")
-    return mids.select("lang", (F.col("mid") * STEP).alias("mid")), limits(_ranked(bins, "lang", "len"), "lang", "len"), every
+    every = limits(_ranked(_pooled(off, least), "len"), 1, "len").selectExpr("len", "low as below", "high as above")
+    raw = limits(_ranked(_pooled(bins.withColumn("bin", F.col("bin") - middle), least), "len"), 1, "len")
+    raw = raw.select("len", (F.col("low") + middle * STEP).alias("bottom"), (F.col("high") + middle * STEP).alias("top"))
+    return mids.select("lang", (F.col("mid") * STEP).alias("mid")), limits(_ranked(bins, "lang", "len"), least, "lang", "len"), every.join(raw, "len")
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, keep: list[str], id_col: str, text_col: str, lang_col: str, reach: float, least: int, max_ids: int, field: int | None = None) -> DataFrame:
@@ -233,7 +255,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, keep: list[str], id_col: str
     found = found.join(hint(mids.withColumnRenamed("lang", "_lang")), "_lang", "left")
     found = found.join(hint(own.withColumnsRenamed({"lang": "_lang", "len": "_len"})), ["_lang", "_len"], "left")
     found = found.join(F.broadcast(every.withColumnRenamed("len", "_len")), "_len", "left")
-    low, high = F.coalesce("low", F.col("mid") + F.col("below")), F.coalesce("high", F.col("mid") + F.col("above"))
+    low, high = F.coalesce("low", F.col("mid") + F.col("below"), "bottom"), F.coalesce("high", F.col("mid") + F.col("above"), "top")
     kept = F.coalesce(F.col("_nll").between(low, high), F.lit(True))
     return found.select(*keep, "_n", "_nll", low.alias("low"), high.alias("high"), kept.alias("kept"))
 
@@ -244,8 +266,10 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     ``trusted_ids``: one column, ``_trusted``, the ids of the trusted documents; the model counts all
     of them.  Perplexity is per character.  Where a language's length class has fewer than ``least``
     trusted documents, its fences stand as far from the language's median as those of that length in
-    all languages do; where that has too few as well, or the language none, all is kept.  Null and
-    empty texts have no perplexity and are kept, as is everything when nothing is trusted.  A null language is one of its
+    all languages do, pooled with the nearest lengths where there are fewer than ``least`` of it; a
+    language without trusted text has the fences of all trusted text.  So each document with text is
+    judged.  Null and empty texts have no perplexity and are kept, as is everything when nothing is
+    trusted.  A null language is one of its
     own.  Repeated rows give a row each; repeated trusted ids count once.
     """
     found = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_txt"), F.col(lang_col).alias("_lng")), trusted_ids, ["_id"], "_id", "_txt", "_lng", reach, least, max_ids)

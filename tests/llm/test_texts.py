@@ -200,6 +200,21 @@ def test_quality_keeps_clean_and_drops_noise(spark):
     assert quality.drop_poor(odd.docs(spark), ids).columns == odd.docs(spark).columns
 
 
+def test_quality_judges_thin_length_classes_and_unknown_languages(spark):
+    r = random.Random(4)
+    syllables = "ta re mi so lun der king ing".split()
+    good = lambda n: " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    noise = lambda n: "".join(r.choice("#$%&*@XQZ") for _ in range(n))
+    rows = [(i, good(60), "en" if i % 2 else "de") for i in range(200)] + [(200 + k, good(n), "en") for k, n in enumerate((3, 1, 600, 3000))]
+    wanted = {300: (good(2), True), 301: (noise(20), False), 302: (good(1500), True), 303: (noise(9000), False), 304: ("ta " * 9000, False), 305: (good(60), True), 306: (noise(300), False), 307: (noise(9000), False)}
+    docs = spark.createDataFrame(rows + [(i, t, "en" if i < 305 else "xx") for i, (t, _) in wanted.items()] + [(400, "", "en"), (401, None, "xx")], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(i,) for i in range(204)], "_trusted long")
+    got = {x.doc_id: x for x in quality.classify(docs, ids).collect()}
+    assert all(got[i].low is not None and got[i].high is not None for i in got)
+    assert {i: got[i].kept for i in wanted} == {i: k for i, (_, k) in wanted.items()}
+    assert all(got[i].kept for i in [*range(204), 400, 401])
+
+
 def test_folding():
     assert toxicity.fold("You 1d10t, mоrоn! SCUM!! ｌｏｓｅｒ l0ser") == " you idiot moron scum loser loser "
     assert toxicity.fold(None) == " " and toxicity.fold("...") == "  "
