@@ -45,7 +45,8 @@ NAMES = re.compile(
     re.IGNORECASE,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: One attribute, from its name on: whole names, values never searched.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
 #: Elements that a start tag closes when it has no end tag of its own.
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -57,15 +58,15 @@ def _aside(name: str, attributes: str) -> bool:
     """Whether an element is never main text."""
     if name in DROPPED:
         return True
-    if not attributes or name in HEADINGS or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if not attributes or name in HEADINGS:
         return False
+    own: dict[str, str] = {}
     for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and NAMES.search(value):
-            return True
-        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        own.setdefault(key.lower(), "".join(values))
+    names = f"{own.get('class', '')} {own.get('id', '')}"
+    if name in ("html", "body", "article", "main") and "comment" not in names.lower():
+        return False
+    return bool(NAMES.search(names)) or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true"
 
 
 def blocks(source: str | None) -> list[tuple[str, int]]:

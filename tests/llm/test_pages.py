@@ -81,6 +81,14 @@ def test_blocks():
     assert text_of("<article class=comment><p>no</article><p>yes") == ["yes"]
 
 
+def test_attributes_are_whole_names():
+    for attributes in ('style="overflow:hidden"', 'title="the hidden valley"', 'data-hidden="false"', 'data-id="nav"', "data-x='class=nav'", 'title="a" data-class=nav', "data-role=navigation", 'title=id=menu class="text"'):
+        assert text_of(f"<div {attributes}><article><p>kept</article></div>") == ["kept"], attributes
+    for attributes in ("hidden", "HIDDEN=''", 'title="x"hidden', "class = 'top nav'", "data-a=1 id=menu", 'role="navigation"', "aria-hidden=true", "/hidden"):
+        assert text_of(f"<div {attributes}><p>gone</p></div><p>kept") == ["kept"], attributes
+    assert text_of('<article title="comment" class="ad-free"><p>kept</article>') == ["kept"]
+
+
 def test_repeated_equals_brute_force():
     r = random.Random(2)
     for _ in range(60):
