@@ -7,7 +7,8 @@ where a page has articles or a main part, what stands outside them is set aside
 All blocks outside articles form the page's token stream.  For each host the streams are concatenated
 into one array, whose suffixes are sorted by prefix doubling to the depth of a minimum length; equal
 suffixes on distinct pages are substrings that the pages share, and overlapping ones join to the
-longest repeats.  A block that is mostly covered is boilerplate; what is left are the page's own runs.
+longest repeats.  Hosts too large for one array compare hashes of all their windows of that length,
+which finds the same.  A block that is mostly covered is boilerplate; what is left are the page's own runs.
 
 Text inside an article is never removed for being repeated: copies of an article on two pages are
 still both articles.  So the verdict of the suffix array decides over blocks that no element decides.
@@ -165,12 +166,72 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
+def _listed(lengths: list[int], undecided: list[bool], covered: np.ndarray, share: float) -> list[int]:
+    """Numbers of a page's undecided blocks of which ``share`` or more is covered."""
+    ends = np.cumsum(lengths)
+    sums = np.concatenate([[0], np.cumsum(covered)])
+    return [k for k, (size, end) in enumerate(zip(lengths, ends)) if undecided[k] and size and sums[end] - sums[end - size] >= share * size]
+
+
+def window_verdicts(streams: DataFrame, least: int, share: float) -> DataFrame:
+    """(_page, shared) as in :func:`host_verdicts`, for hosts of any number of pages.
+
+    A window is ``least`` tokens of a page, known by a 128-bit hash of host and tokens.  Its least and
+    greatest page are summed up before they are sent, so a window on every page of a host is few rows;
+    where they differ it is shared.  Places of shared windows then come back to their pages.
+    """
+    asked_hosts = streams.where("array_contains(undecided, true)").select("_host").distinct()
+    asked = streams.join(asked_hosts, "_host", "left_semi").withColumn("_p", F.xxhash64("_page"))
+
+    def keys(only_undecided: bool):
+        names = ["_key", "_page", "_at"] if only_undecided else ["_key", "_p"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1 << 20):
+                found, pages, places = [], [], []
+                for host, page, lengths, undecided, tokens in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                    raw, head = np.array(tokens, np.int64).tobytes(), host.encode("utf-8", "replace") + b"\n"
+                    at = np.arange(len(tokens) - least + 1)
+                    if only_undecided:
+                        asks = np.concatenate([[0], np.cumsum(np.repeat(np.array(undecided, bool), lengths))])
+                        at = at[asks[at + least] > asks[at]]
+                    own = [xxhash.xxh3_128_digest(head + raw[8 * k : 8 * (k + least)]) for k in at.tolist()]
+                    if not only_undecided:
+                        own = list(set(own))
+                    found += own
+                    pages += [page] * len(own)
+                    places += at.tolist() if only_undecided else []
+                for k in range(0, len(found), 50_000):
+                    part = slice(k, k + 50_000)
+                    columns = [pa.array(found[part], pa.binary()), pa.array(pages[part], pa.string() if only_undecided else pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array(places[part], pa.int32())] if only_undecided else [])], names)
+
+        source = asked.where("array_contains(undecided, true)") if only_undecided else asked
+        return source.select("_host", "_page" if only_undecided else "_p", "lengths", "undecided", "tokens").mapInArrow(run, "_key binary, _page string, _at int" if only_undecided else "_key binary, _p long")
+
+    pages_of = keys(False).groupBy("_key").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    shared = checkpoint(pages_of.where("_first <> _last").select("_key", "_n"))
+    places = join_counted(keys(True), shared, "_key", "_n", shared.agg(F.sum("_n")).first()[0] or 0).groupBy("_page").agg(F.collect_list("_at").alias("_starts"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for lengths, undecided, starts in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                marks = np.zeros(sum(lengths) + 1, np.int64)
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, np.array(starts, np.int64) + least, -1)
+                found.append(_listed(lengths, undecided, np.cumsum(marks[:-1]) > 0, share))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["_page", "shared"])
+
+    return streams.select("_page", "lengths", "undecided").join(places, "_page").mapInArrow(judge, "_page string, shared array<int>")
+
+
 def host_verdicts(streams: DataFrame, least: int, share: float, max_pages: int) -> DataFrame:
     """(_page, shared): numbers of each page's blocks that are mostly covered by substrings its host repeats.
 
     ``streams``: _host, _page, lengths (array<int>), undecided (array<boolean>), tokens (array<long>) in
-    page order; only undecided blocks are listed.  A host with more than ``max_pages`` pages is dealt to
-    several arrays of about so many pages each, and a repeat needs two pages of one of them.
+    page order; only undecided blocks are listed.  A host of at most ``max_pages`` pages is one suffix
+    array; the windows of larger ones are compared over all tasks, with the same verdicts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,23 +239,17 @@ def host_verdicts(streams: DataFrame, least: int, share: float, max_pages: int)
         lengths, undecided, tokens = (table[c].to_pylist() for c in ("lengths", "undecided", "tokens"))
         counts = np.array([len(t) for t in tokens], np.int64)
         stream = np.fromiter((t for page in tokens for t in page), np.int64, int(counts.sum()))
-        covered = repeated(stream, np.repeat(np.arange(len(counts)), counts), least)
-        sums = np.concatenate([[0], np.cumsum(covered)])
-        found, at = [], 0
-        for page, asked in zip(lengths, undecided):
-            own = []
-            for k, size in enumerate(page):
-                if asked[k] and size and sums[at + size] - sums[at] >= share * size:
-                    own.append(k)
-                at += size
-            found.append(own)
+        covered = np.split(repeated(stream, np.repeat(np.arange(len(counts)), counts), least), np.cumsum(counts)[:-1])
+        found = [_listed(page, asked, own, share) for page, asked, own in zip(lengths, undecided, covered)]
         yield pa.RecordBatch.from_arrays([table["_page"].combine_chunks() if table["_page"].num_chunks != 1 else table["_page"].chunk(0), pa.array(found, pa.list_(pa.int32()))], ["_page", "shared"])
 
     salted = streams.groupBy("_host", F.pmod(F.xxhash64("_page"), F.lit(64)).alias("_salt")).agg(F.count(F.lit(1)).alias("n"))
     sizes = checkpoint(salted.groupBy("_host").agg(F.sum("n").alias("_pages")))
     dealt = join_counted(streams, sizes, "_host", "_pages", streams.count())
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("_page", F.lit(7)), F.ceil(F.col("_pages") / max_pages)))
-    return dealt.select("_host", "_part", "_page", "lengths", "undecided", "tokens").groupBy("_host", "_part").applyInArrow(run, "_page string, shared array<int>")
+    small = dealt.where(F.col("_pages") <= max_pages).select("_host", "_page", "lengths", "undecided", "tokens").groupBy("_host").applyInArrow(run, "_page string, shared array<int>")
+    if sizes.where(F.col("_pages") > max_pages).isEmpty():
+        return small
+    return small.unionByName(window_verdicts(dealt.where(F.col("_pages") > max_pages).drop("_pages"), least, share))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 8, share: float = 0.5, max_pages: int = 1000, max_listed: int = 100_000) -> DataFrame:
@@ -203,7 +258,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     The text is the page's main blocks, character references decoded, white space made single blanks,
     blocks joined by line ends; empty if there are none (null and empty pages too).  Of the blocks that
     no element decides, those are left out of which ``share`` or more lies in substrings of ``least``
-    tokens or more that distinct pages of the host repeat.  Pages without an address form one host.
+    tokens or more that distinct pages of the host repeat, whatever its number of pages (``max_pages``
+    only says up to which a host is one suffix array).  Pages without an address form one host.
     Lists of such blocks are sent to the pages if at most ``max_listed`` pages have one, else joined by
     a shuffle.  Repeated rows are one page to the suffix array and give a row each; other columns are ignored.
     """

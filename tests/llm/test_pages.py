@@ -123,3 +123,19 @@ def test_host_boilerplate_without_elements(spark):
         if most == 1000:
             assert texts[3] == "Page number 3 has its very own text d to show here"
     assert extract.extract(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_large_hosts_find_every_repeat(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    pair, every = [words(12) for _ in range(20)], words(9)
+    rows = []
+    for i in range(60):
+        parts = [words(r.randrange(3, 30)), pair[i % 20] if i < 40 else words(12), every, "x y " * 9]
+        r.shuffle(parts)
+        rows.append((i, "http://large.example/" + str(i), "<nav>" + every + "</nav>" * (i % 2) + "".join(f"<div>{p}</div>" for p in parts)))
+    rows += [(100 + i, f"http://h{i}.example/", f"<div>{pair[i]}</div>") for i in range(5)] + [(200, "http://large.example/200", f"<article><p>{pair[0]}</article>")]
+    text = {most: {x.page_id: x.text for x in extract.extract(pages(spark, rows), max_pages=most).collect()} for most in (1000, 10, 1)}
+    assert text[1000] == text[10] == text[1]
+    assert all(p not in text[10][i] for i in range(1, 60, 2) for p in [*pair, every])
+    assert text[10][200] == pair[0] and text[10][101] == pair[1]
