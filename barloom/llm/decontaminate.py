@@ -70,6 +70,16 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -
     return [Shared(spark, [tuple(r) for r in dealt.where(F.col("shard") == k).select("item", "text").collect()]) for k in range(n)]
 
 
+def scan_all(parts: list[Shared], texts: list[str | None], width: int) -> list[tuple[int, list[int], set[str]]]:
+    """What :meth:`Automaton.scan` finds in each text with the items of all ``parts`` together."""
+    found: list[tuple[int, list[int], set[str]]] = []
+    for part in parts:
+        finder = part.get(lambda items: Automaton(items, width), f"windows of {width}", max(8, len(parts)))
+        new = [finder.scan(text) for text in texts]
+        found = [(n, sorted({*hit, *more}), items | others) for (n, hit, items), (_, more, others) in zip(found, new)] if found else new
+    return found
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, max_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, ``n_words``, ``hits`` (each hit word's number and its character offsets, in order), ``items`` (sorted ids).
 
@@ -78,39 +88,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     hits; repeated documents give a row each; items with the same text all count; an item without an
     id hits words but is not listed; an empty benchmark hits nothing.  Other columns are ignored.
 
-    Benchmarks of more than ``max_bytes`` are scanned in several shards, one automaton each, and the
-    hits of a document are united; repeated rows (same id and text) are then one row.
+    Benchmarks of more than ``max_bytes`` are scanned in several shards, one automaton each, in the
+    same task, so a row is united with no other row.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = "_id " + kind + ", n_words long, hits array<struct<word:int,start:int,end:int>>, items array<string>, _text string"
+    schema = "_id " + kind + ", n_words long, hits array<struct<word:int,start:int,end:int>>, items array<string>"
     parts = shards(benchmark, item_col, item_text_col, max_bytes)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"), (F.sha2(F.col(text_col), 256) if len(parts) > 1 else F.lit("")).alias("_text"))
-
-    def scan(shard: Shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = shard.get(lambda items: Automaton(items, width), f"windows of {width}", 8)
-            for batch in slices(batches):
-                n_words, hits, items = [], [], []
-                for text in batch.column(1).to_pylist():
-                    n, hit, found = finder.scan(text)
-                    n_words.append(n)
-                    items.append(sorted(found))
-                    spans = [m.span() for m in _WORD.finditer(text)] if hit else []
-                    hits.append([{"word": k, "start": spans[k][0], "end": spans[k][1]} for k in hit])
-                hit_type = pa.list_(pa.struct([("word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_pydict(
-                    {"_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, hit_type), "items": pa.array(items, pa.list_(pa.string())), "_text": batch.column(2)}
-                )
-
-        return source.mapInArrow(run, schema)
-
-    found = scan(parts[0])
-    for part in parts[1:]:
-        found = found.unionByName(scan(part))
-    if len(parts) > 1:
-        united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        found = found.groupBy("_id", "_text").agg(F.first("n_words").alias("n_words"), united("hits"), united("items"))
-    return found.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n_words, hits, items = [], [], []
+            texts = batch.column(1).to_pylist()
+            for text, (n, hit, found) in zip(texts, scan_all(parts, texts, width)):
+                n_words.append(n)
+                items.append(sorted(found))
+                spans = [m.span() for m in _WORD.finditer(text)] if hit else []
+                hits.append([{"word": k, "start": spans[k][0], "end": spans[k][1]} for k in hit])
+            hit_type = pa.list_(pa.struct([("word", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_pydict({"_id": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, hit_type), "items": pa.array(items, pa.list_(pa.string()))})
+
+    return source.mapInArrow(run, schema).select(F.col("_id").alias(id_col), "n_words", "hits", "items")
 
 
 def is_contaminated(n_hit, n_words, share: int = 20):
@@ -137,14 +135,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = pc.struct_field(batch.column(0), at).to_pylist()
-            hits: list[set[int]] = [set() for _ in texts]
-            counts = [0] * len(texts)
-            for part in parts:
-                finder = part.get(lambda items: Automaton(items, width), f"windows of {width}", max(8, len(parts)))
-                for k, text in enumerate(texts):
-                    counts[k], hit, _ = finder.scan(text)
-                    hits[k].update(hit)
-            clean = [not is_contaminated_counts(len(h), n) for h, n in zip(hits, counts)]
+            clean = [not is_contaminated_counts(len(hit), n) for n, hit, _ in scan_all(parts, texts, width)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

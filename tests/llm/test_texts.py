@@ -49,6 +49,15 @@ def test_contamination(spark, shard):
     assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_repeated_documents_give_a_row_each_with_many_shards(spark):
+    passage = " ".join(f"q{i}" for i in range(20))
+    items = [(1, passage), (2, "short item"), (3, "brown fox")]
+    rows = [(1, passage + " z"), (1, passage + " z"), (1, "a short item"), (None, "brown fox"), (None, "brown fox"), (2, None), (2, None), (2, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.find_hits(docs, bench, max_bytes=m).collect())) for m in (8 << 20, 20))
+    assert one == many and len(one) == len(rows)
+
+
 def test_hit_offsets_point_into_the_original(spark):
     docs = spark.createDataFrame([(1, "Ünd: Brown  FOX jumps!")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "brown fox")], "item_id long, text string")
