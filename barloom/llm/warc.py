@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from barloom.llm.common import checkpoint, join_counted, shared_dir
 from barloom.llm.exact_dedup import probe, repeated_filter
 
 END = "\r\n\r\n"
+TYPES = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
 #: Before and after the id in a record's name.
 NAME = ("<urn:page:", ">")
 #: Digits of base 32 as numbers are written, and as RFC 4648 has them.
@@ -109,7 +111,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that starts at ``at`` and where it ends, or what is wrong with it."""
     if not data.startswith(b"WARC/", at):
         return "no version line"
-    head_end = data.find(b"\r\n\r\n", at, at + (1 << 20))
+    head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
         return "no end of header"
     fields = _fields(data[at:head_end])
@@ -139,64 +141,102 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     record = {
         "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"),
         "refers_to_id": fields.get("warc-refers-to"), "payload_bytes": size, "payload_digest": payload_digest, "payload": None if revisit else payload,
+        "checked": (digest.startswith("sha1:") or not revisit and declared.startswith("sha1:")) and fields.get("warc-type") in TYPES
+        and bool(re.fullmatch(r"<[!-;=?-~]+>", fields.get("warc-record-id", "")) and re.match(rb"WARC/\d\.\d\r\n", data[at : at + 10])),
     }
     return record, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member that starts at ``at`` and where it ends; None if it is damaged."""
-    try:
-        engine = zlib.decompressobj(31)
-        out = engine.decompress(data[at:]) + engine.flush()
-    except zlib.error:
-        return None
-    return (out, len(data) - len(engine.unused_data)) if engine.eof else None
-
-
-def _member(data: bytes, at: int) -> tuple[list[dict], int] | str:
-    """The records of the gzip member at ``at``, all of them valid, or what is wrong."""
-    if not data.startswith(b"\x1f\x8b\x08", at):
-        return "no gzip member"
-    found = _inflate(data, at)
-    if found is None:
-        return "damaged gzip member"
-    inner, end = found
-    records, k = [], 0
-    while k < len(inner):
-        got = parse_record(inner, k)
-        if isinstance(got, str):
-            return got
-        records.append(got[0])
-        k = got[1]
-    return records, end
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member that starts at ``at`` holds, as far as it can be read, and where it ends (None if it is damaged or cut off)."""
+    view, step = memoryview(data), 1 << 16
+    engine, out, k = zlib.decompressobj(31), [], at
+    before, start = engine, at
+    while k < len(data) and not engine.eof:
+        if step > 1:
+            before, start = engine.copy(), k
+        try:
+            out.append(engine.decompress(view[k : k + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), None
+            # of a piece with an error nothing is returned: again, byte by byte
+            engine, k, step = before, start, 1
+            continue
+        k += step
+    return b"".join(out), min(k, len(data)) - len(engine.unused_data) if engine.eof else None
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """The records of an archive (``kind`` record) and the gaps between them (``kind`` gap, with a reason), in order."""
-    zipped = data[:2] == b"\x1f\x8b" or (not data.startswith(b"WARC/") and b"\x1f\x8b\x08" in data and b"WARC/1." not in data)
-    mark = b"\x1f\x8b\x08" if zipped else b"WARC/"
+def _plain(data: bytes, digests: bool = False) -> Iterator[tuple[int, int, dict | str]]:
+    """(start, end, record or reason of a gap) over uncompressed bytes; with ``digests`` a record counts only if it has one and a sound header."""
     at, gap, reason = 0, None, ""
     while at < len(data):
-        got = _member(data, at) if zipped else parse_record(data, at)
+        got = parse_record(data, at)
+        if digests and not isinstance(got, str) and not got[0]["checked"]:
+            got = "no digest or no sound header in a damaged gzip member"
         if isinstance(got, str):
             if gap is None:
                 gap, reason = at, got
-            at = data.find(mark, at + 1)
+            at = data.find(b"WARC/", at + 1)
             if at < 0:
                 break
             continue
         if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+            yield gap, at, reason
             gap = None
-        for record in got[0] if zipped else [got[0]]:
-            yield {"kind": "record", "offset": at, "length": got[1] - at, **record}
+        yield at, got[1], got[0]
         at = got[1]
     if gap is not None:
-        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
+        yield gap, len(data), reason
+
+
+def _row(offset: int, length: int, found: dict | str, inner: tuple[int, int] | None = None) -> dict:
+    place = {"offset": offset, "length": length, **({"inner_offset": inner[0], "inner_length": inner[1]} if inner else {})}
+    if isinstance(found, str):
+        return {"kind": "gap", **place, "reason": found}
+    return {"kind": "record", **place, **{k: v for k, v in found.items() if k != "checked"}}
+
+
+def salvage(data: bytes) -> Iterator[dict]:
+    """The records of an archive (``kind`` record) and the gaps between them (``kind`` gap, with a reason), in order.
+
+    In a gzip archive the records of a member are searched in what can be inflated of it.  Its gaps
+    have ``inner_offset`` and ``inner_length``, as its records do; a damaged member without a valid
+    record is part of a gap between members.  In a damaged member only records with a digest and a sound
+    header are valid, and they give the damage as their reason, since no digest covers a header.
+    """
+    zipped = data[:2] == b"\x1f\x8b" or (not data.startswith(b"WARC/") and b"\x1f\x8b\x08" in data and b"WARC/1." not in data)
+    if not zipped:
+        for start, end, found in _plain(data):
+            yield _row(start, end - start, found)
+        return
+    mark = b"\x1f\x8b\x08"
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        wrong, inner, end = "no gzip member", [], None
+        if data.startswith(mark, at):
+            raw, end = _inflate(data, at)
+            inner = list(_plain(raw, end is None))
+            wrong = "damaged gzip member" if end is None else next((f for _, _, f in inner if isinstance(f, str)), "")
+        following = data.find(mark, at + 1) if end is None else end
+        following = len(data) if following < 0 else following
+        if any(not isinstance(f, str) for _, _, f in inner) or not wrong:
+            if gap is not None:
+                yield _row(gap, at - gap, reason)
+                gap = None
+            if end is None and not isinstance(inner[-1][2], str):
+                inner.append((len(raw), len(raw), wrong))
+            for a, b, found in inner:
+                yield _row(at, following - at, found, (a, b - a)) | ({"reason": wrong} if end is None and not isinstance(found, str) else {})
+        elif gap is None:
+            gap, reason = at, wrong
+        at = following
+    if gap is not None:
+        yield _row(gap, len(data) - gap, reason)
 
 
 SALVAGED = pa.schema(
-    [("path", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()),
+    [("path", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner_offset", pa.int64()), ("inner_length", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()),
      ("url", pa.string()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 )
 
@@ -205,7 +245,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """All records and gaps of the archives under ``path``; empty files give no rows.
 
     Columns: ``path``, ``kind`` (record or gap), ``offset`` and ``length`` in the file (for gzip: of
-    the member), ``reason`` (gaps), ``record_type``, ``record_id``, ``url``, ``refers_to_id``,
+    the member), ``inner_offset`` and ``inner_length`` in the member's inflated bytes, ``reason`` (gaps, and records of damaged members), ``record_type``, ``record_id``, ``url``, ``refers_to_id``,
     ``payload_bytes`` and ``payload_digest`` (of the full payload, also for revisits) and ``payload``
     (null for revisits and gaps, and for all without ``payloads``).  A task holds one file at a time.
     """
@@ -225,7 +265,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     yield pa.RecordBatch.from_pylist(rows, SALVAGED)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, kind string, offset long, length long, reason string, record_type string, record_id string, url string, refers_to_id string, payload_bytes long, payload_digest string, payload binary")
+    return files.mapInArrow(run, "path string, kind string, offset long, length long, inner_offset long, inner_length long, reason string, record_type string, record_id string, url string, refers_to_id string, payload_bytes long, payload_digest string, payload binary")
 
 
 def page_of(name: Column) -> Column:

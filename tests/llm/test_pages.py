@@ -64,6 +64,32 @@ def test_every_single_byte_of_damage_leaves_the_others():
         assert "<urn:page:0>" in found and "<urn:page:2>" in found
 
 
+def test_salvage_inside_a_gzip_member():
+    parts = [record(i, random.Random(i).randbytes(3000)) for i in range(9)]
+    broken = bytearray(b"".join(parts))
+    broken[len(parts[0]) * 4 + 500] ^= 0xFF
+    wanted = [f"<urn:page:{i}>" for i in range(9) if i != 4]
+    zipped = gzip.compress(bytes(broken), mtime=0) + gzip.compress(record(10), mtime=0)
+    rows = list(warc.salvage(zipped))
+    assert names(zipped)[0] == [*wanted, "<urn:page:10>"]
+    assert [(x["inner_offset"], x["inner_length"], x["reason"]) for x in rows if x["kind"] == "gap"] == [(len(parts[0]) * 4, len(parts[4]), "block digest differs")]
+    # a stream that breaks off, and one with a bad byte, give what comes before; the next member is found
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    bad = bytearray(whole)
+    bad[len(whole) // 2] ^= 0xFF
+    for damaged in (whole[: len(whole) // 2], bytes(bad)):
+        found = names(damaged + gzip.compress(record(10), mtime=0))
+        assert found[0][:4] == wanted[:4] and found[0][-1] == "<urn:page:10>" and found[1]
+    # without a digest nothing tells a damaged record
+    bare = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    assert names(gzip.compress(bare))[0] == ["<urn:page:1>"] and names(gzip.compress(bare)[:-4])[0] == []
+
+
+def test_long_addresses_come_back(spark):
+    rows = [(1, "http://a/" + "x" * (3 << 20), "<p>one"), (2, "http://a/2", "<p>two")]
+    assert sorted(x.page_id for x in warc.round_trip(pages(spark, rows)).collect()) == [1, 2]
+
+
 def test_empty_archive():
     assert list(warc.salvage(b"")) == []
 
