@@ -72,6 +72,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
         yield held
 
 
+def _typed(batches: Iterator[pa.RecordBatch], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The same batches; their columns' types are noted in ``kinds``, for what is built from their values."""
+    for batch in batches:
+        kinds.update(zip(batch.schema.names, batch.schema.types))
+        yield batch
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
 def learn(turns: DataFrame) -> dict[str, np.ndarray]:
     """Log probabilities (start, move, emit) from labelled ``turns``: _conv, _turn, _role, _text.
 
@@ -90,7 +101,7 @@ def learn(turns: DataFrame) -> dict[str, np.ndarray]:
                     if k:
                         inner[first + (k > 1), first + 1] += 1
         rows = [("emit", i, j, emit[i, j]) for i, j in zip(*np.nonzero(emit))] + [("move", i, j, inner[i, j]) for i, j in zip(*np.nonzero(inner))]
-        yield pa.RecordBatch.from_pydict({"kind": [r[0] for r in rows], "i": pa.array([int(r[1]) for r in rows], pa.int32()), "j": pa.array([int(r[2]) for r in rows], pa.int32()), "n": pa.array([int(r[3]) for r in rows], pa.int64())})
+        yield _batch(rows, ["kind", "i", "j", "n"], [pa.string(), pa.int32(), pa.int32(), pa.int64()])
 
     counted = known.select("_role", "_text").mapInArrow(run, "kind string, i int, j int, n long")
     many = F.size(F.filter(F.split("_text", "\n"), lambda line: F.trim(line) != "")) > 1
@@ -188,29 +199,30 @@ def parse(transcripts: DataFrame, model: dict[str, np.ndarray], turns_in_block:
     blocked = blocked.select("_conv", "_block", "_place", "_text", "_turn", "_role").repartition("_conv", "_block").sortWithinPartitions("_conv", "_block", "_place", "_text", "_role")
 
     def reduce_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probabilities = shared.sent.value
-        rows = []
-        for group in _groups(batches, 2):
+        probabilities, kinds = shared.sent.value, {}
+        rows: list[tuple] = []
+        for group in _groups(_typed(batches, kinds), 2):
             observed = [s for row in group for s in symbols(row[3])[1]]
             after_first = transfer(observed[1:], probabilities).ravel().tolist() if observed else None
             whole = transfer(observed, probabilities).ravel().tolist() if observed else None
             rows.append((*group[0][:2], observed[0] if observed else -1, after_first, whole))
             if len(rows) >= 1000:
-                yield out(rows)
+                yield out(rows, kinds)
                 rows = []
-        yield out(rows)
+        if rows:
+            yield out(rows, kinds)
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
+    def out(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
         matrix = pa.list_(pa.float64())
-        return pa.RecordBatch.from_pydict({"_conv": [r[0] for r in rows], "_block": pa.array([r[1] for r in rows], pa.int64()), "symbol": pa.array([r[2] for r in rows], pa.int32()), "after": pa.array([r[3] for r in rows], matrix), "whole": pa.array([r[4] for r in rows], matrix)})
+        return _batch(rows, ["_conv", "_block", "symbol", "after", "whole"], [kinds["_conv"], pa.int64(), pa.int32(), matrix, matrix])
 
     reduced = blocked.mapInArrow(reduce_blocks, f"_conv {conv_kind}, _block long, symbol int, after array<double>, whole array<double>")
     reduced = reduced.repartition("_conv").sortWithinPartitions("_conv", "_block")
 
     def chain_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probabilities = shared.sent.value
-        rows = []
-        for group in _groups(batches, 1):
+        probabilities, kinds = shared.sent.value, {}
+        rows: list[tuple] = []
+        for group in _groups(_typed(batches, kinds), 1):
             begun = False
             matrices: list[tuple[np.ndarray | None, int]] = []
             for _, _, symbol, after, whole in group:
@@ -219,12 +231,13 @@ def parse(transcripts: DataFrame, model: dict[str, np.ndarray], turns_in_block:
                 begun = begun or chosen is not None
             rows += [(g[0], g[1], *states) for g, states in zip(group, chain(matrices, probabilities))]
             if len(rows) >= 1000:
-                yield borders(rows)
+                yield borders(rows, kinds)
                 rows = []
-        yield borders(rows)
+        if rows:
+            yield borders(rows, kinds)
 
-    def borders(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"_conv": [r[0] for r in rows], "_block": pa.array([r[1] for r in rows], pa.int64()), "_before": pa.array([r[2] for r in rows], pa.int32()), "_end": pa.array([r[3] for r in rows], pa.int32())})
+    def borders(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+        return _batch(rows, ["_conv", "_block", "_before", "_end"], [kinds["_conv"], pa.int64(), pa.int32(), pa.int32()])
 
     ends = checkpoint(reduced.mapInArrow(chain_blocks, f"_conv {conv_kind}, _block long, _before int, _end int"))
     ends = ends.select(F.col("_conv").alias("_c"), F.col("_block").alias("_b"), "_before", "_end")
@@ -232,9 +245,9 @@ def parse(transcripts: DataFrame, model: dict[str, np.ndarray], turns_in_block:
     joined = joined.select("_conv", "_block", "_place", "_text", "_turn", "_role", "_before", "_end").repartition("_conv", "_block").sortWithinPartitions("_conv", "_block", "_place", "_text", "_role")
 
     def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probabilities = shared.sent.value
+        probabilities, kinds = shared.sent.value, {}
         rows: list[tuple] = []
-        for group in _groups(batches, 2):
+        for group in _groups(_typed(batches, kinds), 2):
             pieces = [symbols(row[3]) for row in group]
             end = group[0][7]
             states = decode([s for p in pieces for s in p[1]], probabilities, group[0][6], None if end is None or end < 0 else end)
@@ -253,14 +266,14 @@ def parse(transcripts: DataFrame, model: dict[str, np.ndarray], turns_in_block:
                 text = "".join(RENDER(role, "\n".join(part)) for role, part in rendered)
                 rows.append((row[0], row[4], row[5], ROLES[own[0] // 2] if own else None, bool(own) and own[0] % 2 == 0, len(lines), text))
             if len(rows) >= 500:
-                yield turns(rows)
+                yield turns(rows, kinds)
                 rows = []
-        yield turns(rows)
+        if rows:
+            yield turns(rows, kinds)
 
-    def turns(rows: list[tuple]) -> pa.RecordBatch:
+    def turns(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
         names = ["_conv", "_turn", "_role", "recovered", "opens", "n_lines", "rendered"]
-        kinds = [None, None, pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) if k else [r[i] for r in rows] for i, (n, k) in enumerate(zip(names, kinds))})
+        return _batch(rows, names, [kinds["_conv"], kinds["_turn"], pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()])
 
     return joined.mapInArrow(decode_blocks, f"_conv {conv_kind}, _turn {turn_kind}, _role string, recovered string, opens boolean, n_lines long, rendered string")
 

@@ -1,8 +1,11 @@
 """Transcript parsing: blocked decoding equals whole decoding, roles come back."""
 
+import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import chat
 
@@ -66,6 +69,41 @@ def test_chain_is_viterbi():
         assert len(out) == len(flat) and (not flat or abs(score(out, flat) - score(whole, flat)) < 1e-9)
 
 
+def test_decoding_beats_all_paths():
+    r = np.random.default_rng(2)
+    log = lambda *shape: np.log(r.dirichlet(np.ones(shape[-1]), shape[:-1]))
+    for size in (1, 2, 3, 5):
+        model = {"start": log(1, chat.N_STATES), "move": log(chat.N_STATES, chat.N_STATES), "emit": log(chat.N_STATES, chat.N_SYMBOLS)}
+        seq = r.integers(0, chat.N_SYMBOLS, size).tolist()
+        score = lambda path: model["start"][0][path[0]] + sum(model["emit"][s, o] for s, o in zip(path, seq)) + sum(model["move"][a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(chat.N_STATES), repeat=size), key=score)
+        assert abs(score(chat.decode(seq, model, None, None)) - score(best)) < 1e-9
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001])
+def test_any_number_of_conversations_in_a_task(spark, n):
+    df = spark.range(n).coalesce(1).selectExpr("id as conv_id", "0L as turn", "'user' as role", "'User: hello?' as text")
+    got = chat.canonical_turns(df)
+    assert got.count() == n and got.where("recovered = 'user'").count() == n
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "timestamp"])
+def test_ids_of_any_type(spark, kind):
+    df = frame(spark, conversations(12)).withColumn("conv_id", F.col("conv_id").cast(kind))
+    found = chat.canonical_turns(df)
+    assert found.schema["conv_id"].dataType == df.schema["conv_id"].dataType
+    assert {(r.conv_id, r.turn) for r in found.collect()} == {(r.conv_id, r.turn) for r in df.collect()}
+    nothing = df.limit(3).withColumns({"conv_id": F.lit(None).cast(kind), "turn": F.lit(None).cast("long"), "role": F.lit(None).cast("string")})
+    assert [r.conv_id for r in chat.canonical_turns(nothing).collect()] == [None] * 3
+
+
+def test_very_long_turn(spark):
+    line = "some words of a turn that goes on and on"
+    rows = [(1, 0, "user", "\n".join([line] * 20_000)), (1, 1, "assistant", line * 20_000)]
+    got = {r.turn: r for r in chat.canonical_turns(frame(spark, rows)).collect()}
+    assert (got[0].n_lines, got[1].n_lines, len(got)) == (20_000, 1, 2)
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (None, 0, "user", "hi"), (2, None, "assistant", "a\n\nb"), (3, 0, "user", ""), (3, 0, "user", ""), (4, 5, "other", "Q: one\nA: two")]
     got = chat.canonical_turns(frame(spark, rows)).collect()
