@@ -41,27 +41,20 @@ def split(text: str) -> list[str]:
 
 
 class PieceCounts(dict):
-    """Numbers of tokens of pre-tokens; emptied when full."""
+    """Numbers of tokens of pre-tokens, for the texts at hand."""
 
-    def __init__(self, path: str, size: int = 500_000):
+    def __init__(self, path: str):
         super().__init__()
-        self.bpe, self.size = byte_bpe(path), size
+        self.bpe = byte_bpe(path)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.size:
-            self.clear()
         found = self[piece] = len(self.bpe.encode_piece(piece.encode("utf-8", "replace")))
         return found
 
-
-_COUNTS: dict[str, PieceCounts] = {}
-
-
-def piece_counts(path: str) -> PieceCounts:
-    """One for each Python worker."""
-    if path not in _COUNTS:
-        _COUNTS[path] = PieceCounts(path)
-    return _COUNTS[path]
+    def fill(self, texts: list[list[str]]) -> None:
+        """Counts the distinct pre-tokens of cut texts together."""
+        new = [p for p in set().union(*texts) if p not in self]
+        self.update(zip(new, map(len, self.bpe.encode_pieces([p.encode("utf-8", "replace") for p in new]))))
 
 
 def count(text: str, counts: PieceCounts) -> int:
@@ -78,13 +71,13 @@ def _may_begin(before: str, piece: str) -> bool:
 class CountTree:
     """Leaves (text, tokens) under a heap-ordered tree of (characters, tokens)."""
 
-    def __init__(self, text: str, counts: PieceCounts, leaf: int = 256):
+    def __init__(self, text: str, counts: PieceCounts, leaf: int = 256, pieces: list[str] | None = None):
         self.counts, self.leaf_size, self.encoded = counts, leaf, 0
-        self.leaves = self._cut(text)
+        self.leaves = self._cut(text, pieces)
         self._build()
 
-    def _cut(self, text: str) -> list[tuple[str, int]]:
-        pieces = split(text)
+    def _cut(self, text: str, pieces: list[str] | None = None) -> list[tuple[str, int]]:
+        pieces = split(text) if pieces is None else pieces
         if not pieces:
             return []
         self.encoded += len(pieces)
@@ -208,19 +201,19 @@ def count_edited(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = piece_counts(vocabulary)
         for batch in slices(batches):
             rows: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             given = batch.column(2).to_pylist() if edits_col else [None] * len(ids)
-            for doc, text, own in zip(ids, texts, given):
-                text = text or ""
-                tree = CountTree(text, counts, leaf)
-                before, pieces, tree.encoded = tree.total, tree.encoded, 0
+            cut, counts = [split(t) if t else [] for t in texts], PieceCounts(vocabulary)
+            counts.fill(cut)
+            for doc, text, pieces, own in zip(ids, texts, cut, given):
+                tree = CountTree(text, counts, leaf, pieces)
+                before, tree.encoded = tree.total, 0
                 edits = [(e["start"], e["end"], e["new"] or "") for e in own or ()] if edits_col else standard_edits(doc, text)
                 for edit in edits:
                     tree.replace(*edit)
-                rows.append((before, pieces, len(edits), tree.total, tree.encoded, hashlib.sha256(tree.text.encode("utf-8", "replace")).hexdigest()))
+                rows.append((before, len(pieces), len(edits), tree.total, tree.encoded, hashlib.sha256(tree.text.encode("utf-8", "replace")).hexdigest()))
             names = ["n_tokens", "n_pieces", "n_edits", "n_tokens_edited", "n_pieces_encoded"]
             columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)] + [pa.array([r[5] for r in rows], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names, "text_sha256"])
