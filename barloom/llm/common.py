@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.stored import checkpoint, shared_dir
 
-__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "table"]
+__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,17 @@ def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows
     )
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str, size: str, hot_groups: int = 1000) -> DataFrame:
+    """``rows`` whose key is not in ``gone``, when a key may hold a third of all rows.
+
+    ``gone`` has one row for each key and in ``size`` its number of rows.  Fewer than ``hot_groups`` keys can
+    have more than that part of all those rows; they are broadcast, and the rest meet in a shuffle join.
+    """
+    total = gone.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(256, -(-total // hot_groups))
+    return rows.join(F.broadcast(gone.where(hot).select(key)), key, "left_anti").join(gone.where(~hot).select(key), key, "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about ``max_bytes``, one row at least; Arrow's free memory goes back at the end."""
     for batch in batches:

@@ -1,101 +1,156 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters folded to 64 classes, four at a time.  That bounds each table of counts
-by 64 ** 4 entries whatever the corpus, while the counts themselves cover all trusted text.
+The model is over characters as they are, four at a time, and grows with the text it is trained on.
 
-Training: each task counts its part of the trusted text; the counts are summed by n-gram, and
-continuation counts, discounts, context masses and interpolated probabilities come from joins of
-count tables, sharded by n-gram and context.  Scoring: the finished tables (bounded as above, and
-checked) go to every task, which fills one array of 64 ** 4 log probabilities and looks texts up.
+Training: n-grams of all trusted text are counted, summed within a task first; continuation counts,
+discounts, context masses and interpolated probabilities come from joins of count tables, sharded by
+n-gram and context.
 
-A document is kept if its log perplexity lies between two fences that are set from the quartiles of
+Scoring: texts are taken in blocks of some megabytes.  Each block asks for its distinct n-grams, and
+these join the sharded tables; so a frequent n-gram is asked for once by a block, not once by each
+text.  The answers meet the block's texts again (a third of their size, packed), where the log
+probabilities of all places are looked up and summed for each document.  Nothing is broadcast.
+
+A document is kept if its log perplexity lies between two fences, which come from quantiles of the
 trusted documents of its language and length class.  Both sides matter: noise is too surprising,
 endless repetition not surprising enough.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from barloom.llm.common import Shared, checkpoint, slices
+from barloom.llm.common import checkpoint, without
+from barloom.llm.exact_dedup import split_by
 
-ORDER, CLASSES = 4, 64
-SIZE = CLASSES**ORDER
-#: Smallest step of a log perplexity in the histograms that quartiles are read from.
+ORDER = 4
+#: Stands before the start of a text; no text should hold this noncharacter (one that does is scored with it).
+MARK = "\U0010ffff"
+#: Code points that there are: the model below the unigrams is uniform.
+ALPHABET = 0x110000
+#: Smallest step of a log perplexity in the histograms that quantiles are read from.
 STEP = 0.001
 #: Length classes: a text has less than 2 ** 32 characters.
 LENGTHS = 32
 
 
-@lru_cache(1)
-def class_table() -> np.ndarray:
-    """The class of each code point below 65,536; those above share the class of the last.
-
-    0 stands for the start of a text, 1 white space, 2-27 small letters, 28-53 capital ones (both
-    after accents are dropped), 54 digits, 55-60 common punctuation by kind, 61 other symbols, 62
-    and 63 letters of other scripts by parity.
-    """
-    table = np.full(65_536, 61, np.uint8)
-    punctuation = {".": 55, ",": 56, ";": 57, ":": 57, "!": 58, "?": 58, "'": 59, '"': 59, "-": 60, "(": 60, ")": 60}
-    for code in range(65_536):
-        letter = chr(code)
-        kind = unicodedata.category(letter)
-        base = unicodedata.normalize("NFD", letter)[0] if kind[0] == "L" else letter
-        if letter.isspace():
-            table[code] = 1
-        elif "a" <= base <= "z":
-            table[code] = 2 + ord(base) - 97
-        elif "A" <= base <= "Z":
-            table[code] = 28 + ord(base) - 65
-        elif kind[0] == "N":
-            table[code] = 54
-        elif letter in punctuation:
-            table[code] = punctuation[letter]
-        elif kind[0] in "LM":
-            table[code] = 62 + code % 2
-    return table
-
-
-def text_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the n-grams that end at each character, lengths); each text begins with start marks."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    marks = "\0" * (ORDER - 1)
-    raw = np.frombuffer((marks + marks.join(texts)).encode("utf-32-le", "replace"), np.uint32)
-    symbols = class_table()[np.minimum(raw, 65_535)].astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)[:-1]]).astype(np.int64)
-    mark = (starts[:, None] + np.arange(ORDER - 1)).ravel()
-    symbols[mark] = 0
-    codes = symbols.copy()
-    for back in range(1, ORDER):
-        codes[back:] |= symbols[:-back] << (6 * back)
-    own = np.ones(len(symbols), bool)
-    own[mark] = False
-    return codes[own], lengths
+def _numbered(codes: np.ndarray, size: int) -> np.ndarray:
+    """Codes below ``size`` as numbers from 0 on, equal for equal codes."""
+    if size > 1 << 24:
+        return np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    place = np.zeros(size, bool)
+    place[codes] = True
+    place = np.cumsum(place, dtype=np.int32) - 1
+    return place[codes].astype(np.int64)
+
+
+class Grams:
+    """The n-grams of some texts, order by order: a number for each start, and one start of each number."""
+
+    def __init__(self, texts: list[str]):
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        marks = MARK * (ORDER - 1)
+        self.raw = np.frombuffer((marks + marks.join(texts)).encode("utf-32-le", "replace"), np.uint32)
+        self.raw = np.where(self.raw == 0, np.uint32(0xFFFD), self.raw)
+        letters = _numbered(self.raw, ALPHABET)
+        size = int(letters.max()) + 1
+        self.ids = [np.zeros(len(letters) + 1, np.int64), letters]
+        for order in range(2, ORDER + 1):
+            above = self.ids[-1]
+            n = max(0, len(letters) - order + 1)
+            self.ids.append(_numbered(above[:n] * size + letters[order - 1 :], (int(above.max()) + 1) * size))
+        self.first = []
+        for ids in self.ids:
+            first = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+            first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
+            self.first.append(first)
+
+    def strings(self, order: int) -> list[str]:
+        """The distinct n-grams by number."""
+        if not order:
+            return [""]
+        first = self.first[order]
+        window = np.ascontiguousarray(self.raw[first[:, None] + np.arange(order)])
+        return window.view(f"<U{order}").ravel().tolist()
+
+    def own(self) -> np.ndarray:
+        """Numbers of the n-grams of the highest order that end at each character."""
+        starts = np.cumsum(self.lengths + ORDER - 1) - self.lengths - (ORDER - 1)
+        at = np.arange(int(self.lengths.sum())) + np.repeat(starts - np.cumsum(self.lengths) + self.lengths, self.lengths)
+        return self.ids[ORDER][at]
+
+    def surprise(self, p: dict[str, float], mass: dict[str, float]) -> np.ndarray:
+        """Negative log probability of each n-gram of the highest order: its own, or what its context leaves to shorter ones."""
+        below, left = np.array([p.get("", 1 / ALPHABET)]), np.array([mass.get("", 1.0)])
+        for order in range(1, ORDER + 1):
+            names, first = self.strings(order), self.first[order]
+            found = np.array([p.get(g, np.nan) for g in names])
+            shorter = self.ids[order - 1]
+            rest = left[shorter[first]] * below[shorter[first + 1]]
+            below = np.where(np.isnan(found), rest, found)
+            left = np.array([mass.get(g, 1.0) for g in names]) if order < ORDER else left
+        return -np.log(below)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least; the cut depends on the texts alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Groups of small batches with about ``block_bytes`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in _cut(batches, column, min(block_bytes, 1 << 20)):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if size >= block_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def _name(block: list[pa.RecordBatch], column: int) -> int:
+    """A block's number, from its texts."""
+    name = xxhash.xxh3_64()
+    for part in block:
+        for text in _texts(part, column):
+            name.update(text.encode("utf-8", "replace"))
+            name.update(b"\xff")
+    return name.intdigest() - (1 << 63)
 
 
 def count_ngrams(trusted: DataFrame, text_col: str) -> DataFrame:
-    """(code, c): how often each n-gram occurs in all of ``trusted``."""
+    """(gram, c): how often each n-gram of the highest order occurs in all of ``trusted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for batch in slices(batches, 1 << 20):
-            found, n = np.unique(text_codes([t or "" for t in batch.column(0).to_pylist()])[0], return_counts=True)
-            merged, place = np.unique(np.concatenate([seen, found]), return_inverse=True)
-            counts, seen = np.bincount(place, np.concatenate([counts, n]), len(merged)).astype(np.int64), merged
-        for at in range(0, len(seen), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["code", "c"])
+        for part in _cut(batches, 0, 1 << 20):
+            grams = Grams(_texts(part, 0))
+            counts = np.bincount(grams.own(), minlength=len(grams.first[ORDER]))
+            kept = np.flatnonzero(counts)
+            names = grams.strings(ORDER)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in kept.tolist()], pa.string()), pa.array(counts[kept], pa.int64())], ["gram", "c"])
 
-    return trusted.select(F.col(text_col).cast("string")).mapInArrow(run, "code int, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return trusted.select(F.col(text_col).cast("string")).mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -108,81 +163,79 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def train(trusted: DataFrame, text_col: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 on: ((code, p), (context, mass)).
+def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(gram, p, mass) for each n-gram of any order: p is its interpolated probability, or mass what it gives as a context to the next lower order.
 
-    p is the interpolated probability of each n-gram seen, mass what a context gives to the next
-    lower order.  The highest order has raw counts, the others count distinct left neighbours.
+    An n-gram that is both has two rows.  The highest order has raw counts, the others count distinct
+    left neighbours; the empty n-gram has the uniform probability.
     """
     levels = [checkpoint(count_ngrams(trusted, text_col))]
-    for order in range(ORDER - 1, 0, -1):
-        lower = levels[0].groupBy((F.col("code").bitwiseAND(F.lit(CLASSES**order - 1))).alias("code")).agg(F.count(F.lit(1)).alias("c"))
-        levels.insert(0, checkpoint(lower))
-    model: list[tuple[DataFrame, DataFrame]] = []
+    for _ in range(ORDER - 1):
+        levels.insert(0, checkpoint(levels[0].groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("c"))))
+    nothing = F.lit(None).cast("double")
+    lower = trusted.sparkSession.range(1).select(F.lit("").alias("gram"), F.lit(1 / ALPHABET).alias("p"))
+    tables = [lower.withColumn("mass", nothing)]
     for order, counts in enumerate(levels, 1):
         d1, d2, d3 = _discounts(counts)
         discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        cut = counts.select("code", F.shiftright("code", 6).alias("context"), "c", discount.alias("d"))
-        contexts = cut.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("mass"))
-        joined = cut.join(contexts, "context")
-        if model:
-            below = model[-1][0].select(F.col("code").alias("suffix"), F.col("p").alias("q"))
-            joined = joined.withColumn("suffix", F.col("code").bitwiseAND(F.lit(CLASSES ** (order - 1) - 1))).join(below, "suffix")
-        else:
-            joined = joined.withColumn("q", F.lit(1 / CLASSES))
-        seen = checkpoint(joined.select("code", ((F.col("c") - F.col("d")) / F.col("total") + F.col("mass") * F.col("q")).alias("p")))
-        model.append((seen, contexts.select("context", "mass")))
-    return model
-
-
-def pack(model: list[tuple[DataFrame, DataFrame]]) -> list[tuple[np.ndarray, ...]]:
-    """The model as arrays; no order can have more than 64 ** 4 entries."""
-    packed = []
-    for seen, contexts in model:
-        a, b = seen.toArrow(), contexts.toArrow()
-        packed.append((a["code"].to_numpy().astype(np.int32), a["p"].to_numpy().astype(np.float32), b["context"].to_numpy().astype(np.int32), b["mass"].to_numpy().astype(np.float32)))
-    return packed
-
-
-def dense(packed: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """Negative log probabilities of all n-grams of the highest order."""
-    p = np.full(1, 1 / CLASSES, np.float32)
-    for order, (codes, seen, contexts, mass) in enumerate(packed, 1):
-        weight = np.ones(CLASSES ** (order - 1), np.float32)
-        weight[contexts] = mass
-        below = p if order > 1 else np.full(CLASSES, p[0], np.float32)
-        p = np.empty(CLASSES**order, np.float32)
-        # an n-gram without its first symbol is one of the order below: the same ones for each first symbol
-        each = max(1, CLASSES ** (order - 2))
-        for first in range(len(weight) // each):
-            p[first * each * CLASSES : (first + 1) * each * CLASSES] = (weight[first * each : (first + 1) * each, None] * below.reshape(each, CLASSES)).ravel()
-        p[codes] = seen
-    np.maximum(p, np.float32(1e-9), out=p)
-    return np.negative(np.log(p, out=p), out=p)
-
-
-def scored(docs: DataFrame, model: Shared, text_col: str, keep: list[str], field: int | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``_n`` (characters) and ``_nll`` (mean negative log probability, null for no characters).
-
-    With ``field`` the text is that field of the first column, a struct, so that it isn't sent twice.
+        cut = counts.select("gram", F.substring("gram", 1, order - 1).alias("context"), F.substring("gram", 2, ORDER).alias("suffix"), "c", discount.alias("d"))
+        contexts = checkpoint(cut.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("mass")))
+        joined = cut.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
+        lower = checkpoint(joined.select("gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("mass") * F.col("q")).alias("p")))
+        tables += [lower.withColumn("mass", nothing), contexts.select(F.col("context").alias("gram"), nothing.alias("p"), "mass")]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def scored(docs: DataFrame, model: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+    """The columns of ``docs`` but the last, a text, with ``_n`` (characters) and ``_nll`` (mean negative log probability, null for no characters).
+
+    ``docs`` is read twice, and must give the same rows in the same order both times, as a table does;
+    a block that differs is noticed and stops the job.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.get(dense, "n-grams", 1)
-        for batch in slices(batches, 1 << 18):
-            text = batch.column(batch.num_columns - 1) if field is None else pc.struct_field(batch.column(0), field)
-            texts = [t or "" for t in text.to_pylist()]
-            codes, lengths = text_codes(texts)
-            sums = np.concatenate([[0.0], np.cumsum(table[codes], dtype=np.float64)])
-            ends = np.cumsum(lengths)
-            total = sums[ends] - sums[ends - lengths]
-            mean = np.divide(total, lengths, out=np.zeros(len(texts)), where=lengths > 0)
-            columns = [*batch.columns[: len(keep)], pa.array(lengths), pa.array(mean, mask=lengths == 0)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "_n", "_nll"])
-
-    source = docs.select(*keep, *([] if field is not None else [F.col(text_col).cast("string").alias("_text0")]))
-    schema = StructType([*source.schema.fields[: len(keep)], StructField("_n", LongType()), StructField("_nll", DoubleType())])
-    return source.mapInArrow(run, schema)
+    column, keep = len(docs.columns) - 1, docs.columns[:-1]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, column, block_bytes):
+            wanted = {""}
+            for part in block:
+                grams = Grams(_texts(part, column))
+                for order in range(1, ORDER + 1):
+                    wanted.update(grams.strings(order))
+            yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.string()), pa.array([_name(block, column)] * len(wanted), pa.int64())], ["gram", "_block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, column, block_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, block[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                for part in block:
+                    file.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([_name(block, column)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["_block", "docs"])
+
+    def score(packed: pa.Table, found: pa.Table) -> pa.Table:
+        tables: list[dict[str, float]] = []
+        for name in ("p", "mass"):
+            some = found.filter(pc.is_valid(found[name]))
+            tables.append(dict(zip(some["gram"].to_pylist(), some[name].to_pylist())))
+        if "" not in tables[0] or not packed.num_rows:
+            raise RuntimeError("The documents changed between two reads; write them to a table first.")
+        out = []
+        for docs in packed["docs"]:
+            for part in pa.ipc.open_stream(docs.as_py()):
+                grams = Grams(_texts(part, column))
+                lengths, ends = grams.lengths, np.cumsum(grams.lengths)
+                sums = np.concatenate([[0.0], np.cumsum(grams.surprise(*tables)[grams.own()])])
+                mean = np.divide(sums[ends] - sums[ends - lengths], lengths, out=np.zeros(len(lengths)), where=lengths > 0)
+                out.append(pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lengths), pa.array(mean, mask=lengths == 0)], [*keep, "_n", "_nll"]))
+        return pa.Table.from_batches(out)
+
+    asked = docs.mapInArrow(ask, "gram string, _block long")
+    found = asked.join(model, "gram")
+    packed = docs.mapInArrow(pack, "_block long, docs binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return packed.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(score, f"{schema}, _n long, _nll double")
 
 
 def _length_class() -> Column:
@@ -212,24 +265,24 @@ def _pooled(bins: DataFrame, least: int) -> DataFrame:
     return bins.join(F.broadcast(uses.select("len", "_for")), "len").select(F.col("_for").alias("len"), F.round(F.col("bin") * wider).cast("long").alias("bin"), "n")
 
 
-def fences(scores: DataFrame, reach: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fences(scores: DataFrame, reach: float, tail: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Limits of ``_nll``: (lang, mid), (lang, len, low, high) and (len, below, above, bottom, top), the last for every length class.
 
-    ``mid`` is a language's median.  ``low`` and ``high`` are the quartiles of a language's length class
-    less and plus ``reach`` times their distance, where it has ``least`` documents; ``below`` and
-    ``above`` are such limits of the distance from ``mid``, over all languages, ``bottom`` and ``top``
-    those of ``_nll`` itself.  In these four a thin length class is pooled with the nearest ones.
-    Quantiles are exact to STEP: they are read from histograms, never from a gathered list.
+    ``mid`` is a language's median.  ``low`` and ``high`` lie ``reach`` times as far from the median of a
+    language's length class as its quantiles ``tail`` and 1 - ``tail`` do, where it has ``least``
+    documents; ``below`` and ``above`` are such limits of the distance from ``mid``, over all languages,
+    ``bottom`` and ``top`` those of ``_nll`` itself.  In these four a thin length class is pooled with the
+    nearest ones.  Quantiles are exact to STEP: they are read from histograms, never from a gathered list.
     """
     bins = scores.where("_nll is not null").groupBy("lang", "len", F.round(F.col("_nll") / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     bins = checkpoint(bins)
     mids = _ranked(bins, "lang").groupBy("lang").agg(_quantile(0.5).alias("mid"))
-    margin = F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), F.lit(5))
+    away = lambda q: F.lit(reach) * F.greatest(F.abs(F.col(q) - F.col("q2")), F.lit(5))
     limits = lambda ranked, fewest, *keys: (
-        ranked.groupBy(*keys).agg(F.first("total").alias("total"), _quantile(0.25).alias("q1"), _quantile(0.75).alias("q3")).where(F.col("total") >= fewest)
-        .select(*keys, ((F.col("q1") - margin) * STEP).alias("low"), ((F.col("q3") + margin) * STEP).alias("high"))
+        ranked.groupBy(*keys).agg(F.first("total").alias("total"), _quantile(tail).alias("q1"), _quantile(0.5).alias("q2"), _quantile(1 - tail).alias("q3")).where(F.col("total") >= fewest)
+        .select(*keys, ((F.col("q2") - away("q1")) * STEP).alias("low"), ((F.col("q2") + away("q3")) * STEP).alias("high"))
     )
-    # no probability is below 1e-9, so there are at most 21,000 of these
+    # a bin is a thousandth of a log probability, so there are some 20,000 of these
     whole = sorted(tuple(r) for r in bins.groupBy("bin").agg(F.sum("n")).collect())
     half = sum(n for _, n in whole) / 2
     middle = next((x for (x, _), upto in zip(whole, accumulate(n for _, n in whole)) if upto >= half), 0)
@@ -240,27 +293,28 @@ def fences(scores: DataFrame, reach: float, least: int) -> tuple[DataFrame, Data
     return mids.select("lang", (F.col("mid") * STEP).alias("mid")), limits(_ranked(bins, "lang", "len"), least, "lang", "len"), every.join(raw, "len")
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, keep: list[str], id_col: str, text_col: str, lang_col: str, reach: float, least: int, max_ids: int, field: int | None = None) -> DataFrame:
-    """The columns ``keep`` with ``_n``, ``_nll``, ``low``, ``high``, ``kept``."""
-    spark = docs.sparkSession
+def judged(docs: DataFrame, trusted_ids: DataFrame, reach: float, tail: float, least: int, max_ids: int, block_bytes: int) -> DataFrame:
+    """``docs`` (_id, more columns, _lang, _text) without the text, with ``_n``, ``_nll``, ``low``, ``high``, ``kept``."""
     ids = trusted_ids.distinct()
     ids = F.broadcast(ids) if ids.count() <= max_ids else ids
-    trusted = docs.join(ids, F.col(id_col) == F.col("_trusted"), "left_semi")
-    model = Shared(spark, pack(train(trusted, text_col)))
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")
-    known = scored(trusted.select(lang, F.col(text_col)), model, text_col, ["lang"])
-    mids, own, every = (checkpoint(x) for x in fences(known.select("lang", _length_class().alias("len"), "_nll"), reach, least))
-    hint = F.broadcast if mids.count() + own.count() <= 100_000 else (lambda df: df)  # there are 64 length classes at most
-    found = scored(docs.select(*keep, lang.alias("_lang"), F.col(text_col).alias("_t")), model, "_t", [*keep, "_lang"], field).withColumn("_len", _length_class())
-    found = found.join(hint(mids.withColumnRenamed("lang", "_lang")), "_lang", "left")
+    among = lambda df: df.join(ids, F.col("_id") == F.col("_trusted"), "left_semi")
+    scores = checkpoint(scored(docs, train(among(docs.select("_id", "_text")), "_text"), block_bytes).withColumn("_len", _length_class()))
+    known = among(scores.select("_id", F.col("_lang").alias("lang"), F.col("_len").alias("len"), "_nll"))
+    mids, own, every = (checkpoint(x) for x in fences(known, reach, tail, least))
+    hint = F.broadcast if mids.count() + own.count() <= 100_000 else (lambda df: df)  # there are 32 length classes at most
+    found = scores.join(hint(mids.withColumnRenamed("lang", "_lang")), "_lang", "left")
     found = found.join(hint(own.withColumnsRenamed({"lang": "_lang", "len": "_len"})), ["_lang", "_len"], "left")
     found = found.join(F.broadcast(every.withColumnRenamed("len", "_len")), "_len", "left")
     low, high = F.coalesce("low", F.col("mid") + F.col("below"), "bottom"), F.coalesce("high", F.col("mid") + F.col("above"), "top")
     kept = F.coalesce(F.col("_nll").between(low, high), F.lit(True))
-    return found.select(*keep, "_n", "_nll", low.alias("low"), high.alias("high"), kept.alias("kept"))
+    return found.select(*scores.columns, low.alias("low"), high.alias("high"), kept.alias("kept"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 6.0, least: int = 25, max_ids: int = 4_000_000) -> DataFrame:
+def _language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 5.0, tail: float = 0.05, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, ``n_chars``, ``perplexity``, ``low``, ``high``, ``kept``.
 
     ``trusted_ids``: one column, ``_trusted``, the ids of the trusted documents; the model counts all
@@ -269,14 +323,25 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     all languages do, pooled with the nearest lengths where there are fewer than ``least`` of it; a
     language without trusted text has the fences of all trusted text.  So each document with text is
     judged.  Null and empty texts have no perplexity and are kept, as is everything when nothing is
-    trusted.  A null language is one of its
-    own.  Repeated rows give a row each; repeated trusted ids count once.
+    trusted.  A null language is one of its own.  Repeated rows give a row each; repeated trusted ids
+    count once.  A text of any length is scored whole.
     """
-    found = judged(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_txt"), F.col(lang_col).alias("_lng")), trusted_ids, ["_id"], "_id", "_txt", "_lng", reach, least, max_ids)
+    rows = docs.select(F.col(id_col).alias("_id"), _language(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    found = judged(rows, trusted_ids, reach, tail, least, max_ids, block_bytes)
     return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.exp("_nll").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
-def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 6.0, least: int = 25, max_ids: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` that :func:`classify` keeps, columns as they are and no text shuffled."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_txt"), F.col(lang_col).alias("_lng"))
-    return judged(packed, trusted_ids, ["_row"], "_id", "_txt", "_lng", reach, least, max_ids, docs.columns.index(text_col)).where("kept").select("_row.*")
+def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 5.0, tail: float = 0.05, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` keeps, columns as they are.
+
+    A verdict depends on language and text alone, so rows are told by a hash of both; only rows that a
+    Bloom filter of rejected hashes lets through are shuffled.
+    """
+    key = lambda lang, text: F.sha2(F.concat_ws("\n", lang, F.coalesce(text, F.lit(""))), 256)
+    rows = docs.select(F.col(id_col).alias("_id"), _language(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    rows = rows.select("_id", key(F.col("_lang"), F.col("_text")).alias("_key"), "_lang", "_text")
+    poor = judged(rows, trusted_ids, reach, tail, least, max_ids, block_bytes).where("not kept")
+    poor = checkpoint(poor.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
+    packed = docs.select(key(_language(lang_col), F.col(text_col).cast("string")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    safe, maybe = split_by(packed, "_key", poor.select("_key"))
+    return safe.select("_row.*").unionByName(without(maybe, poor, "_key", "_n").select("_row.*"))

@@ -88,6 +88,20 @@ def test_word_bpe_equals_library(library, text):
     assert own.decode(wanted) == library.decode(wanted, skip_special_tokens=False)
 
 
+def test_long_words_equal_library(library):
+    own, r = bpe.word_bpe(vocabulary("word_bpe_49k.json")), random.Random(6)
+    for size in (47, 48, 49, 200, 3000):
+        word = "".join(r.choice("abenstir") for _ in range(size))
+        assert own.encode(word) == own.encode(f"x {word}")[1:] == library.encode(word, add_special_tokens=False).ids
+    assert len(own.encode("qwxz" * 250_000)) == 750_000  # seconds, not hours
+
+
+def test_scan_equals_heap():
+    own, r = bpe.byte_bpe(vocabulary("byte_bpe_50k.tiktoken")), random.Random(7)
+    words = ["".join(r.choice("aaabenstir é") for _ in range(r.randrange(1, 49))).encode() for _ in range(2000)] + [b"", b"aaaaaaaaaa"]
+    assert own.encode_pieces(words) == [own.encode_piece(w) if w else [] for w in words]
+
+
 def test_encode_documents(spark, library):
     got = bpe.encode_documents(odd.docs(spark), vocabulary("word_bpe_49k.json")).collect()
     wanted = []
@@ -115,7 +129,7 @@ def tiktoken_encoding():
 
 
 def test_count_tree_equals_whole_count():
-    counts, whole, r = tokencount.piece_counts(vocabulary("byte_bpe_50k.tiktoken")), tiktoken_encoding(), random.Random(5)
+    counts, whole, r = tokencount.PieceCounts(vocabulary("byte_bpe_50k.tiktoken")), tiktoken_encoding(), random.Random(5)
     letters = "abé 's'tll12  \n\n.,'x  日本"
     for _ in range(400):
         text = "".join(r.choice(letters) for _ in range(r.randrange(300)))
@@ -143,13 +157,13 @@ def test_count_edited(spark):
 
 
 def kneser_ney(texts):
-    """The model by its definition, over dictionaries of class tuples."""
-    table = quality.class_table()
+    """The model by its definition, over dictionaries of strings."""
+    mark = chr(0x10FFFF)
     levels = [{} for _ in range(4)]
     for t in texts:
-        s = [0, 0, 0] + [int(table[min(ord(c), 65_535)]) for c in t]
+        s = mark * 3 + t
         for i in range(3, len(s)):
-            gram = tuple(s[i - 3 : i + 1])
+            gram = s[i - 3 : i + 1]
             levels[3][gram] = levels[3].get(gram, 0) + 1
     for order in (2, 1, 0):
         for gram in levels[order + 1]:
@@ -166,7 +180,7 @@ def kneser_ney(texts):
 
     def p(gram):
         if not gram:
-            return 1 / 64
+            return 1 / 0x110000
         counts, d = levels[len(gram) - 1], discounts[len(gram) - 1]
         same = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
         total = sum(same.values())
@@ -176,19 +190,38 @@ def kneser_ney(texts):
         own = counts.get(gram, 0)
         return ((own - cut(own)) / total if own else 0) + sum(cut(c) for c in same.values()) / total * p(gram[1:])
 
-    return p
+    return lambda t: sum(-math.log(p((mark * 3 + t)[i : i + 4])) for i in range(len(t))) / len(t)
 
 
-def test_model_equals_its_definition(spark):
+@pytest.mark.parametrize("letters", ["ab cdE.", "абв гдЖ.", "日本語文 字。"])
+def test_perplexity_equals_its_definition(spark, letters):
     r = random.Random(2)
-    texts = ["".join(r.choice("ab cdE.") for _ in range(r.randrange(1, 60))) for _ in range(30)] + ["héllo 日 1"]
-    model = quality.dense(quality.pack(quality.train(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))))
-    p = kneser_ney(texts)
-    codes, lengths = quality.text_codes(["abc d", "", "zzz?", texts[0]])
-    assert list(lengths) == [5, 0, 4, len(texts[0])]
-    for code in np.unique(codes):
-        gram = tuple(int(code) >> s & 63 for s in (18, 12, 6, 0))
-        assert math.isclose(math.exp(-model[code]), p(gram), rel_tol=1e-4)
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 60))) for _ in range(30)] + ["héllo 日 1"]
+    trained = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    asked = [texts[0], "", "zzz?", letters * 30, "\0\0x", "щ", None, texts[0]]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    wanted = kneser_ney(texts)
+    for block in (1, 100, 16 << 20):
+        got = {x.doc_id: x for x in quality.scored(docs, quality.train(trained), block).collect()}
+        assert {i: x._n for i, x in got.items()} == {i: len(t or "") for i, t in enumerate(asked)}
+        assert all(math.isclose(got[i]._nll, wanted(t.replace("\0", chr(0xFFFD))), rel_tol=1e-9) if t else got[i]._nll is None for i, t in enumerate(asked))
+
+
+def test_fences_are_quantiles(spark):
+    r = random.Random(8)
+    rows = [("ru", 9, round(r.gauss(2, 0.1), 3)) for _ in range(101)] + [("ja", 9, round(r.gauss(4, 0.3), 3)) for _ in range(57)]
+    own = {x.lang: x for x in quality.fences(spark.createDataFrame(rows, "lang string, len int, _nll double"), 5.0, 0.05, 25)[1].collect()}
+    for lang in ("ru", "ja"):
+        values = sorted(x[2] for x in rows if x[0] == lang)
+        at = lambda q: values[math.ceil(q * len(values)) - 1]  # noqa: B023, E731
+        assert math.isclose(own[lang].low, at(0.5) - 5 * (at(0.5) - at(0.05)), abs_tol=1e-6) and math.isclose(own[lang].high, at(0.5) + 5 * (at(0.95) - at(0.5)), abs_tol=1e-6)
+
+
+def test_very_long_text_is_scored_whole(spark):
+    text = "a b" * 700_000 + "#" * 700_000
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    got = {x.doc_id: x for x in quality.scored(docs, quality.train(docs.where("doc_id = 2"))).collect()}
+    assert got[1]._n == len(text) and got[1]._nll > got[2]._nll + 2
 
 
 def test_quality_keeps_clean_and_drops_noise(spark):
