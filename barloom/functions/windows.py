@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -45,6 +47,21 @@ def with_position(df: DataFrame, name: str = "pos", keys: tuple[str, ...] = KEYS
     return cut.withColumn("_own", own).join(counts, [*keys, "_chunk"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_chunk")
 
 
+def in_blocks(df: DataFrame, step: Callable[[DataFrame], DataFrame], before: int = 0, after: int = 0, block: int = 1 << 16) -> DataFrame:
+    """``step(df)``, where a row depends on at most ``before`` earlier and ``after`` later rows of its series.
+
+    A series is cut into blocks of ``block`` rows, each with copies of the rows next to it that it needs, so
+    no task holds a whole series.  ``df`` needs ``pos``; within ``step`` a block has a symbol of its own.
+    """
+    if max(before, after) > block:
+        raise ValueError("a block must hold as many rows as the frame reaches")
+    own, place = F.floor(F.col("pos") / block), F.col("pos") % block
+    blocks = F.array_compact(F.array(own, F.when(place >= block - before, own + 1), F.when((place < after) & (own > 0), own - 1)))
+    cut = df.withColumn("_blk", F.explode(blocks)).withColumn("symbol", F.struct("symbol", F.col("_blk").alias("block"))).drop("_blk")
+    out = step(cut).where(F.floor(F.col("pos") / block) == F.col("symbol.block"))
+    return out.withColumn("symbol", F.col("symbol.symbol"))
+
+
 def ewm(df: DataFrame, columns: dict[str, tuple[str, int]], keys: tuple[str, ...] = KEYS, block: int = 256, position: str = "pos") -> DataFrame:
     """Exponential means y = (1 - a) y_before + a x, a = 2 / (span + 1), begun with the first value.
 

@@ -21,7 +21,7 @@ def nearest_level(x: Column, ratios: tuple[float, ...] = FIB_RATIOS) -> Column:
 
 def excursions(moves: DataFrame, bars: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """``mfe_pct``, ``mae_pct`` and ``fib_agotamiento`` from the highest and lowest price during each movement; one range join for all three."""
-    range_of = in_range(moves, bars.select("symbol", "ts", "high", "low"), "symbol", "timestamp_inicio", "timestamp_fin", "ts", bucket_seconds, [F.max("high").alias("_hi"), F.min("low").alias("_lo")], ID)
+    range_of = in_range(moves, bars.select("symbol", "ts", "high", "low"), "symbol", "timestamp_inicio", "timestamp_fin", "ts", bucket_seconds, {"_hi": (F.max, "high"), "_lo": (F.min, "low")}, ID)
     found = moves.join(range_of, ID, "left")
     long, start, extreme = F.col("direccion") == "LONG", F.nullif(F.col("precio_inicio"), F.lit(0.0)), F.col("precio_extremo")
     up, down = (F.col("_hi") - start) / start * 100, (start - F.col("_lo")) / start * 100

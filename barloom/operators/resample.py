@@ -39,5 +39,17 @@ def ohlcv(rows: DataFrame, tf: str, causal: bool = True) -> DataFrame:
 
 
 def all_timeframes(rows: DataFrame, tfs: list[str] = ORDER, causal: bool = True) -> DataFrame:
-    """The bars of several timeframes in one frame, told apart by ``tf``; one shuffle each, all in one plan."""
-    return reduce(DataFrame.unionByName, [ohlcv(rows, tf, causal) for tf in tfs])
+    """The bars of several timeframes in one frame, told apart by ``tf``.
+
+    Bars are rolled up from the finest timeframe whose bars they hold whole, so ``rows`` are shuffled
+    once (the plan has that exchange once and reuses it).  Weeks begin at the other edge of a day than
+    days do, and come from ``rows``.
+    """
+    made: list[str] = []
+    out: list[DataFrame] = []
+    for tf in sorted(tfs, key=MINUTES.__getitem__):
+        finer = next((f for f in made if MINUTES[tf] % MINUTES[f] == 0), None) if tf not in ("1W", "1M") else None
+        out.append(ohlcv(rows if finer is None else ohlcv(rows, finer).drop("tf"), tf, causal))
+        if tf not in ("1W", "1M"):
+            made.append(tf)
+    return reduce(DataFrame.unionByName, out)
