@@ -92,7 +92,7 @@ def windows_of(total: int, n: int = WINDOWS, overlap: float = OVERLAP, rolling:
     return out
 
 
-def robustness(rows: DataFrame, flags: list[str], patterns: DataFrame, n: int = WINDOWS, least: int = 3, rolling: bool = False) -> DataFrame:
+def robustness(rows: DataFrame, flags: list[str], patterns: DataFrame, n: int = WINDOWS, least: int = 3, rolling: bool = False, categories: list[str] = ()) -> DataFrame:
     """``patterns`` with their win rate in each window (``wr_ventanas``), its spread, the share of windows with an edge, and ``robusto``."""
     total = rows.count()
     spans = windows_of(total, n, rolling=rolling)
@@ -104,7 +104,7 @@ def robustness(rows: DataFrame, flags: list[str], patterns: DataFrame, n: int =
     placed = timed.withColumn("_own", place).join(days, "_day").withColumn("_pos", F.col("_own") + F.col("_before") - 1)
     borders = {r[0]: r[1] for r in placed.where(F.col("_pos").isin([p for _, a, b in spans for p in (a, b)])).select("_pos", "_us").collect()}
     limits = [F.struct(F.lit(i).alias("w"), F.lit(borders[a]).alias("a"), F.lit(borders[b]).alias("b")) for i, a, b in spans]
-    facts = long_form(timed, flags, keep=["tf", "direccion", "_us", "continuacion"])
+    facts = long_form(timed, flags, categories, keep=["tf", "direccion", "_us", "continuacion"])
     facts = facts.withColumn("_w", F.explode(F.filter(F.array(*limits), lambda s: F.col("_us").between(s["a"], s["b"]))))
     rates = facts.groupBy("variable", "value", "direccion", F.col("_w.w").alias("w")).agg(F.count(F.lit(1)).alias("_n"), _wins().alias("wr")).where(F.col("_n") >= least)
     per = rates.groupBy("variable", "value", "direccion").agg(

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.catalogue import COMBO_SIZE, COMBO_TRADES, HOLD, HORIZONS, STOP_LOSS, TAKE_PROFIT, WR_EDGE
+from barloom.catalogue import COMBO_N, COMBO_SIZE, COMBO_TRADES, COMBO_WR, HOLD, HORIZONS, STOP_LOSS, TAKE_PROFIT, WR_EDGE
 from barloom.functions.windows import KEYS, flag, series
 from barloom.operators.hop import hop_select
 
@@ -22,6 +21,17 @@ def all_of(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit(0)) == 1 for c in columns])
 
 
+def chosen_signals(table: DataFrame, least: int = COMBO_N, win_rate: float = COMBO_WR, otherwise: float = WR_EDGE, horizon: int = max(HORIZONS)) -> tuple[list[str], list[str]]:
+    """(long, short) variables of a :func:`univariate` table that trade: those of ``least`` rows and ``win_rate`` at the horizon, by the lower rate ``otherwise`` if neither side has any.
+
+    The table has one row for each variable, so it is small.
+    """
+    rows = table.where(F.col("n") >= least).select("variable", f"wr_long_{horizon}", f"wr_short_{horizon}").collect()
+    pick = lambda k, rate: sorted(r[0] for r in rows if r[k] is not None and r[k] >= rate)
+    first = pick(1, win_rate), pick(2, win_rate)
+    return first if any(first) else (pick(1, otherwise), pick(2, otherwise))
+
+
 def event_flags(df: DataFrame, bull: list[str], bear: list[str]) -> DataFrame:
     return df.withColumns({"event_bull": flag(any_of(bull)), "event_bear": flag(any_of(bear))})
 
@@ -127,14 +137,22 @@ def combo_search(df: DataFrame, signals: list[str], take: float = TAKE_PROFIT, s
     combinations of its own set signals.  The next entry is strictly after the exit.
     """
     names = sorted(signals)
+    if len(names) > 62:
+        raise ValueError("a set of signals is held in 62 bits")
     hits = first_hit(df, take, stop, hold).where("long is not null and close > 0")
-    combos = [list(c) for k in range(1, size + 1) for c in combinations(range(len(names)), k)]
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.coalesce(F.col(n), F.lit(0)) == 1, F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(names)], F.lit(0)).cast("long")
-    spark = df.sparkSession
-    table = spark.createDataFrame([(sum(1 << i for i in c), " + ".join(names[i] for i in c), len(c)) for c in combos], "combo long, signals string, n_signals int")
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.coalesce(F.col(n), F.lit(0)) == 1, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, n in enumerate(names)], F.lit(0).cast("long"))
     bars = hits.select(*KEYS, "pos", mask.alias("_mask"), F.col("long.exit").alias("exit"), F.col("long.pnl").alias("pnl"), F.col("long.reason").alias("reason")).where("_mask > 0")
     # each set of signals that occurs is expanded to its combinations, not each bar
-    subsets = bars.select("_mask").distinct().join(F.broadcast(table), F.col("_mask").bitwiseAND(F.col("combo")) == F.col("combo"))  # the table's size depends on the number of signals alone
+    set_bits = F.expr(f"filter(sequence(0, {len(names) - 1}), i -> shiftright(_mask, i) & 1 = 1)")
+    level = F.transform("_bits", lambda i: F.array(i))
+    levels = [level]
+    for _ in range(size - 1):
+        longer = lambda c: F.transform(F.filter("_bits", lambda j: j > F.element_at(c, -1)), lambda j: F.concat(c, F.array(j)))
+        level = F.flatten(F.transform(level, longer))
+        levels.append(level)
+    label = F.array_join(F.transform("combo", lambda i: F.element_at(F.array(*[F.lit(n) for n in names]), i + 1)), " + ")
+    subsets = bars.select("_mask").distinct().withColumn("_bits", set_bits).select("_mask", F.explode(F.concat(*levels)).alias("combo"))
+    subsets = subsets.select("_mask", label.alias("signals"), F.size("combo").alias("n_signals"))
     entries = bars.join(subsets, "_mask").select(*KEYS, "signals", "n_signals", F.col("pos").alias("start"), F.col("exit").alias("end"), "pnl", "reason")
     trades = hop_select(entries, [*KEYS, "signals"], "start", "end", 1)
     wins = F.avg((F.col("pnl") > 0).cast("double"))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from barloom.catalogue import EXHAUSTION, ORDER, SWING_BARS
-from barloom.functions.indicators import flag_columns, ma_family, macd, stochastic
-from barloom.operators import mining, movements, outcomes, resample, structure
-from barloom.operators.asof import asof
+from barloom.functions.indicators import fib_levels, flag_columns, ma_family, macd, stochastic
+from barloom.operators import analysis, mining, movements, outcomes, resample, structure
+from barloom.operators.asof import state_matrix
 from barloom.sources.bars import latest, upsert
+from barloom.sources.report import html_page, html_table
 from barloom.stored import checkpoint
 
 
@@ -29,41 +30,96 @@ class Result:
     matches: DataFrame
 
 
-def state_of(bars: DataFrame, tf: str) -> tuple[DataFrame, list[str]]:
-    """Indicators of one timeframe, and the names of its flags."""
-    df = stochastic(macd(ma_family(bars.where(F.col("tf") == tf))))
-    return df, flag_columns(df)
+#: Categories of the structure that patterns are mined from, beside the indicators' flags.
+CATEGORIES = ("estructura", "bos_event", "choch_event")
+
+
+def states_of(bars: DataFrame, formed: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Indicator flags and structure of every bar of every timeframe, and the flags' names."""
+    df = checkpoint(fib_levels(checkpoint(ma_family(checkpoint(stochastic(macd(bars)))))))
+    flags = flag_columns(df)
+    return df.select("symbol", "tf", "ts", *flags).join(formed.select("symbol", "tf", "ts", *CATEGORIES), ["symbol", "tf", "ts"], "left"), flags
+
+
+def matrix(spine: DataFrame, states: DataFrame, tfs: list[str], columns: list[str]) -> DataFrame:
+    """``spine`` with every column of every timeframe's state as of its time, named timeframe_column."""
+    wide = state_matrix(spine, states, tfs, columns)
+    return wide.select(*spine.columns, *[F.col(f"s_{tf}.{c}").alias(f"{tf}_{c}") for tf in tfs for c in columns])
 
 
 def analyse(base: DataFrame, tfs: list[str] = ORDER, state_tf: str | None = None, swings: dict[str, int] = SWING_BARS, exhaustion: dict[str, float] = EXHAUSTION) -> Result:
     """Everything from ``base`` (ticks, or bars of the lowest timeframe).
 
-    The state of ``state_tf`` (the lowest timeframe by default) as of each movement's start is what
-    patterns are mined from.
+    Patterns are mined from the state matrix as of each movement's start: the indicator flags and the
+    structure of all timeframes.  Excursions are taken over the bars of ``state_tf`` (the lowest by default).
     """
     bars = checkpoint(resample.all_timeframes(base, tfs))
     formed = checkpoint(structure.structure(bars, {tf: swings[tf] for tf in tfs}))
     moves = checkpoint(movements.link_parents(checkpoint(movements.movements(formed, exhaustion)), tfs))
-    finest = state_tf or tfs[-1]
-    facts = outcomes.outcomes(moves, bars.where(F.col("tf") == finest))
-    states, flags = state_of(bars, finest)
+    facts = outcomes.outcomes(moves, bars.where(F.col("tf") == (state_tf or tfs[-1])))
+    states, flags = states_of(bars, formed)
     states = checkpoint(states)
-    stated = asof(facts, states.select("symbol", "ts", *flags), ["symbol"], "timestamp_inicio", "ts", flags, "_s").select("*", *[F.col(f"_s.{f}").alias(f) for f in flags]).drop("_s")
-    stated = checkpoint(stated)
-    patterns = mining.mine(stated, flags)
-    robust = mining.robustness(stated, flags, patterns)
-    return Result(bars, formed, moves, facts, patterns, robust, mining.match(patterns, latest(states), flags))
+    columns = [*flags, *CATEGORIES]
+    names, kinds = ([f"{tf}_{c}" for tf in tfs for c in x] for x in (flags, CATEGORIES))
+    stated = checkpoint(matrix(facts.withColumn("ts", F.col("timestamp_inicio")), states, tfs, columns))
+    now = checkpoint(matrix(latest(states).select("symbol", "ts"), states, tfs, columns))
+    patterns = checkpoint(mining.mine(stated, names, kinds))
+    robust = mining.robustness(stated, names, patterns, categories=kinds)
+    return Result(bars, formed, moves, facts, patterns, robust, mining.match(patterns, now, names, kinds))
 
 
-def live(bars: DataFrame, patterns: DataFrame, history: DataFrame, tf: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Matches of each micro-batch of new bars of one timeframe against ``patterns``, written to ``out``/batch=k.
+def live(bars: DataFrame, patterns: DataFrame, history: DataFrame, out: str, checkpoint_dir: str, tfs: list[str] = ORDER, swings: dict[str, int] = SWING_BARS) -> StreamingQuery:
+    """Matches of a stream of bars (of all timeframes) against ``patterns``, written to ``out``/matches/batch=k for each micro-batch.
 
-    The state is that after the batch, over ``history`` and the batch's bars; a batch run again writes
-    the same place again.
+    The state is that over ``history`` and all bars so far: each batch is added to the table that the
+    one before left.  Tables are kept in two places by turns, so a batch that is run again after a
+    failure finds what it began with and writes the same again.
     """
+    keys = ("symbol", "tf", "ts")
 
     def work(batch: DataFrame, number: int) -> None:
-        states, flags = state_of(upsert(history, batch.select(*history.columns)), tf)
-        mining.match(patterns, latest(states), flags).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark, place = batch.sparkSession, f"{out}/bars{number % 2}"
+        before = spark.read.schema(history.schema).parquet(f"{out}/bars{(number - 1) % 2}") if number else history
+        upsert(before, batch.select(*history.columns), keys).write.mode("overwrite").parquet(place)
+        whole = spark.read.schema(history.schema).parquet(place)
+        states, flags = states_of(whole, structure.structure(whole, {tf: swings[tf] for tf in tfs}))
+        columns = [*flags, *CATEGORIES]
+        names, kinds = ([f"{tf}_{c}" for tf in tfs for c in x] for x in (flags, CATEGORIES))
+        now = matrix(latest(states).select("symbol", "ts"), states, tfs, columns)
+        mining.match(patterns, now, names, kinds).write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
+
+    return bars.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint_dir).start()
+
+
+def report(found: Result, rows: int = 500) -> str:
+    """The whole result as one HTML page: counts by timeframe, outcomes, patterns, robust ones, what matches now."""
+    counts = found.movements.groupBy("tf", "direccion").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("magnitud_pct"), 4).alias("magnitud_media")).orderBy("tf", "direccion")
+    robust = found.robust.where("robusto").select(*mining.PATTERN, "n", "winrate", "wr_std", "pct_ventanas_edge")
+    parts = [("Movements", counts), ("Outcomes", outcomes.by_timeframe(found.outcomes).orderBy("tf", "direccion")), ("Patterns", mining.describe(mining.summary(found.patterns)).select("patron", "direccion", "n", "winrate", "wr_valid", "estado")), ("Robust patterns", robust), ("Matching now", mining.describe(found.matches).select("symbol", "patron", "direccion", "n", "winrate"))]
+    return html_page("Movements and patterns", *[html_table(df, title, rows) for title, df in parts])
+
+
+@dataclass
+class Moves:
+    """Histogram-driven moves, and statistics of the state signatures at their starts and ends."""
+
+    moves: DataFrame
+    entry: DataFrame
+    exit: DataFrame
+
+
+def exhaustion(high: str = "stoch_ob", low: str = "stoch_os", context_high: str = "context_ob", context_low: str = "context_os") -> dict[str, Column]:
+    """Exits of moves: an extreme stochastic after five bars of a shrinking histogram, or after three where a higher timeframe has one, too."""
+    shrinks = lambda extreme, context, bars: ((F.col(extreme) == 1) & (F.col(bars) >= 5)) | ((F.col(context) == 1) & (F.col(bars) >= 3))
+    return {"long_exit": shrinks(high, context_high, "macd_hist_bars_falling"), "short_exit": shrinks(low, context_low, "macd_hist_bars_rising")}
+
+
+def analyse_moves(df: DataFrame, columns: list[str], **options) -> Moves:
+    """Moves of bars with ``pos``, a MACD histogram and the state ``columns`` of which signatures are made."""
+    moves = checkpoint(analysis.histogram_moves(df, **options))
+
+    def stats(position: str) -> DataFrame:
+        stated = analysis.state_at(moves, df, columns, position)
+        return analysis.pattern_stats(stated.withColumn("pattern_key", analysis.pattern_key(stated, columns)))
 
-    return bars.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
+    return Moves(moves, stats("bar_start"), stats("bar_end"))

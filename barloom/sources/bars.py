@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.catalogue import ORDER
+
 VALUES = ("open", "high", "low", "close", "volume")
 CSV_SCHEMA = "timestamp timestamp, open double, high double, low double, close double, volume double"
 BAR_SCHEMA = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
@@ -55,15 +57,17 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Both, with one bar for each (symbol, ts): that of ``new`` where it has one.
+def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """Both, with one bar for each key: that of ``new`` where it has one.
 
-    Of repeated bars within an input the one with the largest ``seq`` stays, if there is such a column.
+    Of repeated bars within an input the one with the largest ``seq`` stays, if there is such a column, then
+    the one with the largest values, column by column.
     """
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    order = F.struct("_new", "seq") if "seq" in both.columns else F.struct("_new")
+    first = [c for c in ("_new", "seq") if c in both.columns]
+    order = F.struct(*first, *[c for c in both.columns if c not in first])
     row = F.struct(*[c for c in both.columns if c != "_new"])
-    return both.groupBy("symbol", "ts").agg(F.max_by(row, order).alias("_r")).select("_r.*")
+    return both.groupBy(*keys).agg(F.max_by(row, order).alias("_r")).select("_r.*")
 
 
 def time_range(bars: DataFrame, start: str, end: str, parity: bool = False) -> DataFrame:
@@ -103,12 +107,29 @@ def write_table(df: DataFrame, path: str, partition: str | None = "symbol", kind
     writer.format(kind).save(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """A stored result table as parquet, CSV or JSON."""
+    reader = spark.read.schema(schema)
+    return no_nan((reader.option("header", True) if kind == "csv" else reader).format(kind).load(path))
+
+
+def lookup(rows: DataFrame, **key) -> DataFrame:
+    """The rows of one key; the filter reaches a stored table's files."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def register_views(rows: DataFrame, prefix: str = "bars") -> list[str]:
+    """A temporary view for SQL of each timeframe, named prefix_timeframe, and one of all of them."""
+    rows.createOrReplaceTempView(prefix)
+    names = [prefix]
+    for tf in ORDER:
+        rows.where(F.col("tf") == tf).createOrReplaceTempView(f"{prefix}_{tf.lower()}")
+        names.append(f"{prefix}_{tf.lower()}")
+    return names
+
+
 def state_json(rows: DataFrame) -> DataFrame:
     """Each row as one JSON text, NaN and null as null."""
     return no_nan(rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-
-
-def last_write_wins(rows: DataFrame, keys: tuple[str, ...], seq: str) -> DataFrame:
-    """One row for each key, the one with the largest ``seq``, by a window instead of an aggregate (rows with many columns)."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(seq).desc()))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from barloom.catalogue import EXHAUSTION, MINUTES
 from barloom.operators.movements import SCHEMA, Machine
 from barloom.sources.bars import upsert
+from barloom.stored import checkpoint as stored
 
 
 def stream_bars(ticks: DataFrame, tf: str, delay: str = "10 minutes") -> DataFrame:
@@ -29,26 +31,33 @@ def stream_bars(ticks: DataFrame, tf: str, delay: str = "10 minutes") -> DataFra
     return bars.select("symbol", F.lit(tf).alias("tf"), F.col("_win.end").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def upsert_stream(bars: DataFrame, path: str, checkpoint: str, schema: str) -> StreamingQuery:
-    """Keeps the table at ``path``/version=k up to date with a stream of bars; each batch writes one new version, readers take the last.
+def stored_bars(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that :func:`upsert_stream` keeps, with its column ``part``; no rows before the first batch."""
+    whole = f"{schema}, part date"
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], whole)
 
-    A batch that is run again after a failure writes the same version again.
+
+def upsert_stream(bars: DataFrame, path: str, checkpoint: str, schema: str, width: str = "day") -> StreamingQuery:
+    """Keeps the table at ``path``, in parts of a day (or a week, or a month), up to date with a stream of bars; a batch writes the parts that it touches.
+
+    A batch that is run again after a failure leaves the same rows, for a bar replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(schema).parquet(f"{path}/version={number - 1}") if number else spark.createDataFrame([], schema)
-        upsert(old, batch.select(*old.columns)).write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = batch.withColumn("part", F.to_date(F.date_trunc(width, "ts")))
+        parts = [r[0] for r in new.select("part").distinct().collect()]  # a batch of live bars spans few days
+        old = stored_bars(batch.sparkSession, path, schema).where(F.col("part").isin(parts))
+        merged = stored(upsert(old, new.select(*old.columns)))  # read before its parts are replaced
+        merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
     return bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
-def last_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == newest).drop("version")
-
-
 class MovementProcessor(StatefulProcessor):
     """The movement state machine over a stream of bars with structure events, in order for each (symbol, tf).
 

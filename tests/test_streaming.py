@@ -44,11 +44,16 @@ def test_movements(spark, tmp_path):
 
 def test_upsert(spark, tmp_path):
     schema = "symbol string, ts timestamp, close double, seq long"
-    for k, close in enumerate((1.0, 2.0)):
-        spark.createDataFrame([("a", T0, close, k), (f"s{k}", T0, 5.0, k)], schema).coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    query = streaming.upsert_stream(source, str(tmp_path / "table"), str(tmp_path / "ck"), schema)
-    query.processAllAvailable()
-    query.stop()
-    found = sorted((r.symbol, r.close) for r in streaming.last_version(spark, str(tmp_path / "table")).collect())
-    assert [f for f in found if f[0] != "a"] == [("s0", 5.0), ("s1", 5.0)] and len(found) == 3
+    for k, close in enumerate((1.0, 2.0, 3.0)):
+        rows = [("a", T0, close, k), (f"s{k}", T0, 5.0, k), ("b", T0 + timedelta(days=k), close, k)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    table, found = str(tmp_path / "table"), {}
+    for k in (0, 1, 1, 2):  # a batch that is run again changes nothing
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}"))
+        query = streaming.upsert_stream(source, table, str(tmp_path / f"ck{k}-{len(found)}"), schema)
+        query.processAllAvailable()
+        query.stop()
+        found[len(found)] = sorted((r.symbol, r.ts, r.close) for r in streaming.stored_bars(spark, table, schema).collect())
+    days = [("b", T0 + timedelta(days=k), float(k + 1)) for k in range(3)]
+    wanted = lambda k: sorted([("a", T0, float(k + 1)), *[(f"s{i}", T0, 5.0) for i in range(k + 1)], *days[: k + 1]])
+    assert list(found.values()) == [wanted(0), wanted(1), wanted(1), wanted(2)]
