@@ -7,7 +7,7 @@ or a streamed state machine; as-of joins are ASOF here and a carried struct ther
 from __future__ import annotations
 
 from barloom.catalogue import FIB_BARS, FIB_RATIOS, MINUTES, PARENT, ratio_name
-from barloom.plans.queries import FLAGS, HOLD, STOP, SWINGS, TAKE, THRESHOLDS
+from barloom.plans.queries import FLAGS, HOLD, RATIOS, STOP, SWINGS, TAKE, THRESHOLDS
 
 ORACLE: dict[str, str] = {}
 TICKS = {
@@ -83,7 +83,7 @@ ORACLE["lag_diff"] = f"WITH {bars('e', '1H')} SELECT symbol, ts, lag(close) OVER
 ORACLE["run_length"] = f"WITH {bars('e', '1H')}, {run('close > open', 'b', 'r')} SELECT symbol, ts, run FROM r"
 ORACLE["series_position"] = f"WITH {bars('e', '15M')}, {NUMBERED} SELECT symbol, ts, pos FROM n"
 ORACLE["ewm_mean"] = f"{DAILY} SELECT n.symbol, n.ts, round(e8, 2) AS ema8, round(e26, 2) AS ema26 FROM n JOIN e USING (symbol, tf, pos)"
-ORACLE["macd"] = f"{MACD} SELECT symbol, ts, round(line, 2) AS macd_line, round(sig, 2) AS macd_signal_line, round(hist, 2) AS macd_hist, round(delta, 2) AS macd_hist_delta FROM d"
+ORACLE["macd"] = f"{MACD} SELECT symbol, ts, round(line, 2) AS macd_line, round(sig, 2) AS macd_signal_line, round(hist, 2) AS macd_hist, round(delta, 2) AS macd_hist_delta, round(hist, 2) AS macd_line_dist FROM d"
 ORACLE["macd_events"] = f"""{MACD}, {run('delta > 0', 'd', 'r1')}, r1x AS (SELECT * RENAME (run AS rising) FROM r1), {run('delta < 0', 'r1x', 'r2')},
     f AS (SELECT *, {flag('line > sig')} AS over_sig FROM r2), g AS (SELECT *, coalesce(lag(over_sig) OVER ({W}), 0) AS over_before, lag(delta) OVER ({W}) AS before FROM f)
     SELECT symbol, ts, {flag('hist > 0')} AS macd_above_zero, {flag('line > 0')} AS macd_line_above_zero, over_sig AS macd_above_sig,
@@ -132,11 +132,11 @@ def _levels(source: str, *tfs: str) -> str:
 
 ORACLE["fib_levels"] = (
     f"WITH {bars('e', '1H', '1D')}, {_levels('b', '1H', '1D')} SELECT symbol, tf, ts, "
-    + ", ".join(f"round(l{ratio_name(r)}, 4) AS fib{ratio_name(r)}_level" for r in FIB_RATIOS)
+    + ", ".join(f"round(l{r}, 4) AS fib{r}_level, round((close - l{r}) / nullif(l{r}, 0) * 100, 4) AS fib{r}_dist_pct" for r in RATIOS)
     + ", "
     + ", ".join(
         f"{flag(f'abs((close - l{r}) / nullif(l{r}, 0) * 100) < 0.3')} AS fib{r}_in_zone, {flag(f'low <= l{r} * 1.003 AND close > l{r}')} AS fib{r}_reject_bull, {flag(f'high >= l{r} * 0.997 AND close < l{r}')} AS fib{r}_reject_bear, {flag(f'close > l{r}')} AS fib{r}_above"
-        for r in ("0236", "05", "10")
+        for r in RATIOS
     )
     + " FROM l"
 )
@@ -270,7 +270,8 @@ OUTCOMES = f"""{LINKED_BARS}, {excursion(_1H)}, {REBOUND}, {ALIGNED}, {FLAGGED},
     o0 AS MATERIALIZED (SELECT linked.*, round_even(mfe_pct, 4) AS mfe_pct, round_even(mae_pct, 4) AS mae_pct, fib_agotamiento, rebote_fib, alineamiento_3tf, lead(duracion_barras) OVER (PARTITION BY symbol, tf ORDER BY timestamp_inicio, mov_id) AS nb
         FROM linked JOIN exc USING (mov_id) JOIN reb USING (mov_id) JOIN ali USING (mov_id))"""
 ORACLE["outcomes_by_tf_dir"] = f"{OUTCOMES} SELECT tf, direccion, count(*) AS n, round(avg(magnitud_pct), 7) AS magnitud_media, round(avg(mfe_pct), 7) AS mfe_media, round(avg(mae_pct), 7) AS mae_media FROM o0 GROUP BY 1, 2"
-ORACLE["outcome_mismatches"] = f"{OUTCOMES} SELECT mov_id, fib_agotamiento FROM o0 WHERE false"
+ORACLE["outcome_mismatches"] = f"{OUTCOMES} SELECT mov_id, -1.0::DOUBLE AS fib_agotamiento FROM o0 WHERE duracion_barras % 3 = 0"
+ORACLE["outcome_rows"] = f"{OUTCOMES} SELECT mov_id, mfe_pct, mae_pct, fib_agotamiento, rebote_fib, alineamiento_3tf, round(CASE WHEN mae_pct > 0 THEN mfe_pct / mae_pct END, 4) AS ratio_mfe_mae FROM o0"
 STATED = f"""{OUTCOMES}, o1 AS MATERIALIZED (SELECT o0.*, CASE WHEN nb IS NULL THEN 'ULTIMO' WHEN nb >= duracion_barras THEN 'CONTINUACION' ELSE 'REVERSION' END AS continuacion, s.above_open, s.above_prev, s.long_range, s.upper_half
         FROM o0 ASOF LEFT JOIN (SELECT * FROM fl WHERE tf = '1H') s ON o0.symbol = s.symbol AND o0.timestamp_inicio > s.ts),
     judged AS MATERIALIZED (SELECT * FROM o1 WHERE continuacion <> 'ULTIMO'), cut AS (SELECT quantile_cont(epoch_us(timestamp_inicio)::DOUBLE, 0.75) AS c FROM judged),
@@ -343,10 +344,10 @@ def forward(h: int) -> str:
 
 FORWARD = f"fw AS MATERIALIZED (SELECT *, {', '.join(forward(h) for h in (30, 60, 120))} FROM fl)"
 ORACLE["forward_returns"] = f"WITH {bars('e', '1H')}, {FLAGGED}, {FORWARD} SELECT symbol, ts, {', '.join(f'{p}_{h}' for h in (30, 60, 120) for p in ('ret', 'mae', 'mfe'))} FROM fw"
-_UNI = ", ".join(f"round(avg((ret_{h} > 0)::INT), 4) AS wl{h}, round(avg((ret_{h} < 0)::INT), 4) AS ws{h}" for h in (30, 60, 120))
+_UNI = ", ".join(f"round(avg((ret_{h} > 0)::INT), 4) AS wl{h}, round(avg((ret_{h} < 0)::INT), 4) AS ws{h}, round(avg(ret_{h}) * 100, 4) AS pnl_mean_{h}" for h in (30, 60, 120))
 _BEST = f"greatest({', '.join(f'{s}{h}' for h in (30, 60, 120) for s in ('wl', 'ws'))})"
 ORACLE["univariate_edge"] = f"""WITH {bars('e', '1H')}, {FLAGGED}, {FORWARD}, u AS ({' UNION ALL '.join(f"SELECT *, '{f}' AS variable FROM fw WHERE {f} = 1" for f in FLAGS)}), g AS (SELECT variable, count(*) AS n, {_UNI} FROM u GROUP BY 1)
-    SELECT variable, n, {', '.join(f'round(wl{h}, 3) AS wr_long_{h}, round(ws{h}, 3) AS wr_short_{h}' for h in (30, 60, 120))}, round({_BEST}, 3) AS best_wr, coalesce({_BEST} >= 0.55, false) AS has_edge FROM g"""
+    SELECT variable, n, {', '.join(f'round(wl{h}, 3) AS wr_long_{h}, round(ws{h}, 3) AS wr_short_{h}, pnl_mean_{h}' for h in (30, 60, 120))}, round({_BEST}, 3) AS best_wr, coalesce({_BEST} >= 0.55, false) AS has_edge FROM g"""
 ORACLE["univariate_next"] = f"""WITH {bars('e', '1H')}, {FLAGGED}, u AS ({' UNION ALL '.join(f"SELECT *, '{f}' AS variable FROM fl WHERE {f} = 1" for f in FLAGS)}),
     v AS (SELECT *, {flag('lead(close) OVER (PARTITION BY symbol, tf, variable ORDER BY ts) > close')} AS win FROM u), g AS (SELECT symbol, variable, count(*) AS n, round(avg(win), 4) AS winrate FROM v GROUP BY 1, 2 HAVING count(*) >= 30)
     SELECT symbol, variable, n, round(winrate, 3) AS winrate, round(round(abs(winrate - 0.5), 4), 3) AS edge FROM g WHERE round(abs(winrate - 0.5), 4) >= 0.02"""
@@ -375,7 +376,7 @@ def first_hit() -> str:
 
 
 HITS = f"WITH RECURSIVE {bars('e', '1H')}, {FLAGGED}, {first_hit()}"
-ORACLE["first_hit"] = f"{HITS} SELECT fq.symbol, fq.ts, exit_long, exit_short, reason_long, reason_short, round(pnl_long, 4) AS pnl_long FROM fq LEFT JOIN fh USING (symbol, tf, pos)"
+ORACLE["first_hit"] = f"{HITS} SELECT fq.symbol, fq.ts, exit_long, exit_short, reason_long, reason_short, round(pnl_long, 4) AS pnl_long, round(pnl_short, 4) AS pnl_short, round(price_long, 4) AS price_long, round(price_short, 4) AS price_short FROM fq LEFT JOIN fh USING (symbol, tf, pos)"
 
 
 def hop(source: str, keys: tuple[str, ...], gap: int) -> str:
@@ -402,9 +403,65 @@ ORACLE["combo_search"] = f"""{HITS}, en AS ({_COMBOS}), {hop('en', ('symbol', 's
     SELECT symbol, signals, n_signals, n_trades, round(round(wr, 4), 3) AS win_rate, round(round(a, 6), 3) AS avg_pnl, round(round(s, 4), 3) AS total_pnl, round(tp, 3) AS tp_rate, round(round(wr * {TAKE} - (1 - wr) * {STOP}, 6), 3) AS edge FROM g"""
 _MASK = " + ".join(f"{f} * {1 << i}" for i, f in enumerate(FLAGS))
 ORACLE["knn_hamming"] = f"""WITH {bars('o', '1D')}, {FLAGGED}, {FORWARD}, k AS MATERIALIZED (SELECT *, row_number() OVER ({W}) - 1 AS pos, {_MASK} AS mask FROM fw),
-    g AS (SELECT a.symbol, a.ts, count(*) AS n, {', '.join(f'count(o.ret_{h}) AS v{h}, coalesce(sum((o.ret_{h} > 0)::INT), 0) AS u{h}, coalesce(sum((o.ret_{h} < 0)::INT), 0) AS d{h}' for h in (30, 60, 120))}
+    g AS (SELECT a.symbol, a.ts, count(*) AS n, {', '.join(f'count(o.ret_{h}) AS v{h}, coalesce(sum((o.ret_{h} > 0)::INT), 0) AS u{h}, coalesce(sum((o.ret_{h} < 0)::INT), 0) AS d{h}, sum(o.ret_{h}) AS s{h}, sum(o.mae_{h}) AS ma{h}, sum(o.mfe_{h}) AS mf{h}' for h in (30, 60, 120))}
           FROM k a JOIN k o ON a.symbol = o.symbol AND o.pos <= a.pos - 121 AND bit_count(xor(a.mask, o.mask)) <= 1 GROUP BY 1, 2 HAVING count(*) >= 10)
-    SELECT symbol, ts, n AS n_neighbors, {', '.join(f'CASE WHEN v{h} >= 10 THEN round(u{h} / v{h}, 4) END AS wr_long_{h}, CASE WHEN v{h} >= 10 THEN round(d{h} / v{h}, 4) END AS wr_short_{h}' for h in (30, 60, 120))} FROM g"""
+    SELECT symbol, ts, n AS n_neighbors, {', '.join(f'CASE WHEN v{h} >= 10 THEN round(u{h} / v{h}, 4) END AS wr_long_{h}, CASE WHEN v{h} >= 10 THEN round(d{h} / v{h}, 4) END AS wr_short_{h}, CASE WHEN v{h} >= 10 THEN round(s{h} / v{h} * 100, 4) END AS pnl_long_{h}, CASE WHEN v{h} >= 10 THEN round(ma{h} / v{h}, 4) END AS mae_mean_{h}, CASE WHEN v{h} >= 10 THEN round(mf{h} / v{h}, 4) END AS mfe_mean_{h}' for h in (30, 60, 120))} FROM g"""
 ORACLE["direction_balance"] = f"WITH {bars('e', '1H', '4H', '1D')}, {LEGS}, g AS (SELECT tf, count(*) FILTER (direccion = 'LONG') AS n_long, count(*) FILTER (direccion = 'SHORT') AS n_short FROM legs GROUP BY 1) SELECT tf, n_long, n_short, round(n_long / coalesce(nullif(n_short, 0), 1), 4) AS ratio FROM g"
 ORACLE["group_aggregate"] = f"WITH {bars('e', '1H', '4H')}, s AS (SELECT *, {roll('avg', 'close', 50)} AS sma50 FROM b) SELECT symbol, tf, count(*) AS n_bars, sum({flag('close > sma50')})::BIGINT AS n_above, round(avg(close), 4) AS avg_close FROM s GROUP BY 1, 2"
 ORACLE["hop_intervals"] = f"WITH RECURSIVE {bars('e', '15M')}, {NUMBERED}, iv AS (SELECT symbol, pos, pos + 1 + floor(close / 20)::BIGINT AS stop FROM n), {hop('iv', ('symbol',), 1)} SELECT symbol, pos, stop FROM picked"
+
+
+def _runs(*conditions: tuple[str, str], source: str) -> str:
+    """Table expressions that add a run length for each (name, condition), one after the other; the last is called r_last."""
+    out, at = [], source
+    for k, (name, condition) in enumerate(conditions):
+        to = "r_last" if k + 1 == len(conditions) else f"rx{k}"
+        out.append(f"{run(condition, at, f'ra{k}')}, {to} AS (SELECT * RENAME (run AS {name}) FROM ra{k})")
+        at = to
+    return ", ".join(out)
+
+
+def _census() -> str:
+    """Every indicator of daily bars, from one recursion for the exponential means."""
+    conf = " AND abs({m} - l{r}) / l{r} * 100 < 0.3"
+    zone = "abs((close - l{r}) / l{r} * 100) < 0.3"
+    sums, means = {}, {"macd_line": "line", "macd_signal_line": "sig", "macd_hist": "hist", "macd_hist_delta": "delta", "macd_line_dist": "hist", "stoch_K": "k", "stoch_D": "d", "stoch_K_delta": "k - k1", "stoch_KD_dist": "k - d"}
+    sums |= {
+        "macd_above_zero": "hist > 0", "macd_line_above_zero": "line > 0", "macd_above_sig": "over_sig = 1", "macd_e1_bull": "delta > 0 AND delta1 <= 0", "macd_e1_bear": "delta < 0 AND delta1 >= 0",
+        "macd_e2_bull": "over_sig = 1 AND over_sig1 = 0", "macd_e2_bear": "over_sig = 0 AND over_sig1 = 1",
+        "stoch_KD_above": "kd = 1", "stoch_ob": "k > 80", "stoch_os": "k < 20", "stoch_A_bull": f"kd = 1 AND kd1 = 0 AND {_LOW3}", "stoch_A_bear": f"kd = 0 AND kd1 = 1 AND {_HIGH3}",
+        "stoch_B_bull": "kd = 1 AND kd1 = 0 AND k BETWEEN 30 AND 70", "stoch_B_bear": "kd = 0 AND kd1 = 1 AND k BETWEEN 30 AND 70",
+        "align_full_bull": "close > ema8 AND ema8 > ema21 AND ema21 > sma50 AND sma50 > sma200", "align_full_bear": "close < ema8 AND ema8 < ema21 AND ema21 < sma50 AND sma50 < sma200",
+    }
+    for m in MA_NAMES:
+        means[f"dist_{m}_pct"] = f"dist_{m}"
+        sums |= {
+            f"above_{m}": f"a_{m} = 1", f"near_{m}": f"abs(dist_{m}) < 0.3", f"cross_bull_{m}": f"a_{m} = 1 AND a1_{m} = 0", f"cross_bear_{m}": f"a_{m} = 0 AND a1_{m} = 1",
+            f"reject_bull_{m}": f"low <= {m} AND close > {m}", f"reject_bear_{m}": f"high >= {m} AND close < {m}", f"extreme_bull_{m}": f"dist_{m} > 2 * s_{m}", f"extreme_bear_{m}": f"dist_{m} < -2 * s_{m}",
+        }
+    for r in RATIOS:
+        means |= {f"fib{r}_level": f"l{r}", f"fib{r}_dist_pct": f"(close - l{r}) / nullif(l{r}, 0) * 100"}
+        sums |= {f"fib{r}_in_zone": zone.format(r=r), f"fib{r}_reject_bull": f"low <= l{r} * 1.003 AND close > l{r}", f"fib{r}_reject_bear": f"high >= l{r} * 0.997 AND close < l{r}", f"fib{r}_above": f"close > l{r}"}
+        sums |= {f"fib{r}_conf_{m}": zone.format(r=r) + conf.format(m=m, r=r) for m in MA_NAMES}
+    runs = [("macd_hist_bars_rising", "delta > 0"), ("macd_hist_bars_falling", "delta < 0"), ("stoch_bars_extreme", "k > 80 OR k < 20"), *[(f"{s}_{m}", f"a_{m} = {v}") for m in MA_NAMES for s, v in (("over", 1), ("under", 0))]]
+    total = [f'sum({flag(c)})::BIGINT AS "{n}"' for n, c in sums.items()] + [f'round(avg({x}), 2) AS "{n}"' for n, x in means.items()]
+    total += [f"sum({n})::BIGINT AS {n}" for n, _ in runs[:3]] + [f"sum(over_{m} + under_{m})::BIGINT AS bars_side_{m}" for m in MA_NAMES]
+    return f"""{MAS}, {_levels('a', '1D')},
+    i0 AS (SELECT l.*, e12 - e26 AS line, sig, (e12 - e26) - sig AS hist, {roll('min', 'low', 14)} AS lo14, {roll('max', 'high', 14)} AS hi14 FROM l JOIN e USING (symbol, tf, pos)),
+    i1 AS (SELECT *, hist - lag(hist) OVER ({W}) AS delta, {flag('line > sig')} AS over_sig, 100 * (close - lo14) / nullif(hi14 - lo14, 0) AS raw, {', '.join(f'(close - {m}) / {m} * 100 AS dist_{m}, {flag(f"close > {m}")} AS a_{m}' for m in MA_NAMES)} FROM i0),
+    i2 AS (SELECT *, lag(delta) OVER ({W}) AS delta1, coalesce(lag(over_sig) OVER ({W}), 0) AS over_sig1, {roll('avg', 'raw', 3)} AS k, {', '.join(f"{roll('stddev_samp', f'dist_{m}', 200, 50)} AS s_{m}, coalesce(lag(a_{m}) OVER ({W}), 0) AS a1_{m}" for m in MA_NAMES)} FROM i1),
+    i3 AS (SELECT *, {roll('avg', 'k', 3)} AS d, lag(k) OVER ({W}) AS k1, lag(k, 2) OVER ({W}) AS k2 FROM i2),
+    i4 AS (SELECT *, {flag('k > d')} AS kd FROM i3), i5 AS (SELECT *, coalesce(lag(kd) OVER ({W}), 0) AS kd1 FROM i4), {_runs(*runs, source='i5')}
+    SELECT symbol, {', '.join(total)} FROM r_last GROUP BY 1"""
+
+
+ORACLE["indicator_census"] = _census()
+_CHOSEN = f"""{FORWARD}, u AS ({' UNION ALL '.join(f"SELECT *, '{f}' AS variable FROM fw WHERE {f} = 1" for f in FLAGS)}), uni AS (SELECT variable, count(*) AS n, {_UNI} FROM u GROUP BY 1 HAVING count(*) >= 50),
+    top AS (SELECT count(*) AS c FROM uni WHERE wl120 >= 0.9 OR ws120 >= 0.9), rate AS (SELECT CASE WHEN c > 0 THEN 0.9 ELSE 0.5 END AS least FROM top),
+    chosen AS MATERIALIZED (SELECT variable, 'LONG' AS side FROM uni, rate WHERE wl120 >= least UNION ALL SELECT variable, 'SHORT' FROM uni, rate WHERE ws120 >= least)"""
+ORACLE["chosen_signals"] = f"WITH {bars('e', '1H')}, {FLAGGED}, {_CHOSEN} SELECT * FROM chosen"
+_ANY = lambda side: " OR ".join(f"({f} = 1 AND EXISTS (SELECT 1 FROM chosen WHERE variable = '{f}' AND side = '{side}'))" for f in FLAGS)
+ORACLE["chosen_trades"] = f"""{HITS}, {_CHOSEN}, sg AS (SELECT *, CASE WHEN {_ANY('LONG')} THEN 'LONG' WHEN {_ANY('SHORT')} THEN 'SHORT' END AS direction FROM fh),
+    en AS (SELECT symbol, tf, pos, close, direction, CASE direction WHEN 'LONG' THEN exit_long ELSE exit_short END AS stop, CASE direction WHEN 'LONG' THEN price_long ELSE price_short END AS price, CASE direction WHEN 'LONG' THEN pnl_long ELSE pnl_short END AS pnl,
+           CASE direction WHEN 'LONG' THEN reason_long ELSE reason_short END AS reason FROM sg WHERE direction IS NOT NULL), {hop('en', ('symbol',), 0)}
+    SELECT symbol, pos AS bar_entry, stop AS bar_exit, direction, round(close, 4) AS entry_price, round(price, 4) AS exit_price, round(pnl, 4) AS pnl_pct, reason AS exit_reason FROM picked"""

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.catalogue import FIB_RATIOS, ratio_name
 from barloom.functions import indicators as ind
-from barloom.functions.windows import KEYS, ewm, flag, rolling, series, with_position, with_run
+from barloom.functions.windows import KEYS, ewm, flag, in_blocks, rolling, series, with_position, with_run
 from barloom.operators import analysis, asof, hop, knn, mining, movements, outcomes, resample, signals, structure
 from barloom.sources import bars as sources
 from barloom.stored import checkpoint
@@ -19,6 +20,7 @@ QUERIES: dict[str, Query] = {}
 #: Thresholds and sizes that suit the values of the events and orders tables.
 THRESHOLDS = {"1H": 95.0, "4H": 95.0, "1D": 60.0}
 SWINGS = {"1H": 5, "4H": 3, "1D": 3}
+RATIOS = [ratio_name(r) for r in FIB_RATIOS]
 TAKE, STOP, HOLD = 0.5, 0.4, 24
 
 
@@ -102,8 +104,8 @@ def rolling_mean(spark, sf_dir):
 
 @query
 def rolling_minmax(spark, sf_dir):
-    df = events(spark, sf_dir, "1H")
-    return df.select("symbol", "ts", rolling(F.min, F.col("low"), 14).alias("low14"), rolling(F.max, F.col("high"), 14).alias("high14"), rolling(F.max, F.col("high"), 50, 5).alias("high50"))
+    df = in_blocks(with_position(events(spark, sf_dir, "1H")), lambda d: d.select("*", rolling(F.min, F.col("low"), 14).alias("low14"), rolling(F.max, F.col("high"), 14).alias("high14"), rolling(F.max, F.col("high"), 50, 5).alias("high50")), before=49, block=4096)
+    return df.select("symbol", "ts", "low14", "high14", "high50")
 
 
 @query
@@ -137,7 +139,7 @@ def ewm_mean(spark, sf_dir):
 @query
 def macd(spark, sf_dir):
     df = ind.macd(orders(spark, sf_dir))
-    return df.select("symbol", "ts", *[F.round(c, 2).alias(c) for c in ("macd_line", "macd_signal_line", "macd_hist", "macd_hist_delta")])
+    return df.select("symbol", "ts", *[F.round(c, 2).alias(c) for c in ("macd_line", "macd_signal_line", "macd_hist", "macd_hist_delta", "macd_line_dist")])
 
 
 @query
@@ -180,9 +182,9 @@ def ma_extreme(spark, sf_dir):
 
 @query
 def fib_levels(spark, sf_dir):
-    df = ind.fib_levels(events(spark, sf_dir, "1H", "1D"), mas=())
-    names = [f"fib{r}_{p}" for r in ("0236", "05", "10") for p in ("in_zone", "reject_bull", "reject_bear", "above")]
-    return df.select("symbol", "tf", "ts", *[F.round(f"fib{r}_level", 4).alias(f"fib{r}_level") for r in ("00", "0236", "0382", "05", "0618", "0786", "10")], *names)
+    df = in_blocks(with_position(events(spark, sf_dir, "1H", "1D")), lambda d: ind.fib_levels(d, mas=()), before=50, block=4096)
+    names = [f"fib{r}_{p}" for r in RATIOS for p in ("in_zone", "reject_bull", "reject_bear", "above")]
+    return df.select("symbol", "tf", "ts", *[F.round(f"fib{r}_{p}", 4).alias(f"fib{r}_{p}") for r in RATIOS for p in ("level", "dist_pct")], *names)
 
 
 @query
@@ -193,9 +195,10 @@ def fib_confluence(spark, sf_dir):
 
 @query
 def indicator_census(spark, sf_dir):
-    """All 142 indicator columns, as the sum of each flag for each series."""
+    """All 142 indicator columns: the sum of each flag and run length, the mean of each other one, for each series."""
     df = ind.fib_levels(checkpoint(ind.ma_family(checkpoint(ind.stochastic(ind.macd(orders(spark, sf_dir)))))))
-    return df.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ind.flag_columns(df)])
+    whole = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in ("symbol", "tf", "ts", "open", "high", "low", "close", "volume", "pos", *ind.MA_SPANS)}
+    return df.groupBy("symbol").agg(*[F.sum(c).alias(c) if kind in ("int", "bigint") else F.round(F.avg(c), 2).alias(c) for c, kind in whole.items()])
 
 
 @query
@@ -294,7 +297,15 @@ def outcomes_by_tf_dir(spark, sf_dir):
 
 @query
 def outcome_mismatches(spark, sf_dir):
-    return outcomes.mismatches(checkpoint(leg_outcomes(spark, sf_dir)), events(spark, sf_dir, "1H")).select("mov_id", "fib_agotamiento")
+    """Stored outcomes of which one in three legs has been spoilt: exactly those differ from outcomes computed afresh."""
+    rows = leg_outcomes(spark, sf_dir)
+    spoilt = rows.withColumn("fib_agotamiento", F.when(F.col("duracion_barras") % 3 == 0, -1.0).otherwise(F.col("fib_agotamiento")))
+    return outcomes.mismatches(checkpoint(spoilt), events(spark, sf_dir, "1H")).select("mov_id", "fib_agotamiento")
+
+
+@query
+def outcome_rows(spark, sf_dir):
+    return leg_outcomes(spark, sf_dir).select("mov_id", "mfe_pct", "mae_pct", "fib_agotamiento", "rebote_fib", "alineamiento_3tf", F.round("ratio_mfe_mae", 4).alias("ratio_mfe_mae"))
 
 
 FLAGS = ["above_open", "above_prev", "long_range", "upper_half"]
@@ -397,13 +408,29 @@ def pattern_key_stats(spark, sf_dir):
 
 @query
 def forward_returns(spark, sf_dir):
-    df = signals.forward(events(spark, sf_dir, "1H"))
+    df = in_blocks(with_position(events(spark, sf_dir, "1H")), signals.forward, after=120, block=4096)
     return df.select("symbol", "ts", *[f"{p}_{h}" for h in (30, 60, 120) for p in ("ret", "mae", "mfe")])
 
 
 @query
 def univariate_edge(spark, sf_dir):
-    return rounded(signals.univariate(flagged(events(spark, sf_dir, "1H")), FLAGS), [f"{p}_{h}" for h in (30, 60, 120) for p in ("wr_long", "wr_short")] + ["best_wr"], 3).drop(*[f"pnl_mean_{h}" for h in (30, 60, 120)])
+    return rounded(signals.univariate(flagged(events(spark, sf_dir, "1H")), FLAGS), [f"{p}_{h}" for h in (30, 60, 120) for p in ("wr_long", "wr_short")] + ["best_wr"], 3)
+
+
+@query
+def chosen_signals(spark, sf_dir):
+    """The variables that trade: none has the first win rate, so the lower one chooses."""
+    table = checkpoint(signals.univariate(flagged(events(spark, sf_dir, "1H")), FLAGS))
+    long, short = signals.chosen_signals(table, least=50, win_rate=0.9, otherwise=0.5)
+    return spark.createDataFrame([(v, "LONG") for v in long] + [(v, "SHORT") for v in short], "variable string, side string")
+
+
+@query
+def chosen_trades(spark, sf_dir):
+    """Trades on the variables that the univariate table chooses."""
+    df = checkpoint(flagged(with_position(events(spark, sf_dir, "1H"))))
+    long, short = signals.chosen_signals(signals.univariate(df, FLAGS), least=50, win_rate=0.9, otherwise=0.5)
+    return rounded(signals.trade_cycle(df, signals.any_of(long), signals.any_of(short), TAKE, STOP, HOLD).drop("tf"), ["entry_price", "exit_price", "pnl_pct"])
 
 
 @query
@@ -429,7 +456,7 @@ def event_flags(spark, sf_dir):
 @query
 def first_hit(spark, sf_dir):
     df = signals.first_hit(with_position(events(spark, sf_dir, "1H")), TAKE, STOP, HOLD)
-    return df.select("symbol", "ts", *[F.col(f"{s}.exit").alias(f"exit_{s}") for s in ("long", "short")], *[F.col(f"{s}.reason").alias(f"reason_{s}") for s in ("long", "short")], F.round("long.pnl", 4).alias("pnl_long"))
+    return df.select("symbol", "ts", *[F.col(f"{s}.exit").alias(f"exit_{s}") for s in ("long", "short")], *[F.col(f"{s}.reason").alias(f"reason_{s}") for s in ("long", "short")], *[F.round(f"{s}.{p}", 4).alias(f"{p}_{s}") for s in ("long", "short") for p in ("pnl", "price")])
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,7 +485,7 @@ def knn_hamming(spark, sf_dir):
     df = flagged(with_position(orders(spark, sf_dir)))
     df = knn.knn(df, FLAGS)
     names = [f"{p}_{h}" for h in (30, 60, 120) for p in ("wr_long", "wr_short")]
-    return df.select("symbol", "ts", "n_neighbors", *names)
+    return df.select("symbol", "ts", "n_neighbors", *names, *[f"{p}_{h}" for h in (30, 60, 120) for p in ("pnl_long", "mae_mean", "mfe_mean")])
 
 
 @query
