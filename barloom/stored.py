@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``.  Only where that is unset (tests on one machine) is a
-    folder made here.
+    It is read from ``spark.checkpoint.dir``.  Only where that is unset and all runs on one machine is
+    a folder made here; on a cluster an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
