@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalogue import MIN_MOVE_BARS
 from barloom.functions import indicators as ind
-from barloom.functions.windows import ewm, flag, rolling, with_position, with_run
+from barloom.functions.windows import ewm, flag, in_blocks, rolling, with_position, with_run
 from barloom.operators import analysis, asof, hop, knn, mining, movements, outcomes, resample, signals, structure
 from barloom.sources import bars as sources
 from barloom.sources import report
@@ -137,7 +137,7 @@ def test_json_state_keeps_nulls(spark):
     assert json.loads(sources.state_json(df).first()[0]) == {"symbol": "a", "x": None, "y": 1}
 
 
-@pytest.mark.parametrize("chunk", [None, 7200])
+@pytest.mark.parametrize("chunk", [86_400 * 32, 7200])
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof_equals_brute_force(spark, chunk, strict):
     r = random.Random(3)
@@ -151,6 +151,47 @@ def test_asof_equals_brute_force(spark, chunk, strict):
         assert got[i] == (max(fits, key=lambda x: x[0]) if fits else None)
 
 
+def test_asof_ties_take_the_largest(spark):
+    left = spark.createDataFrame([("a", T0 + timedelta(days=k), k) for k in (0, 40, 90)], "k string, t timestamp, id int")
+    right = spark.createDataFrame([("a", T0, 3, "x"), ("a", T0, 7, None), ("a", T0, 7, "b"), ("a", T0, 7, "a")], "k string, t timestamp, v int, w string")
+    got = {r.id: (r.m.v, r.m.w) for r in asof.asof(left, right, ["k"], "t", "t", ["v", "w"], "m").collect()}
+    assert got == {k: (7, "b") for k in (0, 40, 90)}  # also in chunks that hold no right row
+
+
+def test_range_join_equals_brute_force(spark):
+    r = random.Random(4)
+    points = [("a" if r.random() < 0.7 else "b", T0 + timedelta(minutes=r.randrange(6000)), r.random()) for _ in range(300)]
+    spans = [(k, r.choice("ab"), T0 + timedelta(minutes=r.randrange(6000)), r.randrange(-50, 4000)) for k in range(60)]
+    left = spark.createDataFrame([(k, s, a, a + timedelta(minutes=n)) for k, s, a, n in spans], "id int, s string, a timestamp, z timestamp")
+    right = spark.createDataFrame(points, "s string, t timestamp, x double")
+    for seconds in (600, 3600, 86_400):
+        got = {q.id: (q.hi, q.lo) for q in asof.in_range(left, right, "s", "a", "z", "t", seconds, {"hi": (F.max, "x"), "lo": (F.min, "x")}, ["id"]).collect()}
+        wanted = {}
+        for k, s, a, n in spans:
+            own = [x for q, t, x in points if q == s and a <= t <= a + timedelta(minutes=n)]
+            if own:
+                wanted[k] = (max(own), min(own))
+        assert got == wanted
+
+
+def test_blocks_change_nothing(spark):
+    df = with_position(make(spark, walk(150, 8)))
+    step = lambda d: signals.forward(d.withColumn("m", rolling(F.avg, F.col("close"), 9)), (5, 7))
+    wanted = sorted(map(str, step(df).collect()))
+    for block in (9, 10, 64, 1000):
+        assert sorted(map(str, in_blocks(df, step, before=8, after=7, block=block).select(step(df).columns).collect())) == wanted
+    with pytest.raises(ValueError):
+        in_blocks(df, step, before=8, block=4)
+
+
+def test_signals_are_chosen_from_the_table(spark):
+    rows = [("a", 600, 0.60, 0.1), ("b", 600, 0.56, 0.58), ("c", 10, 0.9, 0.9), ("d", 600, None, 0.2)]
+    table = spark.createDataFrame(rows, "variable string, n int, wr_long_120 double, wr_short_120 double")
+    assert signals.chosen_signals(table) == (["a"], ["b"])
+    assert signals.chosen_signals(table.where("variable = 'b'"), win_rate=0.59) == (["b"], ["b"])
+    assert signals.chosen_signals(table.limit(0)) == ([], [])
+
+
 def test_hop_select_is_greedy(spark):
     r = random.Random(4)
     rows = sorted((g, s, s + r.randrange(1, 9)) for g in "ab" for s in r.sample(range(100), 30))
