@@ -8,7 +8,7 @@
    threshold; a pair is pruned once that probability is below ``miss``.
 4. Surviving pairs are verified exactly on the full sets, and verified links join components.
 
-No bucket emits its pairs.  A first round compares each member with the first of its bucket only;
+No bucket emits its pairs.  A first round compares each member with the least of its bucket only;
 that joins most copies.  The second looks at all pairs of a bucket whose components still differ,
 verifies survivors within the task and gives out only links that join components.  Members of large
 buckets are dealt to a grid of blocks, so no task holds a whole one.
@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -192,27 +192,27 @@ def _emit(table: pa.Table, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], schema=PAIR)
 
 
-def star_candidates(members: DataFrame, comparer: Comparer) -> DataFrame:
-    """(x, y): each bucket's first member with each other one that survives; a task keeps one row of a bucket."""
+def star_candidates(members: DataFrame, comparer: Comparer, n_members: int) -> DataFrame:
+    """(x, y): each bucket's least member with each other one that survives.
+
+    The least member comes from an aggregate and meets the others by a join that sends the buckets of
+    many members to all tasks, so no bucket is one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: tuple[bytes, bytes, bytes] = (b"", b"", b"")
         for batch in batches:
-            keys, names, sigs = (batch.column(k).to_pylist() for k in range(3))
-            hubs: list[tuple[bytes, bytes]] = []
-            for row in zip(keys, names, sigs):
-                if row[0] != first[0]:
-                    first = row
-                hubs.append(first[1:])
-            n = len(names)
-            everything = pa.table({"cls": pa.array(names + [h[0] for h in hubs], pa.binary())})
-            sig = np.frombuffer(b"".join(sigs) + b"".join(h[1] for h in hubs), np.uint8).reshape(-1, comparer.n)
-            a = np.array([i for i in range(n) if names[i] != hubs[i][0]], np.int64)
-            a, b, _ = comparer.survivors(sig, a, a + n)
-            yield from _emit(everything, a, b)
-
-    dealt = members.select("key", "cls", "sig").repartition("key").sortWithinPartitions("key", "cls")
-    return dealt.mapInArrow(run, "x binary, y binary").distinct()
+            names, sigs, hubs, hub_sigs = (batch.column(k).to_pylist() for k in range(4))
+            sig = np.frombuffer(b"".join(sigs) + b"".join(hub_sigs), np.uint8).reshape(-1, comparer.n)
+            a = np.arange(len(names))
+            a, _, _ = comparer.survivors(sig, a, a + len(names))
+            found = sorted({(hubs[i], names[i]) for i in a.tolist()})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=PAIR)
+
+    hubs = members.groupBy("key").agg(F.min(F.struct("cls", "sig")).alias("_hub"), F.count(F.lit(1)).alias("_n"))
+    hubs = hubs.select("key", "_n", F.col("_hub.cls").alias("x"), F.col("_hub.sig").alias("x_sig"))
+    pairs = join_counted(members.select("key", "cls", "sig"), hubs, "key", "_n", n_members).where("cls != x")
+    return pairs.select("cls", "sig", "x", "x_sig").mapInArrow(run, "x binary, y binary").distinct()
 
 
 def class_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -358,22 +358,22 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def components(links: DataFrame, low: str = "x", high: str = "y") -> DataFrame:
     """(node, comp): the least node reachable, for every node of ``links`` that is not itself the least.
 
-    Alternating large-star and small-star steps; a node's neighbours are only ever reduced to their
-    minimum, never collected, and each step is written to the shared folder.
+    Alternating large-star and small-star steps, one shuffle each and one that drops repeated edges; a
+    node's neighbours are only ever reduced to their minimum, never collected, and each round is
+    written to the shared folder.
     """
     edges = links.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where("u != v").distinct()
     edges, seen = checkpoint(edges), None
+    least = F.min("v").over(Window.partitionBy("u"))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if state == seen:
+        if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         seen = state
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = checkpoint(small.select("e.*").where("u != v").distinct())
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, bands: int = 32, rows: int = 5, miss: float = 1e-6, block: int = 2048) -> DataFrame:
@@ -403,7 +403,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, width: i
     members = checkpoint(bucket_members(classes, bands, rows))
 
     texts = checkpoint(member_texts(members, classes, docs, id_col, text_col))
-    compared = checkpoint(verified(checkpoint(star_candidates(members, comparer)), texts, width, percent))
+    compared = checkpoint(verified(checkpoint(star_candidates(members, comparer, members.count())), texts, width, percent))
     links = compared.where("linked").select("x", "y")
     comp = components(links)
     # only buckets whose members are not all in one component yet are looked at again, with full sets

@@ -27,9 +27,10 @@ def test_exact_groups(spark, bits, words):
     assert exact_dedup.exact_groups(odd.docs(spark, True)).count() == 0
 
 
-def test_exact_drop_keeps_columns_and_one_row(spark):
+@pytest.mark.parametrize("words", [4_000_000, 0])
+def test_exact_drop_keeps_columns_and_one_row(spark, words):
     docs = odd.docs(spark)
-    kept = exact_dedup.drop_exact_copies(docs)
+    kept = exact_dedup.drop_exact_copies(docs, max_words=words)
     assert kept.columns == docs.columns
     rows = kept.collect()
     assert sorted(key(r.text) for r in rows) == sorted({key(r[1]) for r in odd.rows()})
