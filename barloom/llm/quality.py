@@ -337,7 +337,7 @@ def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     A verdict depends on language and text alone, so rows are told by a hash of both; only rows that a
     Bloom filter of rejected hashes lets through are shuffled.
     """
-    key = lambda lang, text: F.sha2(F.concat_ws("\n", lang, F.coalesce(text, F.lit(""))), 256)
+    key = lambda lang, text: F.sha2(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, F.coalesce(text, F.lit(""))), 256)
     rows = docs.select(F.col(id_col).alias("_id"), _language(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.select("_id", key(F.col("_lang"), F.col("_text")).alias("_key"), "_lang", "_text")
     poor = judged(rows, trusted_ids, reach, tail, least, max_ids, block_bytes).where("not kept")
