@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,16 @@ NAMES = re.compile(
     r"recommended|pagination|pager|login|search)(?=$|[-_\s])",
     re.IGNORECASE,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
+#: Parts of such names that also count inside an article, where headers, sides and notes belong to it.
+INSIDE_NAMES = re.compile(
+    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|sponsor|sponsored|promo|cookie|cookies|cookiebar|cookiebanner|consent|gdpr|newsletter|subscribe|popup|modal|overlay|"
+    r"comment|comments|commentlist|disqus|respond|replies|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|share|sharing|social|related|recommended|pagination|pager|login|search)(?=$|[-_\s])",
+    re.IGNORECASE,
+)
+#: Elements of running text: inside an article only a whole class name sets them aside.
+RUNNING = frozenset("p blockquote pre li dd dt td figcaption span b i em strong a".split())
+#: A comment, declaration or tag.  Quotes count after an equals sign only, and nothing is looked at twice.
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*+>?|</?([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>?", re.DOTALL)
 #: One attribute, from its name on: whole names, values never searched.
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?""")
 #: Elements that a start tag closes when it has no end tag of its own.
@@ -55,25 +65,35 @@ _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 INSIDE, OUTSIDE, OTHER = 0, 1, 2
 
 
-def _aside(name: str, attributes: str) -> bool:
-    """Whether an element is never main text."""
-    if name in DROPPED:
+def _aside(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is never main text; ``inside`` an article fewer names say so."""
+    if name in DROPPED and not (inside and name == "header"):
         return True
     if not attributes or name in HEADINGS:
         return False
     own: dict[str, str] = {}
     for key, *values in _ATTRIBUTE.findall(attributes):
         own.setdefault(key.lower(), "".join(values))
+    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES:
+        return name not in ("html", "body")
     names = f"{own.get('class', '')} {own.get('id', '')}"
     if name in ("html", "body", "article", "main") and "comment" not in names.lower():
         return False
-    return bool(NAMES.search(names)) or own.get("role", "").lower() in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true"
+    if not inside:
+        return bool(NAMES.search(names))
+    if name in RUNNING:
+        return any(INSIDE_NAMES.fullmatch(part) for part in names.split())
+    return bool(INSIDE_NAMES.search(names))
 
 
 def blocks(source: str | None) -> list[tuple[str, int]]:
-    """(text, verdict) of a page's blocks in order: INSIDE an article or main part, OUTSIDE of what counts, OTHER (undecided)."""
+    """(text, verdict) of a page's blocks in order: INSIDE an article or main part, OUTSIDE of what counts, OTHER (undecided).
+
+    The time is in proportion to the page, also where its markup is broken.
+    """
     source = source or ""
     stack: list[tuple[str, bool, bool]] = []  # (element, set aside, inside an article)
+    opened: Counter[str] = Counter()
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     state = (False, False)
@@ -85,6 +105,10 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
         if text:
             out.append((text, OUTSIDE if state[0] else INSIDE if state[1] else OTHER))
 
+    def close(k: int) -> None:
+        opened.subtract(s[0] for s in stack[k:])
+        del stack[k:]
+
     at = 0
     n = len(source)
     while at < n:
@@ -102,14 +126,13 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
         if name in BLOCK or name in DROPPED:
             flush()
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
         else:
             closes, stops = _CLOSES.get(name, {"p"} if name in BLOCK and name != "br" else set()), _STOPS.get(name, {"div", "article", "section", "main", "body", "td", "li"})
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closes) else ():
                 if stack[k][0] in closes:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in stops:
                     break
@@ -119,11 +142,12 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
                 stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
                 at = stop.end() if stop else n
             else:
-                dropped = _aside(name, tag.group(2))
                 above = stack[-1] if stack else ("", False, False)
+                dropped = _aside(name, tag.group(2), above[2])
                 article = name in ("article", "main") and not dropped
                 any_article |= article and not above[1]
                 stack.append((name, above[1] or dropped, above[2] or article))
+                opened[name] += 1
         top = stack[-1] if stack else ("", False, False)
         state = (top[1], top[2])
     flush()
