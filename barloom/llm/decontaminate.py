@@ -22,6 +22,10 @@ from barloom.llm.common import Shared, slices
 
 #: Each byte of UTF-8: letters lower-cased, digits and bytes of other characters kept, the rest blank.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Automata that a worker holds.
+HELD = 2
+#: Bytes of texts that are scanned at a time.
+SLICE = 4 << 20
 #: A word in the original text.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -32,19 +36,32 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Windows of consecutive item words; an item of fewer words is one window."""
+    """Where items occur in texts, by blocks of words that lie end to end in each item.
+
+    A window of ``width`` words holds a whole block of (``width`` + 1) // 2 words.  So the automaton knows
+    the blocks only, a node for each word of an item, and a block found in a text is compared with
+    the item's words on both sides.  An item of fewer words than a window is found whole.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.width = width
+        block = (width + 1) // 2
+        reach = width - block
+        whole: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        around: dict[tuple[int, ...], dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             numbers = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text))
-            for at in range(max(len(numbers) - width + 1, min(len(numbers), 1))):
-                windows[numbers[at : at + width]] |= {item} - {None}
+            if len(numbers) < width:
+                whole[numbers] |= {item} - {None}
+                continue
+            for at in range(0, len(numbers) - block + 1, block):
+                around[numbers[at : at + block]][numbers[max(0, at - reach) : at][::-1], numbers[at + block : at + width]] |= {item} - {None}
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, found in windows.items():
-            self.trie.add_word(window, (len(window), frozenset(found)))
-        self.any = bool(windows)
+        patterns = {*whole, *around} - {()}
+        for pattern in patterns:
+            self.trie.add_word(pattern, (len(pattern), whole.get(pattern), [(*sides, of) for sides, of in around.get(pattern, {}).items()]))
+        self.any = bool(patterns)
         if self.any:
             self.trie.make_automaton()
 
@@ -54,12 +71,25 @@ class Automaton:
         hit: set[int] = set()
         items: set[str] = set()
         if self.any and found:
-            for end, (length, of) in self.trie.iter(tuple(map(self.numbers.get, found, repeat(0)))):
-                hit.update(range(end - length + 1, end + 1))
-                items |= of
+            own = tuple(map(self.numbers.get, found, repeat(0)))
+            for end, (length, whole, around) in self.trie.iter(own):
+                start, end = end - length + 1, end + 1
+                if whole is not None:
+                    hit.update(range(start, end))
+                    items |= whole
+                for left, right, of in around:
+                    a, b = start - _alike(left, own[max(0, start - len(left)) : start][::-1]), end + _alike(right, own[end : end + len(right)])
+                    if b - a >= self.width:
+                        hit.update(range(a, b))
+                        items |= of
         return len(found), sorted(hit), items
 
 
+def _alike(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """How many items two sequences have in common from their start on."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> list[Shared]:
     """The items, broadcast in shards of about ``max_bytes`` of text each, one shard at least."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
@@ -71,10 +101,13 @@ def shards(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -
 
 
 def scan_all(parts: list[Shared], texts: list[str | None], width: int) -> list[tuple[int, list[int], set[str]]]:
-    """What :meth:`Automaton.scan` finds in each text with the items of all ``parts`` together."""
+    """What :meth:`Automaton.scan` finds in each text with the items of all ``parts`` together.
+
+    A worker holds HELD automata; with more parts they are built again for each slice of texts.
+    """
     found: list[tuple[int, list[int], set[str]]] = []
     for part in parts:
-        finder = part.get(lambda items: Automaton(items, width), f"windows of {width}", max(8, len(parts)))
+        finder = part.get(lambda items: Automaton(items, width), f"windows of {width}", HELD)
         new = [finder.scan(text) for text in texts]
         found = [(n, sorted({*hit, *more}), items | others) for (n, hit, items), (_, more, others) in zip(found, new)] if found else new
     return found
@@ -89,7 +122,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     id hits words but is not listed; an empty benchmark hits nothing.  Other columns are ignored.
 
     Benchmarks of more than ``max_bytes`` are scanned in several shards, one automaton each, in the
-    same task, so a row is united with no other row.
+    same task, so a row is united with no other row; a worker holds two automata at most.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = "_id " + kind + ", n_words long, hits array<struct<word:int,start:int,end:int>>, items array<string>"
@@ -97,7 +130,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE if len(parts) <= HELD else 8 * SLICE):
             n_words, hits, items = [], [], []
             texts = batch.column(1).to_pylist()
             for text, (n, hit, found) in zip(texts, scan_all(parts, texts, width)):
@@ -133,7 +166,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     parts, at = shards(benchmark, item_col, item_text_col, max_bytes), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE if len(parts) <= HELD else 8 * SLICE):
             texts = pc.struct_field(batch.column(0), at).to_pylist()
             clean = [not is_contaminated_counts(len(hit), n) for n, hit, _ in scan_all(parts, texts, width)]
             yield batch.filter(pa.array(clean, pa.bool_()))

@@ -49,6 +49,24 @@ def test_contamination(spark, shard):
     assert decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_blocks_find_what_windows_find():
+    r = random.Random(11)
+    for _ in range(400):
+        width, letters = r.choice((1, 2, 3, 4, 5, 8, 13)), "abc"[: r.choice((1, 2, 3))]
+        items = [(f"i{k}", " ".join(r.choice(letters) for _ in range(r.randrange(0, 3 * width)))) for k in range(r.randrange(1, 5))]
+        text = " ".join(r.choice(letters + "z") for _ in range(r.randrange(0, 60)))
+        words, hit, found = text.split(), set(), set()
+        for item, t in items:
+            own = t.split()
+            for at in range(max(len(own) - width + 1, min(1, len(own)))):
+                window = own[at : at + width]
+                for k in range(len(words) - len(window) + 1):
+                    if words[k : k + len(window)] == window:
+                        hit |= set(range(k, k + len(window)))
+                        found.add(item)
+        assert decontaminate.Automaton(items, width).scan(text) == (len(words), sorted(hit), found)
+
+
 def test_repeated_documents_give_a_row_each_with_many_shards(spark):
     passage = " ".join(f"q{i}" for i in range(20))
     items = [(1, passage), (2, "short item"), (3, "brown fox")]
@@ -284,3 +302,25 @@ def test_toxicity_learns_from_the_rest_only(spark):
     assert {x.doc_id: x.score for x in toxicity.toxicity(docs, other).collect()} == {k: v.score for k, v in got.items()}
     assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def toxicity_brute(text, model):
+    """A model's score by its definition: each place's heaviest entry, none inside an exception phrase."""
+    folded, best = toxicity.fold(text), {}
+    places = lambda part: [i for i in range(len(folded)) if folded.startswith(part, i)]
+    for entry, weight in model["weights"].items():
+        for i in places(entry):
+            best[i] = max(best.get(i, 0), weight)
+    spared = {k for phrase in model["exceptions"] for i in places(f" {phrase} ") for k in range(i, i + len(phrase) + 1)}
+    total = sum(w for i, w in best.items() if i not in spared)
+    a, b, c = model["curve"]
+    z = a + b * math.log1p(total) + c * math.log1p(100 * total / max(1, len(folded.split())))
+    return round(1 / (1 + math.exp(-z)), 9)
+
+
+def test_toxicity_scores_equal_their_definition(spark):
+    model = {"weights": {" scum ": 3.5, " idio": 3.25, " idiot ": 4.0, " grub ": 3.75}, "exceptions": ["scum line", "white grub"], "curve": [-3.0, 1.5, 0.5]}
+    texts = ["You 1d10t!", "scum line, scum", "a white grub and a grub", "nothing here", "", None, "idiotic SCUM " * 3, "word " * 400_000 + "sсum", "grub", "grub"]
+    docs = spark.createDataFrame([(i // 2 if i > 7 else i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = sorted((r.doc_id, r.score) for r in toxicity.score_documents(docs, model).collect())
+    assert got == sorted((i // 2 if i > 7 else i, toxicity_brute(t if t is None or len(t) < 9999 else "word " * 400_000 + "scum", model) if t is None or len(t) < 9999 else round(1 / (1 + math.exp(3.0 - 1.5 * math.log1p(3.5) - 0.5 * math.log1p(350 / 400_001))), 9)) for i, t in enumerate(texts))
