@@ -43,15 +43,27 @@ def _words(slots: DataFrame) -> DataFrame:
 def split_by(rows: DataFrame, key: str, wanted: DataFrame, bits_per_row: int = 16, max_words: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``key`` is certainly not in the one column of ``wanted``, rows where it may be), nothing shuffled.
 
-    The Bloom filter is broadcast up to ``max_words`` words; beyond that it is joined by a shuffle.
+    The Bloom filter is broadcast up to ``max_words`` words; beyond that the wanted keys themselves meet
+    the rows in one shuffle join.
     """
     keys = wanted.toDF("_wanted")
     bits = max(1 << 10, 1 << (bits_per_row * max(1, keys.count()) // 2).bit_length())
     words = checkpoint(_words(keys.select(F.explode(F.array(*_slots(F.col("_wanted"), bits))).alias("slot")).distinct()))
-    marked = probe(rows, words, key, bits, words.count() <= max_words)
+    marked = mark(rows, words, key, bits, words.count() <= max_words, keys)
     return marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
 
 
+def mark(rows: DataFrame, words: DataFrame, key: str, bits: int, small: bool, wanted: DataFrame) -> DataFrame:
+    """``rows``, which hold texts, with ``_maybe``: by a ``small`` filter's broadcast, else by one join with the ``wanted`` keys.
+
+    So texts are shuffled once at most, where the filter is too large to send to every executor.
+    """
+    if small:
+        return probe(rows, words, key, bits, True)
+    flags = wanted.toDF("_wanted").distinct().withColumn("_found", F.lit(True))
+    return rows.join(flags, F.col(key).eqNullSafe(F.col("_wanted")), "left").withColumn("_maybe", F.coalesce("_found", F.lit(False))).drop("_wanted", "_found")
+
+
 def probe(rows: DataFrame, words: DataFrame, key: str, bits: int, small: bool) -> DataFrame:
     """``rows`` with ``_maybe``: false only for rows whose key certainly occurs once."""
     hit = F.lit(True)
@@ -78,7 +90,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_w
         maybe.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), best.alias("_best"))
         .select("_key", "_n", F.col("_best.id").alias("_keep"))
     )
-    return slim, rows, groups, n, lambda df: probe(df, words, "_key", bits, small)
+    return slim, rows, groups, n, lambda df: probe(df, words, "_key", bits, small), lambda df: mark(df, words, "_key", bits, small, groups.where("_n > 1").select("_key"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_words: int = 4_000_000) -> DataFrame:
@@ -92,7 +104,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The filter is broadcast while it has at most ``max_words`` words of 64 bits; a larger one is
     joined by a shuffle of ids and hashes.
     """
-    slim, _, groups, n, probed = _split(docs.select(id_col, text_col), id_col, text_col, bits_per_row, max_words)
+    slim, _, groups, n, probed, _ = _split(docs.select(id_col, text_col), id_col, text_col, bits_per_row, max_words)
     marked = probed(slim)
     alone = marked.where("not _maybe").select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_key").alias("text_sha256")
@@ -107,12 +119,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with their columns as they are; one row for each text.
 
     Same rules as :func:`exact_groups`; of repeated rows with the same id, text and length any one
-    stays.  Texts of rows that are certainly alone are not shuffled.
+    stays.  Texts of rows that are certainly alone are not shuffled, but where the filter is larger than
+    ``max_words``: there each text is shuffled once.
     """
     columns = docs.columns
     packed = docs.select(F.col(id_col).alias("_id0"), F.col(text_col).alias("_text0"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    _, rows, groups, n, probed = _split(packed, "_id0", "_text0", bits_per_row, max_words)
-    marked = probed(rows.drop("_text0"))
+    _, rows, groups, n, _, marking = _split(packed, "_id0", "_text0", bits_per_row, max_words)
+    marked = marking(rows.drop("_text0"))
     alone = marked.where("not _maybe").select("_row")
     winners = groups.select("_key", "_n", F.col("_keep"))
     same = F.col("_id0").eqNullSafe(F.col("_keep"))
