@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import checkpoint, join_counted, shared_dir
-from barloom.llm.exact_dedup import probe, repeated_filter
+from barloom.llm.exact_dedup import mark, probe, repeated_filter
 
 END = "\r\n\r\n"
 TYPES = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
 #: Before and after the id in a record's name.
 NAME = ("<urn:page:", ">")
+#: The name of a record without an id.
+NO_ID = "<urn:page>"
 #: Digits of base 32 as numbers are written, and as RFC 4648 has them.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -39,13 +41,14 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*digits)), DIGITS, BASE32)
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, max_words: int = 4_000_000) -> DataFrame:
     """(_id, _url, _payload, _bytes, _digest, _refers): which page each record refers to, null for responses.
 
     Of payloads of at least ``min_bytes`` that are equal, the page with the smallest id is the
     response and all others revisit it; smaller ones are all responses.  A null payload is empty.
     Repeated rows of the smallest id are all responses; a null id comes after all others.
-    A Bloom filter finds the digests that may repeat; only their pages are shuffled.
+    A Bloom filter finds the digests that may repeat; only their pages are shuffled.  A filter of more than
+    ``max_words`` words is not sent to the pages; then each page is shuffled once.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"))
@@ -54,11 +57,11 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     n = slim.count()
     bits = max(1 << 10, 1 << (8 * n).bit_length())
     words = checkpoint(repeated_filter(slim, "_digest", bits))
-    small = words.count() <= 4_000_000
+    small = words.count() <= max_words
     groups = checkpoint(
         probe(slim, words, "_digest", bits, small).where("_maybe").groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     )
-    marked = probe(rows, words, "_digest", bits, small).withColumn("_maybe", F.col("_maybe") & (F.col("_bytes") >= min_bytes))
+    marked = mark(rows, words, "_digest", bits, small, groups.where("_n > 1").select("_digest")).withColumn("_maybe", F.col("_maybe") & (F.col("_bytes") >= min_bytes))
     alone = marked.where("not _maybe").withColumn("_refers", F.lit(None).cast(rows.schema["_id"].dataType))
     many = join_counted(marked.where("_maybe"), groups, "_digest", "_n", n)
     many = many.withColumn("_refers", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")))
@@ -66,13 +69,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return alone.select(columns).unionByName(many.select(columns))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", records_per_file: int = 4000) -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2025-01-01T00:00:00Z", records_per_file: int = 4000, max_words: int = 4_000_000) -> None:
     """Archives of ``pages``, one record per row, in the new folder ``path``.
 
-    Line ends in an address are written as %0D and %0A; a null address is empty, a null id is named
-    null.  A revisit holds the response's HTTP header and no payload.
+    Line ends in an address are written as %0D and %0A; a null address is empty.  An id of any type is
+    written as text, percent-encoded; a null id has a name of its own.  A revisit holds the response's HTTP header and no payload.
     """
-    name = lambda c: F.concat(F.lit(NAME[0]), F.coalesce(c.cast("string"), F.lit("null")), F.lit(NAME[1]))
+    name = lambda c: F.coalesce(F.concat(F.lit(NAME[0]), F.url_encode(c.cast("string")), F.lit(NAME[1])), F.lit(NO_ID))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     url = F.replace(F.replace(F.coalesce(F.col("_url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("_refers").isNotNull()
@@ -85,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         "\r\nWARC-Payload-Digest: sha1:", F.col("_digest"), "\r\nWARC-Block-Digest: sha1:", sha1_base32(F.col("_block")),
         "\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ", F.octet_length("_block").cast("string"), END,
     )
-    records = plan_records(pages, id_col, url_col, payload_col, min_bytes).withColumn("_block", block)
+    records = plan_records(pages, id_col, url_col, payload_col, min_bytes, max_words).withColumn("_block", block)
     records.select(F.concat(header.cast("binary"), F.col("_block")).cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -268,15 +271,20 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.mapInArrow(run, "path string, kind string, offset long, length long, inner_offset long, inner_length long, reason string, record_type string, record_id string, url string, refers_to_id string, payload_bytes long, payload_digest string, payload binary")
 
 
-def page_of(name: Column) -> Column:
-    """The id in a record's name."""
-    return F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+def page_of(name: Column, kind: str = "long") -> Column:
+    """The id in a record's name; null without one."""
+    inner = F.substring(name, len(NAME[0]) + 1, F.length(name) - F.lit(len("".join(NAME))))
+    return F.when(name.startswith(NAME[0]), F.url_decode(inner)).try_cast(kind)
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """``pages`` written as archives in the shared folder and read back: one row per page."""
+def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
+    """``pages`` written as archives in the shared folder and read back: one row per page.
+
+    Columns: the id in its own type, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
+    Repeated rows give a row each; a null id stays null; an empty table gives an empty result.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path, **options)
-    records = read_warc(spark, path, payloads=False).where("kind = 'record'")
-    return records.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to_id")).alias("refers_to"))
+    write_warc(pages, path, id_col=id_col, **options)
+    records, kind = read_warc(spark, path, payloads=False).where("kind = 'record'"), pages.schema[id_col].dataType.simpleString()
+    return records.select(page_of(F.col("record_id"), kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to_id"), kind).alias("refers_to"))

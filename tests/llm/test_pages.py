@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ def test_round_trip(spark):
     html = "<p>Ünï\r\n\r\nWARC/1.0\r\n</p>"
     rows = [(1, "http://a/1", html), (2, None, html), (3, "http://a/3\r\nX: y", None), (4, "u", ""), (5, "u", "x" * 300_000)]
     got = sorted(tuple(r) for r in warc.round_trip(pages(spark, rows)).collect())
+    assert got == sorted(tuple(r) for r in warc.round_trip(pages(spark, rows), max_words=0).collect())
     sizes = {r[0]: len((r[2] or "").encode()) for r in rows}
     assert [(g[0], g[1], g[3], g[4]) for g in got] == [(1, sizes[1], "response", None), (2, sizes[2], "revisit", 1), (3, 0, "response", None), (4, 0, "revisit", 3), (5, sizes[5], "response", None)]
     assert got[0][2] == got[1][2] == warc._sha1(html.encode())
@@ -26,6 +28,15 @@ def test_round_trip(spark):
     assert warc.round_trip(pages(spark, rows[:1]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "double"])
+def test_ids_of_any_type_come_back(spark, kind):
+    ids = [("1",), ("7",), ("7",), (None,), (None,)] + [("a b/%>é",), ("",), ("null",)] * (kind == "string")
+    df = spark.createDataFrame(ids, "page_id string").selectExpr(f"cast(page_id as {kind}) as page_id", "'u' as url", "coalesce(page_id, '') as html")
+    got = warc.round_trip(df)
+    assert got.schema["page_id"].dataType == got.schema["refers_to"].dataType == df.schema["page_id"].dataType
+    assert sorted(map(str, (r.page_id for r in got.collect()))) == sorted(map(str, (r.page_id for r in df.collect())))
+
+
 def record(n, body=b"hello"):
     block = b"HTTP/1.1 200 OK\r\n\r\n" + body
     head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Block-Digest: sha1:{warc._sha1(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
@@ -115,6 +126,20 @@ def test_attributes_are_whole_names():
     assert text_of('<article title="comment" class="ad-free"><p>kept</article>') == ["kept"]
 
 
+def test_parts_of_an_article_are_kept_whatever_their_class():
+    html = '<article><div class="article-header"><h1>Title</h1></div><p class="side note">one</p><header><h2>Part</h2></header><p class="share-price">two</p>{}</article>'
+    assert text_of(html.format("")) == ["Title", "one", "Part", "two"]
+    for part in ('<div class="comments-area"><p>x</div>', '<p class="ad">x</p>', "<aside>x</aside>", "<footer>x</footer>", '<ul class="share">x</ul>', "<div id=related-posts>x</div>", '<div role="navigation">x</div>'):
+        assert text_of(html.format(part)) == ["Title", "one", "Part", "two"], part
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a =\"", "<!", "<!--", "<b><hr>", "<div></span>", "<p title='", "<li><ul>", "<", "<script>", "</p", "&amp", "<a b=", "x "])
+def test_broken_pages_take_time_in_proportion(part):
+    began = time.process_time()
+    extract.blocks("<p>one</p>" + part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 20
+
+
 def test_repeated_equals_brute_force():
     r = random.Random(2)
     for _ in range(60):
@@ -165,3 +190,44 @@ def test_large_hosts_find_every_repeat(spark):
     assert text[1000] == text[10] == text[1]
     assert all(p not in text[10][i] for i in range(1, 60, 2) for p in [*pair, every])
     assert text[10][200] == pair[0] and text[10][101] == pair[1]
+
+
+def extract_brute(rows, least=8, share=0.5):
+    """Pages of plain div blocks: a block goes if half of its words lie in runs of ``least`` words that another page of the host has."""
+    cut = {i: [b.split("</div>")[0].split() for b in html.split("<div>")[1:]] for i, _, html in rows}
+    host = {i: url.split("/")[2] for i, url, _ in rows}
+    content = {i: (host[i], html) for i, _, html in rows}
+    seen = {}
+    for i, blocks in cut.items():
+        words = [w for b in blocks for w in b]
+        for k in range(len(words) - least + 1):
+            seen.setdefault((host[i], *words[k : k + least]), set()).add(content[i])
+    out = {}
+    for i, blocks in cut.items():
+        words = [w for b in blocks for w in b]
+        covered = [False] * len(words)
+        for k in range(len(words) - least + 1):
+            if len(seen[host[i], *words[k : k + least]]) > 1:
+                covered[k : k + least] = [True] * least
+        kept, at = [], 0
+        for b in blocks:
+            if b and sum(covered[at : at + len(b)]) < share * len(b):
+                kept.append(" ".join(b))
+            at += len(b)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_extract_equals_brute_force(spark):
+    r = random.Random(9)
+    words = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    common = [words(r.randrange(6, 16)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [r.choice(common) if r.random() < 0.4 else f"{words(r.randrange(1, 12))} {r.choice(common) if r.random() < 0.3 else ''}" for _ in range(r.randrange(1, 7))]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<div>{p}</div>" for p in parts)))
+    rows.append((60, rows[0][1], rows[0][2]))  # the same page again is no other page
+    wanted = extract_brute(rows)
+    assert any(wanted[i] == "" for i in wanted) or any("\n" in t for t in wanted.values())
+    for most in (1000, 1):
+        assert {x.page_id: x.text for x in extract.extract(pages(spark, rows), max_pages=most).collect()} == wanted
