@@ -7,7 +7,7 @@ from barloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.oracle import DATA, connect, difference
 
 SF = "sf0.001"
-TABLE = {"op1": "pages", "op10": "pages", "op5": "conversations"}
+TABLE = {"op1": "pages", "op10": "pages", "op13": "embeddings", "op5": "conversations"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -15,14 +15,18 @@ def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, f"{DATA}/{SF}").toPandas(), connect(SF).sql(ORACLE_SQL[name]).df()) == ""
 
 
+#: Rows for each row of the table; each embedding gives one for each of 16 components.
+TIMES = {"op13": 16}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_one_row_for_each_row(spark, name):
     source = spark.read.parquet(f"{DATA}/{SF}/{TABLE.get(name.split('_')[0], 'documents')}.parquet").count()
-    assert QUERIES[name](spark, f"{DATA}/{SF}").count() == source
+    assert QUERIES[name](spark, f"{DATA}/{SF}").count() == source * TIMES.get(name.split("_")[0], 1)
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 12), 13]
 
 
 def test_pipeline(spark):
