@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 
 from barloom.stored import checkpoint, shared_dir
 
-__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "table", "without"]
+__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table; smaller than a checkpoint, and columns can be left unread."""
+    folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, hot_groups: int = 1000) -> DataFrame:
     """Inner join of ``rows`` to one row for each key, when a key may hold a third of all rows.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, decontaminate, divergence, exact_dedup, extract, minhash, quality, tokencount, toxicity, warc, whitening
+from barloom.llm import bpe, chat, decontaminate, divergence, exact_dedup, extract, minhash, quality, repeats, tokencount, toxicity, warc, whitening
 from barloom.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the contract's deviation is a long; null where it doesn't fit
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_extract": op10_extract,
     "op11_divergence": op11_divergence,
+    "op12_repeats": op12_repeats,
     "op13_whitening": op13_whitening,
 }
 
