@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, slices
+from barloom.llm.common import checkpoint, slices, stored
 
 #: Letters and all bytes from 128 on are kept, A-Z lower-cased; the rest parts terms.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -132,16 +132,16 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     their names.  An empty table gives an empty result.
     """
     source = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = checkpoint(term_counts(source).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counts = stored(term_counts(source).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     words = counts.where("term is not null")
-    kept = checkpoint(words.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"))
+    kept = stored(words.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"))
     posts = words.drop("docs").join(kept, ["lang", "term"])
     sizes = posts.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("whole"))
     groups = counts.where("term is null").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["size", "v", "whole"])
     groups = checkpoint(groups.withColumn("p0", F.when(F.col("v") > 0, probability(F.lit(0), F.col("size") + F.col("v")))))
     p, q = probability(F.col("n"), F.col("size") + F.col("v")), probability(F.col("total"), F.col("whole") + F.col("v"))
-    posted = checkpoint(posts.join(groups, ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q"), "p0"))
+    posted = stored(posts.join(groups, ["lang", "source"]).select("lang", "source", "term", p.alias("p"), q.alias("q"), "p0"))
 
     pairs = _sums(_one_sided(posted, groups).unionByName(_overlaps(posted)), "lang", "source", "item").withColumn("value", F.col("value").cast("long"))
     terms = _ranked(posted.where("p > q").select("lang", "source", F.col("term").alias("item"), price(F.col("p"), F.col("q")).alias("value"))).where(F.col("rank") <= top)
