@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.stored import checkpoint
+
 KEYS = ("symbol", "tf")
+#: Width of the chunks of time that scans over a series are cut into.
+CHUNK_SECONDS = 86_400 * 64
 
 
 def series(keys: tuple[str, ...] = KEYS, order: str = "ts") -> WindowSpec:
@@ -25,22 +29,52 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
-def with_run(df: DataFrame, name: str, condition: Column, w_keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Rows since ``condition`` became true, this one counted; 0 where it is false or null."""
-    w = series(w_keys)
-    df = df.withColumn("_b", flag(condition))
-    df = df.withColumn("_g", F.sum(flag(F.col("_b") != F.lag("_b").over(w))).over(w))
-    run = F.row_number().over(Window.partitionBy(*w_keys, "_g").orderBy("ts"))
-    return df.withColumn(name, run * F.col("_b")).drop("_b", "_g")
+def chunk(seconds: int, ts: str = "ts") -> Column:
+    """Number of the stretch of time that a row is in."""
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+
+
+def carried(df: DataFrame, values: dict[str, Column], strict: bool = False, keys: tuple[str, ...] = KEYS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Each new column has the last value that is not null of its expression, up to the row (before it if ``strict``).
+
+    A segmented scan: rows are scanned within chunks of time, the last values of chunks are combined by a
+    short window over chunks, and each chunk gets what was carried into it.  No task holds a series.
+    """
+    names = list(values)
+    cut = checkpoint(df.withColumns({"_chunk": chunk(chunk_seconds), **{f"_v_{n}": values[n] for n in names}}))  # it is read twice
+    own = Window.partitionBy(*keys, "_chunk").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    last = lambda n: F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct("ts", F.col(f"_v_{n}").alias("v"))))
+    ends = cut.groupBy(*keys, "_chunk").agg(*[last(n).alias(f"_e_{n}") for n in names])
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_chunk", *[F.last(f"_e_{n}", ignorenulls=True).over(before)["v"].alias(f"_c_{n}") for n in names])
+    scanned = cut.withColumns({f"_o_{n}": F.last(f"_v_{n}", ignorenulls=True).over(own) for n in names}).join(ends, [*keys, "_chunk"])
+    return scanned.withColumns({n: F.coalesce(f"_o_{n}", f"_c_{n}") for n in names}).drop("_chunk", *[f"_{x}_{n}" for x in "voc" for n in names])
+
+
+def with_runs(df: DataFrame, conditions: dict[str, Column], keys: tuple[str, ...] = KEYS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """For each name the rows since its condition became true, the row counted; 0 where it is false or null.
+
+    A run is the distance from the last row on which the condition did not hold, which is carried over chunks.
+    """
+    at = "pos" if "pos" in df.columns else "_pos"
+    df = df if at == "pos" else with_position(df, at, keys, chunk_seconds)
+    df = carried(df, {f"_r_{n}": F.when(~F.coalesce(held, F.lit(False)), F.col(at)) for n, held in conditions.items()}, keys=keys, chunk_seconds=chunk_seconds)
+    out = df.withColumns({n: (F.col(at) - F.coalesce(f"_r_{n}", F.lit(-1))).cast("int") for n in conditions})
+    return out.drop("_pos", *[f"_r_{n}" for n in conditions])
+
+
+def with_run(df: DataFrame, name: str, condition: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """:func:`with_runs` of one condition."""
+    return with_runs(df, {name: condition}, keys)
 
 
-def with_position(df: DataFrame, name: str = "pos", keys: tuple[str, ...] = KEYS, chunk_seconds: int = 86_400 * 64) -> DataFrame:
+def with_position(df: DataFrame, name: str = "pos", keys: tuple[str, ...] = KEYS, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Number of each row in its series, from 0.
 
     Rows are numbered within chunks of time and shifted by the counts of earlier chunks, so a long
     series is not sorted in one task.
     """
-    cut = df.withColumn("_chunk", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / chunk_seconds))
+    cut = df.withColumn("_chunk", chunk(chunk_seconds))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(*keys, "_chunk").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     own = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy("ts")) - 1

@@ -39,9 +39,44 @@ def least_count() -> Column:
     return out
 
 
-def cutoff(rows: DataFrame, ts: str = "timestamp_inicio", quantile: float = HOLDOUT_QUANTILE) -> DataFrame:
-    """(cut_us): the interpolated quantile of a time, in microseconds; one row."""
-    return rows.agg(F.percentile(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(quantile)).alias("cut_us"))
+def nth_values(rows: DataFrame, column: str, ranks: list[int], bins: int = 1 << 15) -> list[int]:
+    """The values at some places (from 0) of the sorted whole numbers in ``column``, which has no nulls.
+
+    Selection by histograms: each pass counts the values in equal parts of the range that holds a place and goes on
+    in one part, so the driver sees at most ``bins`` counts for each place, and no task more than its own rows.
+    """
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    spans = {k: (low, high, k) for k in ranks}  # place -> range and its place in there
+    while any(a < z for a, z, _ in spans.values()):
+        for a, z in sorted({(a, z) for a, z, _ in spans.values() if a < z}):
+            width = (z - a) // bins + 1
+            part = F.expr(f"({column} - ({a}L)) div {width}L")
+            counts = rows.where(F.col(column).between(a, z)).groupBy(part.alias("part")).count().orderBy("part").collect()
+            for k in [k for k, span in spans.items() if span[:2] == (a, z)]:
+                left = spans[k][2]
+                for number, count in counts:
+                    if left < count:
+                        break
+                    left -= count
+                spans[k] = (a + number * width, min(z, a + (number + 1) * width - 1), left)
+    return [spans[k][0] for k in ranks]
+
+
+def quantile(rows: DataFrame, column: str, q: float) -> float | None:
+    """The interpolated quantile of the whole numbers in ``column``; None without any."""
+    values = rows.where(F.col(column).isNotNull()).select(column)
+    n = values.count()
+    if not n:
+        return None
+    place = q * (n - 1)
+    lower, upper = int(place), -int(-place // 1)
+    a, b = nth_values(values, column, [lower, upper])
+    return float(a) if lower == upper or a == b else (upper - place) * a + (place - lower) * b
+
+
+def cutoff(rows: DataFrame, ts: str = "timestamp_inicio", q: float = HOLDOUT_QUANTILE) -> float | None:
+    """The interpolated quantile of a time, in microseconds."""
+    return quantile(rows.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("us")), "us", q)
 
 
 def mine(rows: DataFrame, flags: list[str], categories: list[str] = (), minimum: Column | None = None, holdout: bool = True) -> DataFrame:
@@ -54,7 +89,7 @@ def mine(rows: DataFrame, flags: list[str], categories: list[str] = (), minimum:
     """
     keep = ["tf", "direccion", "timestamp_inicio", "continuacion", "magnitud_pct", "duracion_min", "mfe_pct", "mae_pct", "rebote_fib", "fib_agotamiento"]
     judged = rows.where("continuacion != 'ULTIMO'")
-    cut = cutoff(judged).first()["cut_us"] if holdout else None
+    cut = cutoff(judged) if holdout else None
     early = F.unix_micros(F.col("timestamp_inicio").cast("timestamp")) <= F.lit(cut)
     facts = long_form(judged, flags, categories, keep).withColumn("_early", early)
     measures = [

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.catalogue import EXHAUSTION, MIN_MOVE_BARS, MINUTES, ORDER, PARENT
-from barloom.functions.windows import KEYS, series
+from barloom.functions.windows import KEYS, with_position
 from barloom.operators.asof import asof
+from barloom.stored import checkpoint
 
 OPENS = {"CHOCH_ALCISTA": "LONG", "CHOCH_BAJISTA": "SHORT", "BOS_BULL": "LONG", "BOS_BEAR": "SHORT"}
 SCHEMA = (
@@ -73,46 +74,102 @@ class Machine:
         return done
 
 
-def movements(bars: DataFrame, thresholds: dict[str, float] = EXHAUSTION) -> DataFrame:
-    """Movements of each (symbol, tf) from bars with ``bos_event`` and ``choch_event``.
+NAMES = ["mov_id", "direccion", "timestamp_inicio", "timestamp_fin", "precio_inicio", "precio_fin", "precio_extremo", "magnitud_pct", "duracion_barras", "duracion_min", "cierre_tipo"]
+#: What a chunk of bars hands on to the next: the open movement, all null if there is none.
+STATE = ["direction", "start", "price", "extreme", "bars"]
 
-    Bars are streamed in order and only the open movement is held.  Numbers are given at opening, so
-    movements that are dropped for having too few bars leave gaps.
+
+def _machines(rows: DataFrame, thresholds: dict[str, float], finished: bool) -> DataFrame:
+    """Runs the machine over each chunk of ``rows`` from the state that its rows come with.
+
+    Gives the movements (``finished``), or for each chunk the state it leaves and how many movements it opened.
+    A bar opens a movement at the next bar's opening price: the next chunk's first where the chunk ends.
     """
-    following = F.coalesce(F.lead("open").over(series()), F.col("close"))
-    source = bars.where("close is not null").select(*KEYS, "ts", "high", "low", "close", following.alias("next_open"), "bos_event", "choch_event")
-    source = source.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts")
-    names = ["mov_id", "direccion", "timestamp_inicio", "timestamp_fin", "precio_inicio", "precio_fin", "precio_extremo", "magnitud_pct", "duracion_barras", "duracion_min", "cierre_tipo"]
+    ts = rows.schema["ts"].dataType.simpleString()
+    source = rows.select(*KEYS, "_chunk", "ts", "open", "high", "low", "close", "bos_event", "choch_event", "_next", "_opened", *[f"_{n}" for n in STATE]).repartition(*KEYS, "_chunk").sortWithinPartitions(*KEYS, "_chunk", "ts")
+    schema = SCHEMA.format(ts=ts) if finished else f"symbol string, tf string, _chunk long, opened long, direction string, start {ts}, price double, extreme double, bars int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, machine, last = None, None, None
+        group: tuple | None = None
+        machine, waiting, after = Machine("", 0.0), None, None
+        out: list[tuple] = []
+        begun = 0
         kinds: list[pa.DataType] = []
 
-        def table(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.string(), pa.string(), pa.string(), pa.string(), *kinds, pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["symbol", "tf", *names])
+        def step(next_open: float | None) -> None:
+            t, high, low, close, bos, choch = waiting
+            done = machine.step(t, high, low, close, close if next_open is None else next_open, bos, choch)
+            if done and finished:
+                out.append((*group[:2], *done))
+
+        def end() -> None:
+            if group is None:
+                return
+            step(after[1])
+            if not finished:
+                state = (machine.direction, machine.start, machine.price, machine.extreme, machine.bars) if machine.direction else (None,) * 5
+                out.append((*group, machine.opened - begun, *state))
+            elif after[0] and machine.direction:
+                done = machine.close(waiting[0], waiting[3], "FIN_DATOS")
+                if done:
+                    out.append((*group[:2], *done))
 
-        def end() -> list[tuple]:
-            done = machine.close(last[0], last[1], "FIN_DATOS") if machine and machine.direction else None
-            return [(*group, *done)] if done else []
+        def table() -> pa.RecordBatch:
+            moved = [pa.string(), pa.string(), pa.string(), pa.string(), *kinds, *kinds, *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.string()]
+            types = moved if finished else [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *kinds, pa.float64(), pa.float64(), pa.int32()]
+            names = ["symbol", "tf", *NAMES] if finished else ["symbol", "tf", "_chunk", "opened", *STATE]
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(types)], names)
+            out.clear()
+            return batch
 
         for batch in batches:
-            kinds = [batch.schema.field("ts").type] * 2
-            rows: list[tuple] = []
-            for symbol, tf, ts, high, low, close, next_open, bos, choch in zip(*(c.to_pylist() for c in batch.columns)):
-                if (symbol, tf) != group:
-                    rows += end()
-                    group, machine = (symbol, tf), Machine(tf, thresholds.get(tf, 1.5))
-                done = machine.step(ts, high, low, close, next_open, bos, choch)
-                if done:
-                    rows.append((symbol, tf, *done))
-                last = (ts, close)
-            yield table(rows)
-        rows = end()
-        if rows:
-            yield table(rows)
-
-    return source.mapInArrow(run, SCHEMA.format(ts=bars.schema["ts"].dataType.simpleString()))
+            kinds = [batch.schema.field("ts").type]
+            for symbol, tf, number, t, first, high, low, close, bos, choch, following, opened, *state in zip(*(c.to_pylist() for c in batch.columns)):
+                if (symbol, tf, number) != group:
+                    end()
+                    group, begun = (symbol, tf, number), opened or 0
+                    direction, start, price, extreme, count = state
+                    machine = Machine(tf, thresholds.get(tf, 1.5), begun, direction, start, price or 0.0, extreme or 0.0, count or 0)
+                else:
+                    step(first)
+                waiting, after = (t, high, low, close, bos, choch), (following is None, following and following["open"])
+            yield table()
+        end()
+        if out:
+            yield table()
+
+    return source.mapInArrow(run, schema)
+
+
+def movements(bars: DataFrame, thresholds: dict[str, float] = EXHAUSTION, chunk: int = 1 << 16) -> DataFrame:
+    """Movements of each (symbol, tf) from bars with ``bos_event`` and ``choch_event``; bars without a close are skipped.
+
+    A series is cut into chunks of ``chunk`` rows.  Each chunk is first run as if nothing were open at its start; where the
+    chunk before leaves another state, it is run again from that one, until no state changes.  Runs from different states
+    soon agree, for every movement closes, so few chunks are run more than twice; a movement that stays open takes one
+    round for each chunk it spans.  Numbers are given at opening, so movements that are dropped for having too few bars leave gaps.
+    """
+    bars = bars if "pos" in bars.columns else with_position(bars)
+    rows = checkpoint(bars.where("close is not null").select(*KEYS, F.floor(F.col("pos") / chunk).alias("_chunk"), "ts", "open", "high", "low", "close", "bos_event", "choch_event"))
+    order = Window.partitionBy(*KEYS).orderBy("_chunk")  # a row for each chunk
+    following = F.lead(F.struct("open")).over(order)
+    chunks = rows.groupBy(*KEYS, "_chunk").agg(F.min_by("open", "ts").alias("open")).withColumn("_next", following).drop("open")
+    nothing = {"direction": F.lit(None).cast("string"), "start": F.lit(None).cast(rows.schema["ts"].dataType), "price": F.lit(None).cast("double"), "extreme": F.lit(None).cast("double"), "bars": F.lit(None).cast("int")}
+    chunks = checkpoint(chunks.withColumns({f"_{n}": x for n, x in nothing.items()}).withColumn("_opened", F.lit(0).cast("long")))
+    if chunks.where("_next is not null").limit(1).count():
+        left = checkpoint(_machines(rows.join(chunks.where("_next is not null"), [*KEYS, "_chunk"]), thresholds, False))
+        while True:
+            found = chunks.drop(*[f"_{n}" for n in STATE]).join(left, [*KEYS, "_chunk"], "left")
+            known = found.select(*KEYS, "_chunk", "_next", *[F.lag(n).over(order).alias(f"_{n}") for n in STATE], F.coalesce(F.sum("opened").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_opened"))
+            state = F.struct(*[F.col(f"_{n}") for n in STATE])
+            before = chunks.select(*KEYS, "_chunk", state.alias("_was"))
+            marked = checkpoint(known.join(before, [*KEYS, "_chunk"]).withColumn("_moved", ~state.eqNullSafe(F.col("_was"))).drop("_was"))
+            chunks, again = marked.drop("_moved"), marked.where("_moved and _next is not null").drop("_moved")
+            if not again.limit(1).count():
+                break
+            anew = checkpoint(_machines(rows.join(again, [*KEYS, "_chunk"]), thresholds, False))
+            left = checkpoint(left.join(again.select(*KEYS, "_chunk"), [*KEYS, "_chunk"], "left_anti").unionByName(anew))
+    return _machines(rows.join(chunks, [*KEYS, "_chunk"]), thresholds, True)
 
 
 def link_parents(moves: DataFrame, tfs: list[str] = ORDER) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barloom.catalogue import COMBO_N, COMBO_SIZE, COMBO_TRADES, COMBO_WR, HOLD, HORIZONS, STOP_LOSS, TAKE_PROFIT, WR_EDGE
 from barloom.functions.windows import KEYS, flag, series
 from barloom.operators.hop import hop_select
+from barloom.stored import checkpoint
 
 
 def any_of(columns: list[str]) -> Column:
@@ -46,15 +51,16 @@ def alignment(df: DataFrame, above: list[str], least: int = 5, thesis: int = 4)
 
 
 def forward(df: DataFrame, horizons: tuple[int, ...] = HORIZONS, w: WindowSpec | None = None) -> DataFrame:
-    """For each horizon: ``ret_h``, and ``mae_h`` and ``mfe_h`` in percent of the path up to it; null without the full path."""
+    """For each horizon: ``ret_h``, and ``mae_h`` and ``mfe_h`` in percent of the path up to it; null without the full path and for a close of zero."""
     w = w or series()
+    base = F.nullif(F.col("close"), F.lit(0.0))
     out = {}
     for h in horizons:
         later = F.lead("close", h).over(w)
         path = w.rowsBetween(0, h)
-        out[f"ret_{h}"] = (later - F.col("close")) / F.col("close")
-        out[f"mae_{h}"] = F.when(later.isNotNull(), (F.min("close").over(path) - F.col("close")) / F.col("close") * 100)
-        out[f"mfe_{h}"] = F.when(later.isNotNull(), (F.max("close").over(path) - F.col("close")) / F.col("close") * 100)
+        out[f"ret_{h}"] = (later - F.col("close")) / base
+        out[f"mae_{h}"] = F.when(later.isNotNull(), (F.min("close").over(path) - F.col("close")) / base * 100)
+        out[f"mfe_{h}"] = F.when(later.isNotNull(), (F.max("close").over(path) - F.col("close")) / base * 100)
     return df.withColumns(out)
 
 
@@ -86,31 +92,132 @@ def univariate_next(df: DataFrame, flags: list[str], least: int = 30, least_edge
     return found.withColumn("edge", F.round(F.abs(F.col("winrate") - 0.5), 4)).where(F.col("edge") >= least_edge)
 
 
-def first_hit(df: DataFrame, take: float = TAKE_PROFIT, stop: float = STOP_LOSS, hold: int = HOLD, tie_is_stop: bool = False) -> DataFrame:
+def first_reaching(values: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """For each query the first place from ``start`` on whose value is ``level`` or more; the number of values if there is none.
+
+    A tree of maxima over blocks of 2, 4, 8 ... values: queries climb past blocks that stay below their level, then descend.
+    """
+    tree = [values]
+    while len(tree[-1]) > 1:
+        top = tree[-1]
+        top = np.append(top, -np.inf) if len(top) % 2 else top
+        tree.append(np.maximum(top[0::2], top[1::2]))
+    place, depth = start.copy(), np.full(len(start), -1)
+    climbing = np.flatnonzero(start < len(values))
+    for k, top in enumerate(tree):
+        b = place[climbing]
+        looks = (b % 2 == 1) | (k == len(tree) - 1)  # an even block is judged with its pair, one level up
+        hit = looks & (b < len(top)) & (top[np.minimum(b, len(top) - 1)] >= level[climbing])
+        depth[climbing[hit]] = k
+        climbing, b = climbing[~hit], b[~hit]
+        place[climbing] = (b + b % 2) >> 1
+    place[depth < 0] = len(values)
+    for k in range(len(tree) - 2, -1, -1):
+        on = np.flatnonzero(depth > k)
+        left = 2 * place[on]
+        place[on] = np.where(tree[k][left] >= level[on], left, left + 1)
+    return place
+
+
+#: The four barriers of a bar: the first crossing upwards and downwards, by profit and by loss.
+_BARRIERS = (("up", "take"), ("up", "stop"), ("down", "take"), ("down", "stop"))
+
+
+def _crossings(df: DataFrame, take: float, stop: float, hold: int, chunk: int) -> DataFrame:
+    """(symbol, tf, pos, four positions): where each bar's barriers are first reached within ``hold`` bars, null if they aren't.
+
+    A chunk of ``chunk`` bars is one tree.  A barrier not reached in its bar's chunk goes to the first later chunk whose
+    extremes reach it, and is answered there.
+    """
+    rows = df.where("close is not null").select(*KEYS, F.floor(F.col("pos") / chunk).alias("_chunk"), "pos", F.col("close").cast("double").alias("close"))
+    schema = "symbol string, tf string, pos long, side int, level double, found long"
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            at = 0
+            own = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for i in [*(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)] if own else []:
+                if held and own[at] != key:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                key = own[at]
+                held.append(batch.slice(at, i - at))
+                at = i
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def answer(pos: np.ndarray, close: np.ndarray, side: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.ndarray:
+        out = np.full(len(start), -1)
+        for sign, mine in ((1.0, side < 2), (-1.0, side >= 2)):
+            at = first_reaching(sign * close, start[mine], sign * level[mine])
+            out[mine] = np.append(pos, -1)[at]
+        return out
+
+    def given(table: pa.Table, side: np.ndarray, asked: np.ndarray, level: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        symbol, tf = (pa.array([table[k][0].as_py()] * len(asked), pa.string()) for k in (0, 1))
+        reached = pa.array(found, pa.int64(), mask=(found < 0) | (found > asked + hold))
+        return pa.RecordBatch.from_arrays([symbol, tf, pa.array(asked), pa.array(side.astype(np.int32)), pa.array(level), reached], ["symbol", "tf", "pos", "side", "level", "found"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            pos, close = table["pos"].to_numpy(), table["close"].to_numpy()
+            n = len(pos)
+            side = np.repeat(np.arange(4), n)
+            level = np.concatenate([close * (1 + take), close * (1 + stop), close * (1 - take), close * (1 - stop)])
+            found = answer(pos, close, side, np.tile(np.arange(1, n + 1), 4), level)
+            yield given(table, side, np.tile(pos, 4), level, found)
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            ask = table["side"].is_valid()
+            asks, bars = table.filter(ask), table.filter(pc.invert(ask))
+            if len(asks):
+                side = asks["side"].to_numpy()
+                found = answer(bars["pos"].to_numpy(), bars["close"].to_numpy(), side, np.zeros(len(side), np.int64), asks["close"].to_numpy())
+                yield given(asks, side, asks["pos"].to_numpy(), asks["close"].to_numpy(), found)
+
+    own = checkpoint(rows.repartition(*KEYS, "_chunk").sortWithinPartitions(*KEYS, "_chunk", "pos").mapInArrow(within, schema))
+    # the chunks after a barrier's own that its holding time reaches into, and the first of them that reaches it
+    last = F.floor((F.col("pos") + hold) / chunk)
+    here = F.floor(F.col("pos") / chunk)
+    open_ = own.where("found is null").where(last > here).withColumn("_chunk", F.explode(F.sequence(here + 1, last)))
+    extremes = rows.groupBy(*KEYS, "_chunk").agg(F.max("close").alias("_top"), F.min("close").alias("_bottom"))
+    reaches = F.when(F.col("side") < 2, F.col("_top") >= F.col("level")).otherwise(F.col("_bottom") <= F.col("level"))
+    sent = open_.join(extremes, [*KEYS, "_chunk"]).where(reaches).groupBy(*KEYS, "pos", "side", "level").agg(F.min("_chunk").alias("_chunk"))
+    asks = sent.select(*KEYS, "_chunk", "pos", F.col("level").alias("close"), "side")
+    both = rows.join(sent.select(*KEYS, "_chunk").distinct(), [*KEYS, "_chunk"], "left_semi").withColumn("side", F.lit(None).cast("int")).unionByName(asks)
+    later = both.repartition(*KEYS, "_chunk").sortWithinPartitions(*KEYS, "_chunk", F.col("side").isNotNull(), "pos").mapInArrow(beyond, schema)
+    found = own.where("found is not null").unionByName(later.where("found is not null"))
+    names = ["_".join(b) for b in _BARRIERS]
+    return found.groupBy(*KEYS, "pos").agg(*[F.min(F.when(F.col("side") == k, F.col("found"))).alias(f"_{n}") for k, n in enumerate(names)])
+
+
+def first_hit(df: DataFrame, take: float = TAKE_PROFIT, stop: float = STOP_LOSS, hold: int = HOLD, chunk: int = 1 << 16) -> DataFrame:
     """Exit of a trade entered at each bar, for both directions: structs ``long`` and ``short`` of (exit, price, reason, pnl).
 
     ``df`` needs ``pos``.  The first of the next ``hold`` closes at or beyond the profit or loss barrier
     decides, at the barrier's price; else the close after ``hold`` bars.  Bars without so many
-    followers have null.
+    followers have null.  A task holds ``chunk`` bars, whatever ``hold`` is.
     """
-    w = series()
-    path = F.collect_list("close").over(w.rowsBetween(1, hold))
+    met = _crossings(df, take, stop, hold, chunk)
+    ends = df.select(*KEYS, (F.col("pos") - hold).alias("pos"), F.col("close").alias("_end"))
+    out = df.join(ends, [*KEYS, "pos"], "left").join(met, [*KEYS, "pos"], "left")
     close = F.col("close")
-    df = df.withColumn("_path", F.when(F.lead("close", hold).over(w).isNotNull() & (close > 0), path))
+    usable = F.col("_end").isNotNull() & (close > 0)
 
     def side(sign: int) -> Column:
         win, lose = close * (1 + sign * take), close * (1 - sign * stop)
-        beyond = lambda level, up: F.array_position(F.transform("_path", lambda x: (x >= level) if up else (x <= level)), True)
-        never = hold + 1
-        at_win = F.coalesce(F.nullif(beyond(win, sign > 0), F.lit(0)), F.lit(never))
-        at_lose = F.coalesce(F.nullif(beyond(lose, sign < 0), F.lit(0)), F.lit(never))
+        never = F.lit(1 << 62)
+        at_win = F.coalesce("_up_take" if sign > 0 else "_down_take", never)
+        at_lose = F.coalesce("_down_stop" if sign > 0 else "_up_stop", never)
         reason = F.when(at_win < at_lose, "TP").when(at_lose < at_win, "SL").otherwise("TIME")
-        bars = F.least(at_win, at_lose, F.lit(hold))
-        price = F.when(at_win < at_lose, win).when(at_lose < at_win, lose).otherwise(F.element_at("_path", hold))
-        pnl = sign * (price - close) / close
-        return F.when(F.col("_path").isNotNull(), F.struct((F.col("pos") + bars).alias("exit"), price.alias("price"), reason.alias("reason"), pnl.alias("pnl")))
+        price = F.when(at_win < at_lose, win).when(at_lose < at_win, lose).otherwise(F.col("_end"))
+        pnl = sign * (price - close) / F.nullif(close, F.lit(0.0))
+        return F.when(usable, F.struct(F.least(at_win, at_lose, F.col("pos") + hold).alias("exit"), price.alias("price"), reason.alias("reason"), pnl.alias("pnl")))
 
-    return df.withColumns({"long": side(1), "short": side(-1)}).drop("_path")
+    return out.withColumns({"long": side(1), "short": side(-1)}).drop("_end", *[f"_{a}_{b}" for a, b in _BARRIERS])
 
 
 def trade_cycle(df: DataFrame, long: Column, short: Column, take: float = TAKE_PROFIT, stop: float = STOP_LOSS, hold: int = HOLD) -> DataFrame:

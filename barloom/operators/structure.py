@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.catalogue import SWING_BARS
-from barloom.functions.windows import KEYS, series, with_position
+from barloom.functions.windows import KEYS, carried, in_blocks, series, with_position
 from barloom.operators.hop import hop_select
 
 
@@ -16,15 +16,18 @@ def _by_tf(values: dict[str, int], make) -> Column:
     return reduce(lambda a, tf: F.when(F.col("tf") == tf, make(values[tf])).otherwise(a), values, F.lit(None))
 
 
-def swing_candidates(bars: DataFrame, sizes: dict[str, int] = SWING_BARS) -> DataFrame:
-    """Bars with ``pos``, ``n``, ``is_high`` and ``is_low``: no later of the next n - 1 bars is higher (lower), and n bars follow."""
+def swing_candidates(bars: DataFrame, sizes: dict[str, int] = SWING_BARS, block: int = 1 << 16) -> DataFrame:
+    """Bars with ``pos``, ``n``, ``is_high`` and ``is_low``: no later of the next n - 1 bars is higher (lower), and n bars follow.
+
+    Worked on in blocks of ``block`` rows with copies of the rows after them.
+    """
     w = series()
-    df = bars if "pos" in bars.columns else with_position(bars)
-    count = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
-    df = df.withColumns({"n": _by_tf(sizes, F.lit), "_count": count})
+    df = (bars if "pos" in bars.columns else with_position(bars)).withColumn("n", _by_tf(sizes, F.lit))
     ahead = lambda agg, x: _by_tf(sizes, lambda n: agg(x).over(w.rowsBetween(0, n - 1)))
-    room = F.col("pos") <= F.col("_count") - 1 - F.col("n")
-    return df.withColumns({"is_high": room & (F.col("high") == ahead(F.max, "high")), "is_low": room & (F.col("low") == ahead(F.min, "low"))}).drop("_count")
+    room = _by_tf(sizes, lambda n: F.lead("pos", n).over(w).isNotNull())
+    known = _by_tf(sizes, lambda n: F.lead("ts", n - 1).over(w))
+    step = lambda d: d.withColumns({"is_high": room & (F.col("high") == ahead(F.max, "high")), "is_low": room & (F.col("low") == ahead(F.min, "low")), "_known": known})
+    return in_blocks(df, step, after=max(sizes.values()), block=block)
 
 
 def swings(bars: DataFrame, sizes: dict[str, int] = SWING_BARS) -> DataFrame:
@@ -42,21 +45,20 @@ def swings(bars: DataFrame, sizes: dict[str, int] = SWING_BARS) -> DataFrame:
     picked = picked.groupBy(*KEYS, "pos").agg(F.max("_kind").alias("_kind"))  # SL is the larger name
     df = df.join(picked, [*KEYS, "pos"], "left")
     price = F.when(F.col("_kind") == "SH", F.col("high")).when(F.col("_kind") == "SL", F.col("low"))
-    known = _by_tf(sizes, lambda n: F.lead("ts", n - 1).over(series()))
-    return df.withColumns({"swing_type": F.coalesce("_kind", F.lit("NONE")), "swing_price": price, "confirmed_ts": F.when(F.col("_kind").isNotNull(), known)}).drop("_kind", "is_high", "is_low", "n")
+    known = F.when(F.col("_kind").isNotNull(), F.col("_known"))
+    return df.withColumns({"swing_type": F.coalesce("_kind", F.lit("NONE")), "swing_price": price, "confirmed_ts": known}).drop("_kind", "_known", "is_high", "is_low", "n")
 
 
 def structure(bars: DataFrame, sizes: dict[str, int] = SWING_BARS) -> DataFrame:
-    """:func:`swings` with ``estructura``, ``bos_event`` and ``choch_event``; windows only."""
-    w = series()
+    """:func:`swings` with ``estructura``, ``bos_event`` and ``choch_event``.
+
+    The last two swings of each kind are carried over chunks of time.
+    """
     df = bars if "swing_type" in bars.columns else swings(bars, sizes)
-    for kind in ("SH", "SL"):
-        own = F.when(F.col("swing_type") == kind, F.col("swing_price"))
-        df = df.withColumn(f"_{kind}", own)
-        earlier = F.last(F.col(f"_{kind}"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        pair = F.when(F.col(f"_{kind}").isNotNull(), F.struct(F.col(f"_{kind}").alias("last"), earlier.alias("prev")))
-        df = df.withColumn(f"_p{kind}", pair)
-        df = df.withColumn(f"_p{kind}", F.last(f"_p{kind}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumns({f"_{kind}": F.when(F.col("swing_type") == kind, F.col("swing_price")) for kind in ("SH", "SL")})
+    df = carried(df, {f"_b{kind}": F.col(f"_{kind}") for kind in ("SH", "SL")}, strict=True)
+    pair = lambda kind: F.when(F.col(f"_{kind}").isNotNull(), F.struct(F.col(f"_{kind}").alias("last"), F.col(f"_b{kind}").alias("prev")))
+    df = carried(df, {f"_p{kind}": pair(kind) for kind in ("SH", "SL")})
     sh, psh, sl, psl = F.col("_pSH.last"), F.col("_pSH.prev"), F.col("_pSL.last"), F.col("_pSL.prev")
     kind = F.when((sh > psh) & (sl > psl), "ALCISTA").when((sh < psh) & (sl < psl), "BAJISTA").otherwise("RANGO")
     df = df.withColumn("estructura", kind)
@@ -66,7 +68,7 @@ def structure(bars: DataFrame, sizes: dict[str, int] = SWING_BARS) -> DataFrame:
             "bos_event": F.when(up & (close > psh), "BOS_BULL").when(down & (close < psl), "BOS_BEAR").otherwise("NONE"),
             "choch_event": F.when(up & (close < sl), "CHOCH_BAJISTA").when(down & (close > sh), "CHOCH_ALCISTA").otherwise("NONE"),
         }
-    ).drop("_SH", "_SL", "_pSH", "_pSL")
+    ).drop("_SH", "_SL", "_bSH", "_bSL", "_pSH", "_pSL")
 
 
 def structure_summary(df: DataFrame) -> DataFrame:

@@ -161,8 +161,8 @@ LEGS = f"""g0 AS (SELECT *, CASE WHEN close > open THEN 'LONG' ELSE 'SHORT' END
     legs AS MATERIALIZED (SELECT *, symbol || '_' || tf || '_' || g::VARCHAR AS mov_id, (CASE WHEN direccion = 'LONG' THEN precio_extremo - precio_inicio ELSE precio_inicio - precio_extremo END) / precio_inicio * 100 AS magnitud_pct,
            duracion_barras * CASE tf WHEN '1D' THEN 1440 WHEN '4H' THEN 240 ELSE 60 END AS duracion_min FROM g3)"""
 _PTF = "CASE tf " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PARENT.items()) + " END"
-LINKED = f"""{LEGS}, lp AS (SELECT *, {_PTF} AS ptf FROM legs),
-    linked AS MATERIALIZED (SELECT lp.*, CASE WHEN p.timestamp_fin >= lp.timestamp_inicio THEN p.mov_id END AS tf_parent_id FROM lp ASOF LEFT JOIN legs p ON lp.symbol = p.symbol AND lp.ptf = p.tf AND lp.timestamp_inicio >= p.timestamp_inicio)"""
+LINK = """linked AS MATERIALIZED (SELECT lp.*, CASE WHEN p.timestamp_fin >= lp.timestamp_inicio THEN p.mov_id END AS tf_parent_id FROM lp ASOF LEFT JOIN legs p ON lp.symbol = p.symbol AND lp.ptf = p.tf AND lp.timestamp_inicio >= p.timestamp_inicio)"""
+LINKED = f"{LEGS}, lp AS (SELECT *, {_PTF} AS ptf FROM legs), {LINK}"
 LINKED_BARS = f"WITH RECURSIVE {bars('e', '1H', '4H', '1D')}, {LINKED}"
 ORACLE["asof_parent"] = f"{LINKED_BARS} SELECT mov_id, tf, tf_parent_id FROM linked"
 ORACLE["asof_snapshot"] = f"""WITH {bars('e', '4H', '1D')}, {LEGS}, {bars('e', '15M', name='q')}
@@ -421,8 +421,11 @@ def _runs(*conditions: tuple[str, str], source: str) -> str:
     return ", ".join(out)
 
 
-def _census() -> str:
-    """Every indicator of daily bars, from one recursion for the exponential means."""
+def indicator_rows(source: str, *tfs: str) -> tuple[str, dict[str, str], dict[str, str], list[str]]:
+    """Table expressions from bars to ``r_last``, with every indicator of every bar from one recursion for the exponential means.
+
+    Also the conditions of the flags, the expressions of the other columns, and the names of the run lengths.
+    """
     conf = " AND abs({m} - l{r}) / l{r} * 100 < 0.3"
     zone = "abs((close - l{r}) / l{r} * 100) < 0.3"
     sums, means = {}, {"macd_line": "line", "macd_signal_line": "sig", "macd_hist": "hist", "macd_hist_delta": "delta", "macd_line_dist": "hist", "stoch_K": "k", "stoch_D": "d", "stoch_K_delta": "k - k1", "stoch_KD_dist": "k - d"}
@@ -444,15 +447,20 @@ def _census() -> str:
         sums |= {f"fib{r}_in_zone": zone.format(r=r), f"fib{r}_reject_bull": f"low <= l{r} * 1.003 AND close > l{r}", f"fib{r}_reject_bear": f"high >= l{r} * 0.997 AND close < l{r}", f"fib{r}_above": f"close > l{r}"}
         sums |= {f"fib{r}_conf_{m}": zone.format(r=r) + conf.format(m=m, r=r) for m in MA_NAMES}
     runs = [("macd_hist_bars_rising", "delta > 0"), ("macd_hist_bars_falling", "delta < 0"), ("stoch_bars_extreme", "k > 80 OR k < 20"), *[(f"{s}_{m}", f"a_{m} = {v}") for m in MA_NAMES for s, v in (("over", 1), ("under", 0))]]
-    total = [f'sum({flag(c)})::BIGINT AS "{n}"' for n, c in sums.items()] + [f'round(avg({x}), 2) AS "{n}"' for n, x in means.items()]
-    total += [f"sum({n})::BIGINT AS {n}" for n, _ in runs[:3]] + [f"sum(over_{m} + under_{m})::BIGINT AS bars_side_{m}" for m in MA_NAMES]
-    return f"""{MAS}, {_levels('a', '1D')},
+    ctes = f"""WITH RECURSIVE {bars(source, *tfs)}, {NUMBERED}, {EWM}, a AS MATERIALIZED (SELECT n.*, e8 AS ema8, e21 AS ema21, {roll('avg', 'close', 50)} AS sma50, {roll('avg', 'close', 200)} AS sma200 FROM n JOIN e USING (symbol, tf, pos)), {_levels('a', *tfs)},
     i0 AS (SELECT l.*, e12 - e26 AS line, sig, (e12 - e26) - sig AS hist, {roll('min', 'low', 14)} AS lo14, {roll('max', 'high', 14)} AS hi14 FROM l JOIN e USING (symbol, tf, pos)),
     i1 AS (SELECT *, hist - lag(hist) OVER ({W}) AS delta, {flag('line > sig')} AS over_sig, 100 * (close - lo14) / nullif(hi14 - lo14, 0) AS raw, {', '.join(f'(close - {m}) / {m} * 100 AS dist_{m}, {flag(f"close > {m}")} AS a_{m}' for m in MA_NAMES)} FROM i0),
     i2 AS (SELECT *, lag(delta) OVER ({W}) AS delta1, coalesce(lag(over_sig) OVER ({W}), 0) AS over_sig1, {roll('avg', 'raw', 3)} AS k, {', '.join(f"{roll('stddev_samp', f'dist_{m}', 200, 50)} AS s_{m}, coalesce(lag(a_{m}) OVER ({W}), 0) AS a1_{m}" for m in MA_NAMES)} FROM i1),
     i3 AS (SELECT *, {roll('avg', 'k', 3)} AS d, lag(k) OVER ({W}) AS k1, lag(k, 2) OVER ({W}) AS k2 FROM i2),
-    i4 AS (SELECT *, {flag('k > d')} AS kd FROM i3), i5 AS (SELECT *, coalesce(lag(kd) OVER ({W}), 0) AS kd1 FROM i4), {_runs(*runs, source='i5')}
-    SELECT symbol, {', '.join(total)} FROM r_last GROUP BY 1"""
+    i4 AS (SELECT *, {flag('k > d')} AS kd FROM i3), i5 AS (SELECT *, coalesce(lag(kd) OVER ({W}), 0) AS kd1 FROM i4), {_runs(*runs, source='i5')}"""
+    return ctes, sums, means, [n for n, _ in runs[:3]]
+
+
+def _census() -> str:
+    ctes, sums, means, runs = indicator_rows("o", "1D")
+    total = [f'sum({flag(c)})::BIGINT AS "{n}"' for n, c in sums.items()] + [f'round(avg({x}), 2) AS "{n}"' for n, x in means.items()]
+    total += [f"sum({n})::BIGINT AS {n}" for n in runs] + [f"sum(over_{m} + under_{m})::BIGINT AS bars_side_{m}" for m in MA_NAMES]
+    return f"{ctes} SELECT symbol, {', '.join(total)} FROM r_last GROUP BY 1"
 
 
 ORACLE["indicator_census"] = _census()

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from barloom.catalogue import EXHAUSTION, ORDER, SWING_BARS
-from barloom.functions.indicators import fib_levels, flag_columns, ma_family, macd, stochastic
+from barloom.functions.indicators import all_indicators, flag_columns
 from barloom.operators import analysis, mining, movements, outcomes, resample, structure
 from barloom.operators.asof import state_matrix
-from barloom.sources.bars import latest, upsert
+from barloom.sources.bars import latest
 from barloom.sources.report import html_page, html_table
 from barloom.stored import checkpoint
+from barloom.streaming.live import CATEGORIES, KEEP, live_states
+from barloom.streaming.live import names as live_names
 
 
 @dataclass
@@ -30,13 +32,10 @@ class Result:
     matches: DataFrame
 
 
-#: Categories of the structure that patterns are mined from, beside the indicators' flags.
-CATEGORIES = ("estructura", "bos_event", "choch_event")
-
 
 def states_of(bars: DataFrame, formed: DataFrame) -> tuple[DataFrame, list[str]]:
     """Indicator flags and structure of every bar of every timeframe, and the flags' names."""
-    df = checkpoint(fib_levels(checkpoint(ma_family(checkpoint(stochastic(macd(bars)))))))
+    df = checkpoint(all_indicators(bars))
     flags = flag_columns(df)
     return df.select("symbol", "tf", "ts", *flags).join(formed.select("symbol", "tf", "ts", *CATEGORIES), ["symbol", "tf", "ts"], "left"), flags
 
@@ -68,27 +67,19 @@ def analyse(base: DataFrame, tfs: list[str] = ORDER, state_tf: str | None = None
     return Result(bars, formed, moves, facts, patterns, robust, mining.match(patterns, now, names, kinds))
 
 
-def live(bars: DataFrame, patterns: DataFrame, history: DataFrame, out: str, checkpoint_dir: str, tfs: list[str] = ORDER, swings: dict[str, int] = SWING_BARS) -> StreamingQuery:
+def live(bars: DataFrame, patterns: DataFrame, history: DataFrame, out: str, checkpoint_dir: str, tfs: list[str] = ORDER, swings: dict[str, int] = SWING_BARS, keep: int = KEEP) -> StreamingQuery:
     """Matches of a stream of bars (of all timeframes) against ``patterns``, written to ``out``/matches/batch=k for each micro-batch.
 
-    The state is that over ``history`` and all bars so far: each batch is added to the table that the
-    one before left.  Tables are kept in two places by turns, so a batch that is run again after a
-    failure finds what it began with and writes the same again.
+    The state is kept by symbol (:func:`barloom.streaming.live.live_states`): ``history`` is read before the first batch
+    and never again, and a batch gives the matches of the symbols that it has bars of.  A batch that is run again after
+    a failure writes the same again.
     """
-    keys = ("symbol", "tf", "ts")
+    names, kinds = ([f"{tf}_{c}" for tf in tfs for c in x] for x in (live_names(), CATEGORIES))
 
     def work(batch: DataFrame, number: int) -> None:
-        spark, place = batch.sparkSession, f"{out}/bars{number % 2}"
-        before = spark.read.schema(history.schema).parquet(f"{out}/bars{(number - 1) % 2}") if number else history
-        upsert(before, batch.select(*history.columns), keys).write.mode("overwrite").parquet(place)
-        whole = spark.read.schema(history.schema).parquet(place)
-        states, flags = states_of(whole, structure.structure(whole, {tf: swings[tf] for tf in tfs}))
-        columns = [*flags, *CATEGORIES]
-        names, kinds = ([f"{tf}_{c}" for tf in tfs for c in x] for x in (flags, CATEGORIES))
-        now = matrix(latest(states).select("symbol", "ts"), states, tfs, columns)
-        mining.match(patterns, now, names, kinds).write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
-
-    return bars.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint_dir).start()
+        mining.match(patterns, batch, names, kinds).write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
+
+    return live_states(bars, history, tfs, swings, keep).writeStream.foreachBatch(work).outputMode("update").option("checkpointLocation", checkpoint_dir).start()
 
 
 def report(found: Result, rows: int = 500) -> str:

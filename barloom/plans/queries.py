@@ -196,7 +196,7 @@ def fib_confluence(spark, sf_dir):
 @query
 def indicator_census(spark, sf_dir):
     """All 142 indicator columns: the sum of each flag and run length, the mean of each other one, for each series."""
-    df = ind.fib_levels(checkpoint(ind.ma_family(checkpoint(ind.stochastic(ind.macd(orders(spark, sf_dir)))))))
+    df = ind.all_indicators(orders(spark, sf_dir), block=1 << 10)
     whole = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in ("symbol", "tf", "ts", "open", "high", "low", "close", "volume", "pos", *ind.MA_SPANS)}
     return df.groupBy("symbol").agg(*[F.sum(c).alias(c) if kind in ("int", "bigint") else F.round(F.avg(c), 2).alias(c) for c, kind in whole.items()])
 

@@ -5,25 +5,31 @@ Sinks write to a new place in the folder that driver and executors share, and wh
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from barloom.catalogue import MIN_COUNT, MIN_COUNT_GLOBAL, MINUTES, PARENT
 from barloom.functions import indicators as ind
+from barloom.functions.tables import register_tables
 from barloom.functions.windows import in_blocks, rolling, with_position
 from barloom.operators import asof, mining, movements, resample, structure
 from barloom.plans import pipeline, service
-from barloom.plans.oracle import HELD, MACD, STRUCT, bars, machine, roll, run
+from barloom.plans.oracle import ALIGNED, HELD, LINK, MACD, REBOUND, STRUCT, bars, by_tf, excursion, flag, indicator_rows, machine, roll, run
 from barloom.plans.oracle import ORACLE as _KNOWN
+from barloom.plans.oracle import structure as structure_sql
 from barloom.plans.queries import FLAGS, SWINGS, THRESHOLDS, events, flagged, orders, stated_legs
 from barloom.sources import bars as sources
-from barloom.sources.paged import BarPages
+from barloom.sources.paged import BarPages, ranges_option
 from barloom.sources.report import html_page, html_table, match_text
 from barloom.stored import checkpoint, shared_dir
 from barloom.streaming import bars as streaming
+from barloom.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,14 +84,46 @@ def json_pages(spark, sf_dir):
 
 
 @query(
-    f"""SELECT s.symbol, make_timestamp(({service.START_MS} + 60000 * i) * 1000) AS ts, (length(symbol) + i)::DOUBLE AS open, (length(symbol) + i + 2)::DOUBLE AS high,
-        (length(symbol) + i - 1)::DOUBLE AS low, length(symbol) + i + 0.5::DOUBLE AS close, (10 * i)::DOUBLE AS volume FROM (VALUES ('A'), ('BB'), ('CCC')) s(symbol), range({service.PAGES * service.BARS}) r(i)"""
+    """WITH e AS (SELECT event_type AS symbol, date_trunc('milliseconds', ts) AS ts, value FROM events), x AS (SELECT date_trunc('day', min(ts)) AS lo, date_trunc('day', max(ts)) AS hi FROM e),
+        held AS (SELECT min(ts) AS a, max(ts) AS z FROM e, x WHERE ts >= lo + INTERVAL 5 DAY AND ts < hi - INTERVAL 5 DAY)
+    SELECT symbol, ts, value AS open, value AS high, value AS low, value AS close, 1.0::DOUBLE AS volume FROM e, held WHERE ts < a OR ts >= z"""
 )
 def paged_source(spark, sf_dir):
-    """The paged source against a service made up by rule."""
+    """What the gap planner finds missing of the events, fetched page by page from a service over that table, a partition for each symbol and range of time."""
     spark.dataSource.register(BarPages)
-    df = spark.read.format("bar_pages").options(fetch="barloom.plans.service:fetch", symbols="A,BB,CCC", url="{symbol}", pause="0").load()
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    table = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.date_trunc("millisecond", "ts").cast("timestamp_ntz").alias("ts"))
+    lo, hi = table.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz"), F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")).first()
+    held = table.where((F.col("ts") >= lo + timedelta(days=5)) & (F.col("ts") < hi - timedelta(days=5)))
+    missing = sources.missing_ranges(held, lo, hi + timedelta(days=1))
+    symbols = ",".join(sorted(r[0] for r in table.select("symbol").distinct().collect()))  # what to ask the service for
+    options = {"fetch": "barloom.plans.service:events_page", "symbols": symbols, "url": f"{sf_dir}/events.parquet?{{symbol}}&{{start}}&{{stop}}&0", "ranges": ranges_option(missing), "width": str(5 * 86_400_000), "pause": "0"}
+    return spark.read.format("bar_pages").options(**options).load().withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_KNOWN["hop_intervals"])
+def sql_hop_intervals(spark, sf_dir):
+    """The greedy choice of intervals as a table function of SQL."""
+    register_tables(spark)
+    df = with_position(events(spark, sf_dir, "15M")).withColumn("stop", F.col("pos") + 1 + F.floor(F.col("close") / 20).cast("long"))
+    df.select("symbol", "pos", "stop").createOrReplaceTempView(view := f"intervals_{uuid.uuid4().hex}")
+    return spark.sql(f"SELECT symbol, pos, stop FROM hop_select(TABLE({view}), 'symbol', 'pos', 'stop', 1)")
+
+
+@query(_KNOWN["movement_machine"])
+def sql_movements(spark, sf_dir):
+    """The movement machine as a table function of SQL."""
+    register_tables(spark)
+    formed = structure.structure(events(spark, sf_dir, "1H", "4H", "1D"), SWINGS)
+    formed.createOrReplaceTempView(view := f"formed_{uuid.uuid4().hex}")
+    parts = [f"SELECT * FROM movements(TABLE(SELECT * FROM {view} WHERE tf = '{tf}'), {limit})" for tf, limit in THRESHOLDS.items()]
+    return spark.sql(" UNION ALL ".join(parts)).withColumn("magnitud_pct", F.round("magnitud_pct", 2))
+
+
+@query(f"WITH {bars('e', '1H', '4H')} SELECT symbol, tf, ts, round({roll('avg', 'close', 50)}, 4) AS mean50, {roll('max', 'high', 14)} AS high14 FROM b")
+def stored_series(spark, sf_dir):
+    """Frames over bars that are stored in buckets by series: the windows need no exchange."""
+    stored_bars = sources.store_series(events(spark, sf_dir, "1H", "4H"), f"bars_{uuid.uuid4().hex}", place(spark), 8)
+    return stored_bars.select("symbol", "tf", "ts", F.round(rolling(F.avg, F.col("close"), 50), 4).alias("mean50"), rolling(F.max, F.col("high"), 14).alias("high14"))
 
 
 @query(
@@ -223,9 +261,9 @@ def stream_upsert(spark, sf_dir):
         part = rows.where((F.col("o_orderstatus") == "F") == status).select("symbol", "ts", "price", "seq")
         part.coalesce(1).write.mode("append").parquet(f"{path}/in")
         source = spark.readStream.schema(schema).parquet(f"{path}/in")
-        streaming.upsert_stream(source, f"{path}/table", f"{path}/state", schema, "month").processAllAvailable()
-        for running in spark.streams.active:
-            running.stop()
+        started = streaming.upsert_stream(source, f"{path}/table", f"{path}/state", schema, "month")
+        started.processAllAvailable()
+        started.stop()
     return streaming.stored_bars(spark, f"{path}/table", schema).drop("part")
 
 
@@ -275,3 +313,106 @@ def entry_exit_stats(spark, sf_dir):
     found = exhausted(spark, sf_dir)
     both = found.entry.withColumn("side", F.lit("entry")).unionByName(found.exit.withColumn("side", F.lit("exit")))
     return both.withColumns({c: F.round(c, 1) for c in ("pct_move_med", "pct_move_mean", "mfe_med")})
+
+
+def in_batches(df: DataFrame, parts: int, path: str) -> DataFrame:
+    """A stream of ``df``, one micro-batch for each value of its column ``part``."""
+    stored_rows = checkpoint(df)
+    for k in range(parts):
+        stored_rows.where(F.col("part") == k).drop("part").coalesce(1).write.parquet(f"{path}/in/k={k}")
+        time.sleep(1.1)  # files are taken by their times, which may count in seconds
+    return df.sparkSession.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+
+
+def dealt(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` with ``part``: as many stretches of each series, of which one bar in seven of the last 40 comes a stretch too late."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol", "tf"))
+    size = F.ceil(n / parts)
+    place = (F.row_number().over(Window.partitionBy("symbol", "tf").orderBy("ts")) - 1).cast("long")
+    late = (place % 7 == 3) & (place % size >= size - 40)
+    return df.withColumn("part", F.least(F.floor(place / size) + late.cast("int"), F.lit(parts - 1)))
+
+
+def _live(source: str, tfs: list[str], sizes: dict[str, int]) -> str:
+    ctes, flags, _, _ = indicator_rows(source, *tfs)
+    last = "x AS MATERIALIZED (SELECT r_last.*, st.estructura, st.bos_event, st.choch_event FROM r_last JOIN st USING (symbol, tf, pos) QUALIFY row_number() OVER (PARTITION BY symbol, tf ORDER BY pos DESC) = 1)"
+    columns = [f'max(CASE WHEN tf = \'{tf}\' THEN {flag(c)} END) AS "{tf}_{n}"' for tf in tfs for n, c in flags.items()]
+    columns += [f'max(CASE WHEN tf = \'{tf}\' THEN {c} END) AS "{tf}_{c}"' for tf in tfs for c in live.CATEGORIES]
+    return f"{ctes}, {structure_sql(sizes)}, {last} SELECT symbol, max(ts) AS ts, 0::BIGINT AS late, {', '.join(columns)} FROM x GROUP BY 1"
+
+
+@query(_live("o", ["1W", "1D"], {"1W": 3, "1D": 4}))
+def live_state(spark, sf_dir):
+    """Flags and structure of each symbol's last bar, kept bar by bar: half of the bars as history, the rest in three micro-batches, some late."""
+    path, tfs = place(spark), ["1W", "1D"]
+    bars_ = resample.all_timeframes(sources.from_orders(spark, sf_dir), tfs).withColumn("ts", F.col("ts").cast("timestamp"))
+    cut = checkpoint(dealt(bars_, 6))
+    stream = in_batches(cut.where("part >= 3").withColumn("part", F.col("part") - 3), 3, path)
+    states = live.live_states(stream, cut.where("part < 3").drop("part"), tfs, {"1W": 3, "1D": 4})
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+    states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*states.schema.fields, StructField("batch", IntegerType())])).parquet(f"{path}/out")
+    last = Window.partitionBy("symbol").orderBy(F.desc("batch"))
+    return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "batch").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    f"""{STRUCT}, {machine(THRESHOLDS)}, ends AS (SELECT symbol, tf, max(ts) AS ts FROM b GROUP BY 1, 2) SELECT symbol, tf, mov_id, direccion, timestamp_inicio, timestamp_fin, duracion_barras, cierre_tipo
+    FROM mov JOIN ends USING (symbol, tf) WHERE cierre_tipo <> 'FIN_DATOS' AND timestamp_fin < ts"""
+)
+def stream_machine(spark, sf_dir):
+    """The movement machine with state over three micro-batches: all movements but those that the last bar, whose successor isn't there yet, would end."""
+    path = place(spark)
+    formed = structure.structure(events(spark, sf_dir, "1H", "4H", "1D"), SWINGS).withColumn("ts", F.col("ts").cast("timestamp"))
+    slim = formed.select("symbol", "tf", "ts", "open", "high", "low", "close", "bos_event", "choch_event")
+    n, number = F.count(F.lit(1)).over(Window.partitionBy("symbol", "tf")), F.row_number().over(Window.partitionBy("symbol", "tf").orderBy("ts")) - 1
+    stream = in_batches(slim.withColumn("part", F.floor(number * 3 / n)), 3, path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    found = finished(streaming.stream_movements(stream, THRESHOLDS), spark, "append")
+    return found.select("symbol", "tf", "mov_id", "direccion", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("timestamp_inicio", "timestamp_fin")], "duracion_barras", "cierre_tipo")
+
+
+ANALYSED = ["1D", "4H", "1H"]
+
+
+def _analysed() -> str:
+    """The whole chain in SQL, to ``good``: movements of the machine, outcomes, every flag and category of all timeframes at their starts, mining."""
+    ctes, flags, _, _ = indicator_rows("e", *ANALYSED)
+    legs = f"legs AS MATERIALIZED (SELECT * REPLACE (symbol || '_' || mov_id AS mov_id, round_even(magnitud_pct, 4) AS magnitud_pct), duracion_barras * {by_tf(MINUTES, str)} AS duracion_min FROM mov)"
+    linked = f"lp AS (SELECT *, {by_tf({a: repr(b) for a, b in PARENT.items()}, str)} AS ptf FROM legs), {LINK}"
+    columns = lambda tf: [f'{flag(c)} AS "{n}"' for n, c in flags.items()]
+    states = ", ".join(f"s_{tf} AS MATERIALIZED (SELECT r_last.symbol, r_last.ts, {', '.join(columns(tf))}, st.estructura, st.bos_event, st.choch_event FROM r_last JOIN st USING (symbol, tf, pos) WHERE tf = '{tf}')" for tf in ANALYSED)
+    said = lambda tf: [f"CASE WHEN s_{tf}.\"{n}\" = 1 THEN {{variable: '{tf}_{n}', value: '1'}} END" for n in flags] + [f"CASE WHEN s_{tf}.{c} NOT IN ('NONE', 'ULTIMO') THEN {{variable: '{tf}_{c}', value: s_{tf}.{c}}} END" for c in live.CATEGORIES]
+    joins = " ".join(f"ASOF LEFT JOIN s_{tf} ON o1.symbol = s_{tf}.symbol AND o1.timestamp_inicio >= s_{tf}.ts" for tf in ANALYSED)
+    stated = f"stated AS (SELECT o1.*, unnest([{', '.join(x for tf in ANALYSED for x in said(tf))}]) AS v FROM o1 {joins} WHERE continuacion <> 'ULTIMO')"
+    least = by_tf({tf: MIN_COUNT[tf] for tf in ANALYSED}, str).replace(" END", f" ELSE {MIN_COUNT_GLOBAL} END")
+    return f"""{ctes}, {structure_sql(SWINGS)}, {machine(THRESHOLDS)}, {legs}, {linked}, {excursion("(SELECT * FROM b WHERE tf = '1H')")}, {REBOUND}, {ALIGNED},
+    o1 AS MATERIALIZED (SELECT linked.*, mfe_pct, CASE WHEN n2 IS NULL THEN 'ULTIMO' WHEN n2 = direccion THEN 'CONTINUACION' ELSE 'REVERSION' END AS continuacion
+        FROM (SELECT *, lead(direccion) OVER (PARTITION BY symbol, tf ORDER BY timestamp_inicio, mov_id) AS n2 FROM linked) linked JOIN exc USING (mov_id)),
+    {states}, {stated}, judged AS (SELECT * FROM o1 WHERE continuacion <> 'ULTIMO'), cut AS (SELECT quantile_cont(epoch_us(timestamp_inicio)::DOUBLE, 0.75) AS c FROM judged),
+    timed AS MATERIALIZED (SELECT v.variable AS variable, v.value AS value, tf, direccion, (continuacion = 'CONTINUACION')::INT::DOUBLE AS win, epoch_us(timestamp_inicio) <= c AS early FROM stated, cut WHERE v IS NOT NULL),
+    sets AS (SELECT variable, value, tf, direccion, count(*) AS n, avg(win) AS winrate, count(*) FILTER (early) AS n_train, avg(win) FILTER (early) AS wr_train, avg(win) FILTER (NOT early) AS wr_valid FROM timed GROUP BY GROUPING SETS ((variable, value, direccion), (variable, value, tf, direccion))),
+    mined AS (SELECT *, {least} AS least FROM sets WHERE n >= {least}), held AS (SELECT *, n - n_train < greatest(3, floor(least / 5)) AS pending FROM mined WHERE n_train >= least),
+    good AS MATERIALIZED (SELECT variable, value, tf, direccion, n, winrate, wr_train, CASE WHEN NOT pending THEN wr_valid END AS wr_valid, CASE WHEN pending THEN 'PENDIENTE_VALIDACION' ELSE 'VALIDADO' END AS estado FROM held WHERE pending OR (wr_valid >= 0.55 AND wr_train - wr_valid <= 0.10))"""
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> pipeline.Result:
+    return pipeline.analyse(sources.from_events(spark, sf_dir), ANALYSED, swings=SWINGS, exhaustion=THRESHOLDS)
+
+
+@query(f"{_analysed()} SELECT variable, value, tf, direccion, n, round(winrate, 4) AS winrate, round(wr_train, 4) AS wr_train, round(wr_valid, 4) AS wr_valid, estado FROM good")
+def analysed_patterns(spark, sf_dir):
+    """The patterns of the whole chain: from ticks to what the state matrix of all timeframes says of the movements' starts."""
+    found = analysed(spark, sf_dir).patterns
+    return found.select(*mining.PATTERN, "n", *[F.round(c, 4).alias(c) for c in ("winrate", "wr_train", "wr_valid")], "estado")
+
+
+@query(
+    f"""{_analysed()}, d AS (SELECT count(DISTINCT (tf, direccion)) AS c FROM legs), g AS (SELECT count(*) AS c FROM good)
+    SELECT unnest(['Movements', 'Outcomes', 'Patterns']) AS title, unnest([(SELECT c FROM d), (SELECT c FROM d), least((SELECT c FROM g), 500)]) AS n_rows"""
+)
+def analysis_report(spark, sf_dir):
+    """The report of the whole chain: sections of its page and their rows."""
+    page = pipeline.report(analysed(spark, sf_dir))
+    rows = [(t, page.split(f"<h2>{t}</h2>")[1].split("</table>")[0].count("<tr>") - 1) for t in ("Movements", "Outcomes", "Patterns")]
+    return spark.createDataFrame(rows, "title string, n_rows long")

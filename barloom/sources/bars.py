@@ -107,6 +107,16 @@ def write_table(df: DataFrame, path: str, partition: str | None = "symbol", kind
     writer.format(kind).save(path)
 
 
+def store_series(bars: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """``bars`` as the table ``name`` under ``path``, in buckets by (symbol, tf), sorted by time, a file each; read back.
+
+    Windows over a series and joins on (symbol, tf) need no exchange of such a table, however often it is read.
+    """
+    dealt = bars.repartition(buckets, "symbol", "tf")
+    dealt.write.mode("overwrite").bucketBy(buckets, "symbol", "tf").sortBy("symbol", "tf", "ts").option("path", path).saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
 def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
     """A stored result table as parquet, CSV or JSON."""
     reader = spark.read.schema(schema)

@@ -4,16 +4,19 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.catalogue import MIN_MOVE_BARS
 from barloom.functions import indicators as ind
-from barloom.functions.windows import ewm, flag, in_blocks, rolling, with_position, with_run
+from barloom.functions import tables
+from barloom.functions.windows import carried, ewm, flag, in_blocks, rolling, with_position, with_run, with_runs
 from barloom.operators import analysis, asof, hop, knn, mining, movements, outcomes, resample, signals, structure
 from barloom.sources import bars as sources
-from barloom.sources import report
+from barloom.sources import paged, report
+from barloom.stored import checkpoint
 
 T0 = datetime(2024, 1, 1)
 BAR = "symbol string, tf string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -55,6 +58,51 @@ def test_run_length(spark):
     assert [r.run for r in df.orderBy("ts").collect()] == [1, 2, 0, 0, 1, 0]
 
 
+@pytest.mark.parametrize("chunk", [3600 * 7, 86_400 * 64])
+def test_scans_across_chunks(spark, chunk):
+    r = random.Random(5)
+    held = [r.choice([True, True, True, False, None]) for _ in range(90)]
+    rows = [("a", "1H", T0 + timedelta(hours=i + (40 if i > 50 else 0)), v, None if r.random() < 0.6 else i) for i, v in enumerate(held)]
+    df = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp_ntz, b boolean, x int")
+    out = carried(carried(with_runs(df, {"run": F.col("b"), "not": ~F.col("b")}, chunk_seconds=chunk), {"upto": F.col("x")}, chunk_seconds=chunk), {"before": F.col("x")}, strict=True, chunk_seconds=chunk).orderBy("ts").collect()
+    run = rest = 0
+    last = None
+    for (*_, v, x), row in zip(rows, out):
+        run, rest = run + 1 if v else 0, rest + 1 if v is False else 0
+        assert (row["run"], row["not"], row.before) == (run, rest, last)
+        last = x if x is not None else last
+        assert row.upto == last
+
+
+def test_scans_leave_no_series_in_one_task(spark):
+    plan = with_runs(with_position(make(spark, walk(30))), {"run": F.col("close") > F.col("open")})._jdf.queryExecution().executedPlan().toString()
+    # rows are dealt by chunk; what is dealt by series alone has a row for each chunk
+    assert "_chunk" in plan and plan.count("hashpartitioning(symbol#") > 0
+    for line in plan.splitlines():
+        if "hashpartitioning(symbol" in line and "_chunk" not in line.split("hashpartitioning")[1].split(")")[0]:
+            assert "close" not in line
+
+
+def test_zero_prices(spark):
+    closes = [0.0, 0.0, 5.0, 0.0, 4.0, 3.0] + [0.0] * 30 + walk(60)
+    df = with_position(make(spark, closes, spread=0.0)).cache()
+    assert ind.fib_levels(df).count() == ind.ma_family(df).count() == len(closes)
+    assert ind.all_indicators(df).where("dist_ema8_pct is null").count() > 0
+    rows = signals.forward(df, (5,)).orderBy("ts").collect()
+    assert [r.ret_5 is None for r in rows[:7]] == [True, True, False, True, False, False, True]
+    assert signals.first_hit(df, hold=5).where("close = 0 and long is not null").count() == 0
+    assert ind.ma_family(make(spark, [0.0] * 60, spread=0.0)).where("near_sma50 = 1").count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 1 << 14])
+def test_indicators_in_blocks_equal_whole_series(spark, block):
+    df = make(spark, walk(900, 8)).cache()
+    whole = ind.fib_levels(checkpoint(ind.ma_family(checkpoint(ind.stochastic(checkpoint(ind.macd(df)))))))
+    a = whole.select(*sorted(whole.columns)).orderBy("ts").toPandas()
+    b = ind.all_indicators(df, block).select(*sorted(whole.columns)).orderBy("ts").toPandas()
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-9)
+
+
 def test_rolling_warms_up(spark):
     df = make(spark, [1, 2, 3, 4]).withColumn("m", rolling(F.avg, F.col("close"), 3))
     assert [r.m for r in df.orderBy("ts").collect()] == [None, None, 2.0, 3.0]
@@ -124,6 +172,68 @@ def test_paged_source(spark):
     assert df.count() == 2
 
 
+def ranged_fetch(url):
+    """Bars of whole minutes from start to stop, both counted, two on a page; what was asked for is written down."""
+    name, start, stop, at, log = url.split("|")
+    if at == start and log:
+        with open(log, "a") as out:
+            out.write(f"{name} {start} {stop}\n")
+    times = [t for t in range(int(at), int(at) + 120_000, 60_000) if t <= int(stop)]
+    following = f"{name}|{start}|{stop}|{times[-1] + 60_000}|{log}" if times and times[-1] + 60_000 <= int(stop) else None
+    return json.dumps({"results": [{"t": t, "o": 1, "h": 2, "l": 0, "c": 1, "v": 1} for t in times], "next_url": following})
+
+
+def test_paged_source_cuts_ranges_of_time(spark):
+    spark.dataSource.register(paged.BarPages)
+    options = {"fetch": "tests.test_bars:ranged_fetch", "symbols": "X, Y", "url": "{symbol}|{start}|{stop}|{start}|", "pause": "0", "width": str(5 * 60_000)}
+    planned = [(T0, T0 + timedelta(minutes=12)), (T0 + timedelta(minutes=20), T0 + timedelta(minutes=23))]
+    df = spark.read.format("bar_pages").options(**options, ranges=paged.ranges_option(planned)).load()
+    assert df.rdd.getNumPartitions() == 8
+    minutes = [*range(12), 20, 21, 22]
+    assert sorted((r.symbol, (r.ts.replace(tzinfo=None) - T0).seconds // 60) for r in df.collect()) == [(s, m) for s in "XY" for m in minutes]
+
+
+def test_paged_stream_goes_on_after_a_restart(spark, tmp_path):
+    spark.dataSource.register(paged.BarPages)
+    log = tmp_path / "asked"
+    start = paged.milliseconds(T0)
+    for minutes in (7, 7, 15):
+        options = {"fetch": "tests.test_bars:ranged_fetch", "symbols": "X", "url": "{symbol}|{start}|{stop}|{start}|" + str(log), "pause": "0", "width": str(5 * 60_000), "start": str(start), "stop": str(start + minutes * 60_000)}
+        stream = spark.readStream.format("bar_pages").options(**options).load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted((r.ts.replace(tzinfo=None) - T0).seconds // 60 for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == list(range(15))
+    asked = sorted({tuple((int(x) - start) // 60_000 for x in line.split()[1:]) for line in log.read_text().splitlines()})
+    assert asked == [(0, 5), (5, 7), (7, 12), (12, 15)]  # nothing twice
+
+
+def test_stored_series_need_no_exchange(spark, tmp_path):
+    bars = make(spark, walk(40)).unionByName(make(spark, walk(30, 2), "b"))
+    stored = sources.store_series(bars, "stored_series_test", str(tmp_path / "bars"), 4)
+    out = ind._stoch_flags(stored)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and out.count() == 70
+    joined = stored.join(stored.groupBy("symbol", "tf").agg(F.max("close").alias("top")), ["symbol", "tf"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_table_functions(spark):
+    assert tables.register_tables(spark) == ["hop_select", "movements"]
+    rows = [("a", 0, 5), ("a", 3, 4), ("a", 5, 9), ("b", 1, 2), (None, 7, 8), (None, 7, 9), ("a", 6, 7), ("a", 9, 9)]
+    df = spark.createDataFrame(rows, "g string, s int, e int")
+    df.createOrReplaceTempView("some_intervals")
+    got = spark.sql("SELECT * FROM hop_select(TABLE(some_intervals), 'g', 's', 'e', 0)").collect()
+    assert sorted(map(str, got)) == sorted(map(str, hop.hop_select(df, ["g"], "s", "e").collect()))
+    with pytest.raises(Exception, match="no column x"):
+        spark.sql("SELECT * FROM hop_select(TABLE(some_intervals), 'g', 'x', 'e', 0)").collect()
+    bars = structure.structure(make(spark, walk(200, 5)), {"1H": 3})
+    bars.createOrReplaceTempView("some_bars")
+    got = spark.sql("SELECT * FROM movements(TABLE(some_bars), 2.0D)").collect()
+    assert sorted(map(str, got)) == sorted(map(str, movements.movements(bars, {"1H": 2.0}).collect())) and len(got) > 2
+
+
 def test_missing_ranges(spark):
     bars = make(spark, [1, 2, 3])
     day = timedelta(days=1)
@@ -192,6 +302,28 @@ def test_signals_are_chosen_from_the_table(spark):
     assert signals.chosen_signals(table.limit(0)) == ([], [])
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 40, 1 << 16])
+def test_hop_select_in_chunks_equals_streaming(spark, chunk):
+    r = random.Random(chunk)
+    for gap, longest in ((0, 6), (1, 90), (0, 400)):
+        rows = [(g, s, s + r.randrange(0 if gap else 1, longest)) for g in ("a", "b", None) for s in r.choices(range(300), k=80)]
+        wanted, free = [], {}
+        for g, s, e in sorted(rows, key=lambda x: (str(x[0]), x[1], x[2])):
+            if s >= free.get(g, -1):
+                wanted.append((g, s, e))
+                free[g] = e + gap
+        df = spark.createDataFrame(rows, "g string, s int, e long").repartition(3)
+        key = lambda x: (str(x[0]), x[1], x[2])
+        assert sorted((tuple(x) for x in hop.hop_select(df, ["g"], "s", "e", gap, chunk).collect()), key=key) == sorted(wanted, key=key)
+
+
+def test_hop_select_deals_one_group_to_many_tasks(spark):
+    df = spark.range(64_000).selectExpr("'a' as g", "id as s", "id + 3 as e")
+    out = hop.hop_select(df, ["g"], "s", "e", chunk=1000)
+    assert [r.s for r in out.orderBy("s").collect()] == list(range(0, 64_000, 3))
+    assert "hashpartitioning(g" in out._jdf.queryExecution().toString() and "_chunk" in out._jdf.queryExecution().toString()
+
+
 def test_hop_select_is_greedy(spark):
     r = random.Random(4)
     rows = sorted((g, s, s + r.randrange(1, 9)) for g in "ab" for s in r.sample(range(100), 30))
@@ -213,6 +345,75 @@ def test_swings_and_both_on_one_bar(spark):
     assert kinds == ["SL", "NONE", "SL", "NONE", "NONE", "NONE"]
 
 
+@pytest.mark.parametrize("block", [64, 1 << 16])
+def test_swings_in_blocks(spark, block):
+    df = make(spark, walk(300, 6)).cache()
+    a, b = (structure.swing_candidates(df, {"1H": 4}, n).orderBy("ts").select("ts", "is_high", "is_low", "_known").collect() for n in (block, 1 << 20))
+    assert a == b and sum(r.is_high for r in a) > 5
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_movements_in_chunks_equal_one_run(spark, seed):
+    """Borders in every place: events and prices at random, chunks of 7 to 50 bars."""
+    r = random.Random(seed)
+    rows = []
+    for symbol in "ab":
+        price = 100.0
+        for i in range(120):
+            before, price = price, price * (1 + r.uniform(-0.02, 0.02))
+            bos, choch = r.choice(["NONE"] * 8 + ["BOS_BULL", "BOS_BEAR"]), r.choice(["NONE"] * 12 + ["CHOCH_ALCISTA", "CHOCH_BAJISTA"])
+            rows.append((symbol, "1H", T0 + timedelta(hours=i), before if i % 11 else None, max(before, price), min(before, price), None if i % 17 == 5 else price, bos, choch))
+    df = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp_ntz, open double, high double, low double, close double, bos_event string, choch_event string").cache()
+    for threshold in (1.5, 9.0):
+        whole = sorted(tuple(x) for x in movements.movements(df, {"1H": threshold}).collect())
+        direct = []
+        for symbol in "ab":
+            m, own = movements.Machine("1H", threshold), [x for x in rows if x[0] == symbol and x[6] is not None]
+            for k, (_, _, ts, _, high, low, close, bos, choch) in enumerate(own):
+                following = own[k + 1][3] if k + 1 < len(own) else None
+                done = m.step(ts, high, low, close, close if following is None else following, bos, choch)
+                direct += [(symbol, "1H", *done)] if done else []
+            done = m.close(own[-1][2], own[-1][6], "FIN_DATOS") if m.direction else None
+            direct += [(symbol, "1H", *done)] if done else []
+        assert whole == sorted(direct)
+        for chunk in (7, 50) if threshold == 1.5 else (13,):
+            assert sorted(tuple(x) for x in movements.movements(df, {"1H": threshold}, chunk).collect()) == whole
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_first_reaching(seed):
+    rng = np.random.default_rng(seed)
+    values = rng.integers(0, 9, int(rng.integers(1, 40))).astype(float)
+    start, level = rng.integers(0, len(values) + 1, 200), rng.integers(0, 11, 200).astype(float)
+    wanted = [next((j for j in range(s, len(values)) if values[j] >= x), len(values)) for s, x in zip(start, level)]
+    assert signals.first_reaching(values, start, level).tolist() == wanted
+
+
+@pytest.mark.parametrize("chunk", [3, 16, 1 << 16])
+def test_first_hit_equals_brute_force(spark, chunk):
+    closes = walk(90, 9)
+    for hold in (1, 5, 40):
+        got = signals.first_hit(with_position(make(spark, closes)), 0.015, 0.02, hold, chunk).orderBy("ts").collect()
+        for i, row in enumerate(got):
+            if i + hold >= len(closes):
+                assert row.long is None and row.short is None
+                continue
+            for sign, hit in ((1, row.long), (-1, row.short)):
+                win, lose = closes[i] * (1 + sign * 0.015), closes[i] * (1 - sign * 0.02)
+                found = next(((k, price, why) for k in range(i + 1, i + hold + 1) for price, why, met in ((win, "TP", sign * closes[k] >= sign * win), (lose, "SL", sign * closes[k] <= sign * lose)) if met), (i + hold, closes[i + hold], "TIME"))
+                assert (hit.exit, hit.price, hit.reason) == found
+
+
+def test_quantile_by_histograms(spark):
+    r = random.Random(2)
+    for values in ([7], [3, 3, 3], [-5, 10**15, None, 2], [r.randrange(-(10**15), 10**15) for _ in range(400)], [r.randrange(9) for _ in range(50)], [None]):
+        df = spark.createDataFrame([(v,) for v in values], "x long").repartition(3)
+        for q in (0.0, 0.5, 0.75, 1.0):
+            assert mining.quantile(df, "x", q) == df.agg(F.percentile("x", F.lit(q))).first()[0]
+    known = sorted(r.randrange(10**6) for _ in range(300))
+    assert mining.nth_values(spark.createDataFrame([(v,) for v in known], "x long"), "x", [0, 150, 299], bins=4) == [known[0], known[150], known[299]]
+
+
 def machine(events, threshold=1e9):
     m = movements.Machine("1H", threshold)
     done = []
