@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from barloom.catalogue import HOLDOUT_GAP, HOLDOUT_QUANTILE, HOLDOUT_WR, MAX_WR_STD, MIN_COUNT, MIN_COUNT_GLOBAL, MIN_EDGE_SHARE, OVERLAP, WINDOWS, WR_EDGE
 
 PATTERN = ["variable", "value", "tf", "direccion"]
+#: Means over training rows only.
+TRAIN = {"mag_media_train": "magnitud_pct", "dur_media_train": "duracion_min", "mfe_media_train": "mfe_pct", "mae_media_train": "mae_pct"}
 
 
 def classify(df: DataFrame, columns: list[str]) -> tuple[list[str], list[str]]:
@@ -85,7 +87,8 @@ def mine(rows: DataFrame, flags: list[str], categories: list[str] = (), minimum:
     All patterns are counted in one pass over grouping sets.  With ``holdout`` rows up to the 75 %
     quantile of start times train and later ones validate: patterns with too few training rows go,
     those with too few later ones are PENDIENTE_VALIDACION, those whose win rate is below 0.55 or
-    more than 0.10 below that of training go.
+    more than 0.10 below that of training go.  Beside the means over all rows there are those of the training rows
+    alone (``n_train`` and the names that end in _train), which know nothing of what validates.
     """
     keep = ["tf", "direccion", "timestamp_inicio", "continuacion", "magnitud_pct", "duracion_min", "mfe_pct", "mae_pct", "rebote_fib", "fib_agotamiento"]
     judged = rows.where("continuacion != 'ULTIMO'")
@@ -96,17 +99,18 @@ def mine(rows: DataFrame, flags: list[str], categories: list[str] = (), minimum:
         F.count(F.lit(1)).alias("n"), _wins().alias("winrate"), F.avg("magnitud_pct").alias("mag_media"), F.stddev_samp("magnitud_pct").alias("mag_std"), F.avg("duracion_min").alias("dur_media"),
         F.avg("mfe_pct").alias("mfe_media"), F.avg("mae_pct").alias("mae_media"), F.mode("rebote_fib", True).alias("rebote_fib_frecuente"), F.mode("fib_agotamiento", True).alias("fib_agot_frecuente"),
         F.count_if("_early").alias("n_train"), _wins(F.col("_early")).alias("wr_train"), _wins(~F.col("_early")).alias("wr_valid"),
+        *[F.avg(F.when(F.col("_early"), F.col(x))).alias(name) for name, x in TRAIN.items()],
     ]
     sets = facts.groupingSets([["variable", "value", "direccion"], PATTERN], *PATTERN).agg(*measures)
     found = sets.withColumn("_min", least_count() if minimum is None else minimum).where("n >= _min")
     if not holdout:
-        return found.drop("_min", "n_train", "wr_train", "wr_valid")
+        return found.drop("_min", "n_train", "wr_train", "wr_valid", *TRAIN)
     n_valid = F.col("n") - F.col("n_train")
     pending = n_valid < F.greatest(F.lit(3), F.floor(F.col("_min") / 5))
     good = (F.col("wr_valid") >= HOLDOUT_WR) & (F.col("wr_train") - F.col("wr_valid") <= HOLDOUT_GAP)
     found = found.where((F.col("n_train") >= F.col("_min")) & (pending | good))
     found = found.withColumns({"estado": F.when(pending, "PENDIENTE_VALIDACION").otherwise("VALIDADO"), "wr_valid": F.when(~pending, F.col("wr_valid"))})
-    return found.drop("_min", "n_train")
+    return found.drop("_min")
 
 
 def windows_of(total: int, n: int = WINDOWS, overlap: float = OVERLAP, rolling: bool = False) -> list[tuple[int, int, int]]:
@@ -153,7 +157,7 @@ def match(patterns: DataFrame, state: DataFrame, flags: list[str], categories: l
     """The patterns whose predicate holds in ``state`` (one row, or one for each symbol)."""
     keep = [c for c in ("symbol",) if c in state.columns]
     active = long_form(state, flags, categories, keep)
-    return patterns.join(F.broadcast(active), ["variable", "value"])  # one state row for each symbol and as many rows as it has flags
+    return patterns.join(active, ["variable", "value"])  # Spark sends the smaller side if it is small enough
 
 
 def overlap(patterns: DataFrame, state: DataFrame, flags: list[str], first: int = 5) -> DataFrame:

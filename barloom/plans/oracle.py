@@ -152,6 +152,7 @@ ORACLE["asof_state"] = (
     + " FROM t_b "
     + " ".join(f"ASOF LEFT JOIN (SELECT * FROM b WHERE tf = '{tf}') s{tf} ON t_b.symbol = s{tf}.symbol AND t_b.ts >= s{tf}.ts" for tf in _TFS)
 )
+ORACLE["asof_bars"] = f"WITH {bars('e', '15M')} SELECT t_b.seq, b.close FROM t_b ASOF LEFT JOIN b ON t_b.symbol = b.symbol AND t_b.ts >= b.ts"
 ORACLE["asof_chunked"] = f"WITH {bars('e', '4H')} SELECT t_b.seq, b.ts AS bar_ts, b.close FROM t_b ASOF LEFT JOIN b ON t_b.symbol = b.symbol AND t_b.ts > b.ts"
 
 LEGS = f"""g0 AS (SELECT *, CASE WHEN close > open THEN 'LONG' ELSE 'SHORT' END AS direccion FROM b), g1 AS (SELECT *, lag(direccion) OVER ({W}) AS before FROM g0),
@@ -278,7 +279,8 @@ STATED = f"""{OUTCOMES}, o1 AS MATERIALIZED (SELECT o0.*, CASE WHEN nb IS NULL T
     facts AS MATERIALIZED ({' UNION ALL '.join(f"SELECT judged.*, '{f}' AS variable, '1' AS value FROM judged WHERE {f} = 1" for f in FLAGS)}),
     timed AS MATERIALIZED (SELECT facts.*, (continuacion = 'CONTINUACION')::INT::DOUBLE AS win, epoch_us(timestamp_inicio) <= c AS early FROM facts, cut),
     sets AS MATERIALIZED (SELECT variable, value, tf, direccion, count(*) AS n, avg(win) AS winrate, avg(magnitud_pct) AS mag_media, stddev_samp(magnitud_pct) AS mag_std, avg(duracion_min) AS dur_media, avg(mfe_pct) AS mfe_media, avg(mae_pct) AS mae_media,
-            count(*) FILTER (early) AS n_train, avg(win) FILTER (early) AS wr_train, avg(win) FILTER (NOT early) AS wr_valid
+            count(*) FILTER (early) AS n_train, avg(win) FILTER (early) AS wr_train, avg(win) FILTER (NOT early) AS wr_valid,
+            avg(magnitud_pct) FILTER (early) AS mag_media_train, avg(duracion_min) FILTER (early) AS dur_media_train, avg(mfe_pct) FILTER (early) AS mfe_media_train, avg(mae_pct) FILTER (early) AS mae_media_train
         FROM timed GROUP BY GROUPING SETS ((variable, value, direccion), (variable, value, tf, direccion))),
     mined AS MATERIALIZED (SELECT *, CASE tf WHEN '1D' THEN 5 WHEN '4H' THEN 5 WHEN '1H' THEN 10 ELSE 10 END AS least FROM sets WHERE n >= CASE tf WHEN '1D' THEN 5 WHEN '4H' THEN 5 WHEN '1H' THEN 10 ELSE 10 END)"""
 
@@ -295,6 +297,8 @@ ORACLE["mine_patterns"] = f"""{STATED}, {mode('rebote_fib', 'm1')}, {mode('fib_a
            m1.rebote_fib AS rebote_fib_frecuente, m2.fib_agotamiento AS fib_agot_frecuente FROM mined m LEFT JOIN m1 {_SAME.format('m1')} LEFT JOIN m2 {_SAME.format('m2')}"""
 HELD = f"""{STATED}, held AS (SELECT *, n - n_train < greatest(3, floor(least / 5)) AS pending FROM mined WHERE n_train >= least),
     good AS (SELECT variable, value, tf, direccion, n, winrate, wr_train, CASE WHEN NOT pending THEN wr_valid END AS wr_valid, CASE WHEN pending THEN 'PENDIENTE_VALIDACION' ELSE 'VALIDADO' END AS estado FROM held WHERE pending OR (wr_valid >= 0.55 AND wr_train - wr_valid <= 0.10))"""
+ORACLE["train_statistics"] = f"""{HELD} SELECT m.variable, m.value, m.tf, m.direccion, m.n, n_train, round(mag_media_train, 3) AS mag_media_train, round(dur_media_train, 3) AS dur_media_train, round(mfe_media_train, 3) AS mfe_media_train,
+    round(mae_media_train, 3) AS mae_media_train FROM held m JOIN good ON m.variable = good.variable AND m.value = good.value AND m.direccion = good.direccion AND m.tf IS NOT DISTINCT FROM good.tf"""
 ORACLE["temporal_holdout"] = f"{HELD} SELECT variable, value, tf, direccion, n, round(winrate, 4) AS winrate, round(wr_train, 4) AS wr_train, round(wr_valid, 4) AS wr_valid, estado FROM good"
 _PATRON = "variable || '==' || value || coalesce('@' || tf, '') AS patron"
 ORACLE["summary_table"] = f"{HELD} SELECT {_PATRON}, direccion, n, round(winrate, 4) AS winrate, round(wr_valid, 4) AS wr_valid, estado FROM good"

@@ -209,6 +209,14 @@ def asof_state(spark, sf_dir):
     return df.select("seq", *[F.col(f"s_{tf}.{c}").alias(f"{c}_{tf}") for tf in ("15M", "1H", "4H", "1D") for c in ("close", "up")])
 
 
+@query
+def asof_bars(spark, sf_dir):
+    """Ticks with the close of the last 15-minute bar."""
+    right = events(spark, sf_dir, "15M").select("symbol", F.col("ts").alias("bar_ts"), "close")
+    df = asof.asof(sources.from_events(spark, sf_dir).select("symbol", "ts", "seq"), right, ["symbol"], "ts", "bar_ts", ["close"], "bar")
+    return df.select("seq", F.col("bar.close").alias("close"))
+
+
 @query
 def asof_chunked(spark, sf_dir):
     right = events(spark, sf_dir, "4H").select("symbol", F.col("ts").alias("bar_ts"), "close")
@@ -348,6 +356,13 @@ def temporal_holdout(spark, sf_dir):
     return rounded(df.select(*mining.PATTERN, "n", "winrate", "wr_train", "wr_valid", "estado"), ["winrate", "wr_train", "wr_valid"])
 
 
+@query
+def train_statistics(spark, sf_dir):
+    """Means of validated patterns over their training rows alone."""
+    df = mining.mine(stated_legs(spark, sf_dir), FLAGS)
+    return rounded(df.select(*mining.PATTERN, "n", "n_train", *mining.TRAIN), list(mining.TRAIN), 3)
+
+
 @query
 def robust_windows(spark, sf_dir):
     rows = stated_legs(spark, sf_dir)

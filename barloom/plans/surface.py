@@ -381,7 +381,7 @@ def _analysed() -> str:
     legs = f"legs AS MATERIALIZED (SELECT * REPLACE (symbol || '_' || mov_id AS mov_id, round_even(magnitud_pct, 4) AS magnitud_pct), duracion_barras * {by_tf(MINUTES, str)} AS duracion_min FROM mov)"
     linked = f"lp AS (SELECT *, {by_tf({a: repr(b) for a, b in PARENT.items()}, str)} AS ptf FROM legs), {LINK}"
     columns = lambda tf: [f'{flag(c)} AS "{n}"' for n, c in flags.items()]
-    states = ", ".join(f"s_{tf} AS MATERIALIZED (SELECT r_last.symbol, r_last.ts, {', '.join(columns(tf))}, st.estructura, st.bos_event, st.choch_event FROM r_last JOIN st USING (symbol, tf, pos) WHERE tf = '{tf}')" for tf in ANALYSED)
+    states = ", ".join(f"s_{tf} AS MATERIALIZED (SELECT r_last.symbol, r_last.ts, {', '.join(columns(tf))}, st.estructura, st.bos_event, st.choch_event FROM r_last JOIN (SELECT symbol, tf, pos, estructura, bos_event, choch_event FROM st) st USING (symbol, tf, pos) WHERE tf = '{tf}')" for tf in ANALYSED)
     said = lambda tf: [f"CASE WHEN s_{tf}.\"{n}\" = 1 THEN {{variable: '{tf}_{n}', value: '1'}} END" for n in flags] + [f"CASE WHEN s_{tf}.{c} NOT IN ('NONE', 'ULTIMO') THEN {{variable: '{tf}_{c}', value: s_{tf}.{c}}} END" for c in live.CATEGORIES]
     joins = " ".join(f"ASOF LEFT JOIN s_{tf} ON o1.symbol = s_{tf}.symbol AND o1.timestamp_inicio >= s_{tf}.ts" for tf in ANALYSED)
     stated = f"stated AS (SELECT o1.*, unnest([{', '.join(x for tf in ANALYSED for x in said(tf))}]) AS v FROM o1 {joins} WHERE continuacion <> 'ULTIMO')"
