@@ -110,13 +110,18 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+VERSION, LINE = re.compile(rb"WARC/\d{1,4}\.\d{1,4}\r\n"), re.compile(rb"\r\nWARC/\d{1,4}\.\d{1,4}\r\n")
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that starts at ``at`` and where it ends, or what is wrong with it."""
-    if not data.startswith(b"WARC/", at):
+    if not VERSION.match(data, at):
         return "no version line"
     head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
         return "no end of header"
+    if LINE.search(data, at, head_end + 2):
+        return "another version line in the header"
     fields = _fields(data[at:head_end])
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
@@ -145,7 +150,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
         "record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"),
         "refers_to_id": fields.get("warc-refers-to"), "payload_bytes": size, "payload_digest": payload_digest, "payload": None if revisit else payload,
         "checked": (digest.startswith("sha1:") or not revisit and declared.startswith("sha1:")) and fields.get("warc-type") in TYPES
-        and bool(re.fullmatch(r"<[!-;=?-~]+>", fields.get("warc-record-id", "")) and re.match(rb"WARC/\d\.\d\r\n", data[at : at + 10])),
+        and bool(re.fullmatch(r"<[!-;=?-~]+>", fields.get("warc-record-id", ""))),
     }
     return record, end + 4
 
@@ -170,17 +175,39 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int | None]:
     return b"".join(out), min(k, len(data)) - len(engine.unused_data) if engine.eof else None
 
 
+def _candidates(data: bytes, at: int) -> Iterator[int]:
+    """Places after ``at`` where a record may start again: version lines, in order.
+
+    Of the version lines before one end of a header the first, the last at the start of a line and the last of all count:
+    what stands between them has the same end and less of a header.  So each byte is looked at a few times only.
+    """
+    while found := VERSION.search(data, at):
+        first = found.start()
+        head_end = data.find(b"\r\n\r\n", first)
+        if head_end < 0:
+            return
+        wanted = {first}
+        for mark in (b"\r\nWARC/", b"WARC/"):
+            last = head_end + 2
+            while (last := data.rfind(mark, first + 1, last)) >= 0 and not VERSION.match(data, last + len(mark) - 5):
+                last += len(mark) - 1
+            if last >= 0:
+                wanted.add(last + len(mark) - 5)
+        yield from sorted(wanted)
+        at = head_end + 2
+
+
 def _plain(data: bytes, digests: bool = False) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record or reason of a gap) over uncompressed bytes; with ``digests`` a record counts only if it has one and a sound header."""
-    at, gap, reason = 0, None, ""
+    at, gap, reason, places = 0, None, "", iter(())
     while at < len(data):
         got = parse_record(data, at)
         if digests and not isinstance(got, str) and not got[0]["checked"]:
             got = "no digest or no sound header in a damaged gzip member"
         if isinstance(got, str):
             if gap is None:
-                gap, reason = at, got
-            at = data.find(b"WARC/", at + 1)
+                gap, reason, places = at, got, _candidates(data, at + 1)
+            at = next(places, -1)
             if at < 0:
                 break
             continue
