@@ -26,6 +26,8 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 HELD = 2
 #: Bytes of texts that are scanned at a time.
 SLICE = 4 << 20
+#: Items sharing a block from which on its windows are looked up instead of compared one by one.
+COMMON = 16
 #: A word in the original text.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -60,7 +62,9 @@ class Automaton:
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         patterns = {*whole, *around} - {()}
         for pattern in patterns:
-            self.trie.add_word(pattern, (len(pattern), whole.get(pattern), [(*sides, of) for sides, of in around.get(pattern, {}).items()]))
+            sides = around.get(pattern, {})
+            windows = _windows(sides, reach) if len(sides) > COMMON else None
+            self.trie.add_word(pattern, (len(pattern), whole.get(pattern), [] if windows else [(*side, of) for side, of in sides.items()], windows))
         self.any = bool(patterns)
         if self.any:
             self.trie.make_automaton()
@@ -72,7 +76,8 @@ class Automaton:
         items: set[str] = set()
         if self.any and found:
             own = tuple(map(self.numbers.get, found, repeat(0)))
-            for end, (length, whole, around) in self.trie.iter(own):
+            reach, seen = self.width - (self.width + 1) // 2, set()
+            for end, (length, whole, around, windows) in self.trie.iter(own):
                 start, end = end - length + 1, end + 1
                 if whole is not None:
                     hit.update(range(start, end))
@@ -82,9 +87,29 @@ class Automaton:
                     if b - a >= self.width:
                         hit.update(range(a, b))
                         items |= of
+                for left in range(max(0, reach - len(own) + end), min(reach, start) + 1) if windows else ():
+                    own_sides = (left, own[start - left : start] + own[end : end + reach - left])
+                    of = windows.get(own_sides)
+                    if of is not None:
+                        hit.update(range(start - left, end + reach - left))
+                        if (start_of := (length, own[start:end], own_sides)) not in seen:
+                            seen.add(start_of)
+                            items |= of
         return len(found), sorted(hit), items
 
 
+def _windows(sides: dict[tuple, set[str]], reach: int) -> dict[tuple, set[str]]:
+    """The windows around a block that many items share: words on its left and all words beside it, to the items that have them.
+
+    So an occurrence is looked up once for each place of the block in a window, however many items share it.
+    """
+    found: dict[tuple, set[str]] = defaultdict(set)
+    for (left, right), of in sides.items():
+        for k in range(max(0, reach - len(right)), min(reach, len(left)) + 1):
+            found[k, left[:k][::-1] + right[: reach - k]] |= of
+    return dict(found)
+
+
 def _alike(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     """How many items two sequences have in common from their start on."""
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
