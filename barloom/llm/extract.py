@@ -39,19 +39,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Parts of class names and ids of what isn't main text, as whole words of the name.
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|banner|announcement|topbar|toolbar|sponsor|sponsored|promo|cookie|cookies|cookiebar|cookiebanner|consent|gdpr|notice|newsletter|subscribe|popup|modal|overlay|"
-    r"comment|comments|commentlist|disqus|respond|replies|nav|navbar|topnav|sidenav|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|header|masthead|share|sharing|social|related|"
-    r"recommended|pagination|pager|login|search)(?=$|[-_\s])",
-    re.IGNORECASE,
-)
-#: Parts of such names that also count inside an article, where headers, sides and notes belong to it.
-INSIDE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|adslot|adsbygoogle|sponsor|sponsored|promo|cookie|cookies|cookiebar|cookiebanner|consent|gdpr|newsletter|subscribe|popup|modal|overlay|"
-    r"comment|comments|commentlist|disqus|respond|replies|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|widget|share|sharing|social|related|recommended|pagination|pager|login|search)(?=$|[-_\s])",
-    re.IGNORECASE,
+#: Words that class names and ids of what isn't main text end with.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adslot adsbygoogle banner announcement topbar toolbar sponsor sponsored promo cookie cookies cookiebar cookiebanner consent gdpr notice newsletter subscribe popup modal overlay "
+    "nav navbar topnav sidenav navigation menu breadcrumb breadcrumbs sidebar side aside widget footer header masthead share sharing social related recommended pagination pager login search".split()
 )
+#: Such words of what readers wrote.
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies review reviews discussion".split())
+#: Words that don't name a part of an article: inside it headers, sides, notes and banners belong to it.
+OUTER = frozenset("banner announcement topbar toolbar notice side aside footer header masthead".split())
+#: Words after a name that leave it what it is, and words before it that tell of something else.
+NEUTRAL = frozenset("area articles bar block body bottom box buttons col column container content form group head icons inner item items left link links list main module media news outer panel posts primary right row secondary section slot stories top unit wrap wrapper".split())
+ABOUT = frozenset("has with without no hide hides show shows is".split())
 #: Elements of running text: inside an article only a whole class name sets them aside.
 RUNNING = frozenset("p blockquote pre li dd dt td figcaption span b i em strong a".split())
 #: A comment, declaration or tag.  Quotes count after an equals sign only, and nothing is looked at twice.
@@ -65,45 +64,65 @@ _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 INSIDE, OUTSIDE, OTHER = 0, 1, 2
 
 
-def _aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is never main text; ``inside`` an article fewer names say so."""
-    if name in DROPPED and not (inside and name == "header"):
-        return True
-    if not attributes or name in HEADINGS:
-        return False
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_]+")
+
+#: What a marked element is: never main text, so by name, readers' comments, a form, an article or main part.
+HARD, NAMED, COMMENT, FORM, ARTICLE = 1, 2, 3, 4, 5
+
+
+def _attributes(source: str) -> dict[str, str]:
     own: dict[str, str] = {}
-    for key, *values in _ATTRIBUTE.findall(attributes):
+    for key, *values in _ATTRIBUTE.findall(source):
         own.setdefault(key.lower(), "".join(values))
-    if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES:
-        return name not in ("html", "body")
+    return own
+
+
+def _named(name: str, names: str, words: frozenset[str]) -> bool:
+    """Whether one of the class names or ids ``names`` is or ends with one of ``words``, or has only neutral words after it."""
+    for token in names.split():
+        parts = [p.lower() for p in _PARTS.findall(token)]
+        if not parts or ABOUT & set(parts[:-1]):
+            continue
+        if token.lower() in words or name not in RUNNING and (parts[-1] in words or parts[0] in words and all(p in NEUTRAL or p.isdigit() for p in parts[1:])):
+            return True
+    return False
+
+
+def _kind(name: str, attributes: str, inside: bool) -> int:
+    """How an element is marked, by itself alone; ``inside`` an article fewer elements and names count."""
+    if name in DROPPED and not (inside and name in ("header", "label")):
+        return FORM if name == "form" else HARD
+    own = _attributes(attributes) if attributes else {}
+    if name not in HEADINGS and name not in ("html", "body") and ("hidden" in own or own.get("aria-hidden", "").lower() == "true" or own.get("role", "").lower() in ROLES):
+        return HARD
     names = f"{own.get('class', '')} {own.get('id', '')}"
-    if name in ("html", "body", "article", "main") and "comment" not in names.lower():
-        return False
-    if not inside:
-        return bool(NAMES.search(names))
-    if name in RUNNING:
-        return any(INSIDE_NAMES.fullmatch(part) for part in names.split())
-    return bool(INSIDE_NAMES.search(names))
+    if name not in HEADINGS and name not in ("html", "body") and _named(name, names, COMMENTS):
+        return COMMENT
+    if name in ("article", "main"):
+        return ARTICLE
+    if name in HEADINGS or name in ("html", "body"):
+        return 0
+    return NAMED if _named(name, names, NAMES - OUTER if inside else NAMES) else 0
 
 
 def blocks(source: str | None) -> list[tuple[str, int]]:
     """(text, verdict) of a page's blocks in order: INSIDE an article or main part, OUTSIDE of what counts, OTHER (undecided).
 
-    The time is in proportion to the page, also where its markup is broken.
+    A name sets an element aside unless it holds an article, most of the page's text or its only first heading; a form,
+    too.  Readers' comments go as long as anything else is left.  The time is in proportion to the page, also where its markup is broken.
     """
     source = source or ""
-    stack: list[tuple[str, bool, bool]] = []  # (element, set aside, inside an article)
+    stack: list[tuple[str, int]] = []  # (element, mark)
     opened: Counter[str] = Counter()
-    out: list[tuple[str, int]] = []
+    parent, kind, inside = [-1], [0], [False]  # of each mark; the first is the page
+    out: list[tuple[str, int, bool]] = []  # (text, mark, in a first heading)
     parts: list[str] = []
-    state = (False, False)
-    any_article = False
 
     def flush() -> None:
         text = " ".join(html_module.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            out.append((text, OUTSIDE if state[0] else INSIDE if state[1] else OTHER))
+            out.append((text, stack[-1][1] if stack else 0, opened["h1"] > 0))
 
     def close(k: int) -> None:
         opened.subtract(s[0] for s in stack[k:])
@@ -123,37 +142,74 @@ def blocks(source: str | None) -> list[tuple[str, int]]:
         if not name:
             continue
         closing = source.startswith("</", tag.start())
-        if name in BLOCK or name in DROPPED:
+        above = stack[-1][1] if stack else 0
+        if name in BLOCK or name in DROPPED and not (name == "label" and inside[above]):
             flush()
         if closing:
             if opened[name]:
                 close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
-        else:
-            closes, stops = _CLOSES.get(name, {"p"} if name in BLOCK and name != "br" else set()), _STOPS.get(name, {"div", "article", "section", "main", "body", "td", "li"})
-            for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closes) else ():
-                if stack[k][0] in closes:
-                    close(k)
-                    break
-                if stack[k][0] in stops:
-                    break
-            if name in VOID or tag.group(2).endswith("/"):
-                pass
-            elif name in RAW:
-                stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
-                at = stop.end() if stop else n
-            else:
-                above = stack[-1] if stack else ("", False, False)
-                dropped = _aside(name, tag.group(2), above[2])
-                article = name in ("article", "main") and not dropped
-                any_article |= article and not above[1]
-                stack.append((name, above[1] or dropped, above[2] or article))
-                opened[name] += 1
-        top = stack[-1] if stack else ("", False, False)
-        state = (top[1], top[2])
+            continue
+        closes, stops = _CLOSES.get(name, {"p"} if name in BLOCK and name != "br" else set()), _STOPS.get(name, {"div", "article", "section", "main", "body", "td", "li"})
+        for k in range(len(stack) - 1, -1, -1) if any(opened[c] for c in closes) else ():
+            if stack[k][0] in closes:
+                close(k)
+                break
+            if stack[k][0] in stops:
+                break
+        if name in VOID or tag.group(2).endswith("/"):
+            continue
+        if name in RAW:
+            stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
+            at = stop.end() if stop else n
+            continue
+        mark = stack[-1][1] if stack else 0
+        found = _kind(name, tag.group(2), inside[mark])
+        if found:
+            parent.append(mark)
+            kind.append(found)
+            inside.append(inside[mark] or found == ARTICLE)
+            mark = len(kind) - 1
+        stack.append((name, mark))
+        opened[name] += 1
     flush()
-    if any_article:
-        out = [(text, OUTSIDE if verdict == OTHER else verdict) for text, verdict in out]
-    return out
+    return _verdicts(out, parent, kind)
+
+
+def _verdicts(out: list[tuple[str, int, bool]], parent: list[int], kind: list[int]) -> list[tuple[str, int]]:
+    """Decides over the marked elements of a page by what they hold, and so over its blocks."""
+    marks = range(len(kind))
+    never = [False] * len(kind)  # in an element that is set aside whatever it holds
+    for m in marks:
+        never[m] = kind[m] == HARD or m > 0 and never[parent[m]]
+    text, heading, article = ([0] * len(kind) for _ in range(3))
+    for block, m, first in out:
+        if not never[m]:
+            text[m] += len(block)
+            heading[m] += first
+    own_heading = list(heading)
+    for m in reversed(marks):
+        article[m] += kind[m] == ARTICLE and not never[m]
+        if m:
+            text[parent[m]] += text[m]
+            heading[parent[m]] += heading[m]
+            article[parent[m]] += article[m]
+    doubtful = [False] * len(kind)  # in something named or written by readers
+    for m in marks[1:]:
+        doubtful[m] = doubtful[parent[m]] or kind[m] in (NAMED, COMMENT, FORM)
+    titled = any(own_heading[m] for m in marks if not doubtful[m])
+    gone, within = list(never), [False] * len(kind)
+
+    def decide(comments: bool) -> None:
+        for m in marks[1:]:
+            holds = article[m] > 0 or 2 * text[m] > text[0] or kind[m] == NAMED and heading[m] > 0 and not titled
+            gone[m] = never[m] or gone[parent[m]] or kind[m] == COMMENT and comments or kind[m] in (NAMED, FORM) and not holds
+            within[m] = not gone[m] and (within[parent[m]] or kind[m] == ARTICLE)
+
+    decide(True)
+    if out and all(gone[m] for _, m, _ in out):
+        decide(False)  # nothing but comments is left
+    alone = any(within)
+    return [(block, OUTSIDE if gone[m] or alone and not within[m] else INSIDE if within[m] else OTHER) for block, m, _ in out]
 
 
 def repeated(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
@@ -250,11 +306,11 @@ def window_verdicts(streams: DataFrame, least: int, share: float) -> DataFrame:
     return streams.select("_page", "lengths", "undecided").join(places, "_page").mapInArrow(judge, "_page string, shared array<int>")
 
 
-def host_verdicts(streams: DataFrame, least: int, share: float, max_pages: int) -> DataFrame:
+def host_verdicts(streams: DataFrame, least: int, share: float, max_pages: int, max_tokens: int = 2_000_000) -> DataFrame:
     """(_page, shared): numbers of each page's blocks that are mostly covered by substrings its host repeats.
 
     ``streams``: _host, _page, lengths (array<int>), undecided (array<boolean>), tokens (array<long>) in
-    page order; only undecided blocks are listed.  A host of at most ``max_pages`` pages is one suffix
+    page order; only undecided blocks are listed.  A host of at most ``max_pages`` pages and ``max_tokens`` tokens is one suffix
     array; the windows of larger ones are compared over all tasks, with the same verdicts.
     """
 
@@ -267,13 +323,13 @@ def host_verdicts(streams: DataFrame, least: int, share: float, max_pages: int)
         found = [_listed(page, asked, own, share) for page, asked, own in zip(lengths, undecided, covered)]
         yield pa.RecordBatch.from_arrays([table["_page"].combine_chunks() if table["_page"].num_chunks != 1 else table["_page"].chunk(0), pa.array(found, pa.list_(pa.int32()))], ["_page", "shared"])
 
-    salted = streams.groupBy("_host", F.pmod(F.xxhash64("_page"), F.lit(64)).alias("_salt")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = checkpoint(salted.groupBy("_host").agg(F.sum("n").alias("_pages")))
+    salted = streams.groupBy("_host", F.pmod(F.xxhash64("_page"), F.lit(64)).alias("_salt")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens").cast("long")).alias("t"))
+    sizes = checkpoint(salted.groupBy("_host").agg(F.sum("n").alias("_pages"), ((F.sum("n") > max_pages) | (F.sum("t") > max_tokens)).alias("_large")))
     dealt = join_counted(streams, sizes, "_host", "_pages", streams.count())
-    small = dealt.where(F.col("_pages") <= max_pages).select("_host", "_page", "lengths", "undecided", "tokens").groupBy("_host").applyInArrow(run, "_page string, shared array<int>")
-    if sizes.where(F.col("_pages") > max_pages).isEmpty():
+    small = dealt.where(~F.col("_large")).select("_host", "_page", "lengths", "undecided", "tokens").groupBy("_host").applyInArrow(run, "_page string, shared array<int>")
+    if sizes.where("_large").isEmpty():
         return small
-    return small.unionByName(window_verdicts(dealt.where(F.col("_pages") > max_pages).drop("_pages"), least, share))
+    return small.unionByName(window_verdicts(dealt.where("_large").drop("_pages", "_large"), least, share))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 8, share: float = 0.5, max_pages: int = 1000, max_listed: int = 100_000) -> DataFrame:

@@ -75,6 +75,46 @@ def test_every_single_byte_of_damage_leaves_the_others():
         assert "<urn:page:0>" in found and "<urn:page:2>" in found
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<div class="content with-sidebar"><h1>T</h1><p>Main text</p></div>', "T\nMain text"),
+        ('<div id="page" class="has-header"><h1>T</h1><p>Main text</p></div>', "T\nMain text"),
+        ('<div class="page-menu-left"><h1>T</h1><p>Main text that goes on.</p><div class="menu-left">Home Shop</div></div>', "T\nMain text that goes on."),
+        ('<div class="page-header"><h1>Title</h1></div><div id="content"><p>Main text that goes on.</p></div>', "Title\nMain text that goes on."),
+        ('<div class="site-header"><h1>Shop</h1></div><div><h1>Title</h1><p>Main text that goes on.</p></div>', "Title\nMain text that goes on."),
+        ('<form method="post"><div class="top-nav">Home</div><article><h1>T</h1><p>Main</p></article></form>', "T\nMain"),
+        ('<form><p>All of the text stands in a form.</p></form><div class="footer">c 2024</div>', "All of the text stands in a form."),
+        ('<form>Mail <input></form><p>Main text that goes on.</p>', "Main text that goes on."),
+        ('<article><div class="social-history"><p>Long ago.</p></div><div class="related-work"><p>Others.</p></div><div class="social">Like</div></article>', "Long ago.\nOthers."),
+        ("<article><p>Press <label>Start</label> to go.</p></article>", "Press Start to go."),
+        ('<article><p>Main</p></article><div class="user-reviews"><article class="reply"><p>Me too</p></article><article><p>Nice</p></article></div>', "Main"),
+        ('<div class="userReviews"><p>Nothing but what readers wrote.</p></div>', "Nothing but what readers wrote."),
+        ('<div class="siteHeader">Shop</div><div class="nav_links2">Home</div><p>Main text that goes on.</p>', "Main text that goes on."),
+        ('<div class="article__header"><h2>Part</h2></div><p>Main text that goes on and on.</p><p class="notice-board">Kept.</p>', "Main text that goes on and on.\nKept."),
+    ],
+)
+def test_names_count_by_what_they_hold(html, text):
+    assert "\n".join(t for t, verdict in extract.blocks(html) if verdict != extract.OUTSIDE) == text
+
+
+@pytest.mark.parametrize("part", [b"WARC/ ", b"WARC/1.0\r\n", b"x WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"a: WARC/1.0\r\n", b"WARC/1.0\r\n\r\n", b"\r\n"])
+def test_salvage_takes_time_in_proportion(part):
+    """Ten megabytes of what may start a record, before, between and inside records."""
+    fill = part * (10_000_000 // len(part))
+    began = time.perf_counter()
+    assert names(record(1) + fill + record(2) + fill)[0] == ["<urn:page:1>", "<urn:page:2>"]
+    assert time.perf_counter() - began < 40  # both reads of 20 MB
+
+
+def test_a_record_begins_at_the_last_version_line():
+    """A header that is cut off gives a gap, and what follows it is read as it is."""
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:8>\r\n"
+    assert names(record(1) + cut + record(2)) == (["<urn:page:1>", "<urn:page:2>"], [(len(record(1)), len(cut))])
+    odd = record(2).replace(b"WARC-Type", b"Software: reads WARC/1.0\r\nWARC-Type", 1)
+    assert names(record(1) + b"garbage" + odd)[0] == ["<urn:page:1>", "<urn:page:2>"]
+
+
 def test_salvage_inside_a_gzip_member():
     parts = [record(i, random.Random(i).randbytes(3000)) for i in range(9)]
     broken = bytearray(b"".join(parts))
