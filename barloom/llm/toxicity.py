@@ -44,9 +44,7 @@ def fold_tables() -> tuple[np.ndarray, np.ndarray]:
     for code in range(65_536):
         if 0xD800 <= code < 0xE000:
             continue
-        form = unicodedata.normalize("NFKC", chr(code)).lower()
-        if len(form) == 1 and unicodedata.category(form)[0] in "LN":
-            plain[code] = ord(form)
+        plain[code] = _plain_letter(code)
     for letter, looks in HOMOGLYPHS.items():
         for look in looks:
             for form in (look, look.upper()):
@@ -57,13 +55,25 @@ def fold_tables() -> tuple[np.ndarray, np.ndarray]:
     return plain, stands
 
 
+def _plain_letter(code: int) -> int:
+    """The lower-case letter or digit that a code point stands for, such as that of a mathematical one; a blank for none."""
+    form = unicodedata.normalize("NFKC", chr(code)).lower()
+    return ord(form) if len(form) == 1 and unicodedata.category(form)[0] in "LN" else 32
+
+
 def fold(text: str | None) -> str:
     """The text as folded words between single blanks, one at either end."""
     if not text:
         return " "
     plain, stands = fold_tables()
-    raw = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 65_535)
-    out, other = plain[raw], stands[raw]
+    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    high = raw > 65_535
+    if high.any():
+        codes, at = np.unique(raw[high], return_inverse=True)
+        raw = raw.copy()
+        raw[high] = np.array([_plain_letter(int(code)) for code in codes], np.uint32)[at]
+    low = np.minimum(raw, 65_535)
+    out, other = np.where(raw > 65_535, raw, plain[low]), stands[low]
     letter = (out != 32) & (other == 0)
     sub = other != 0
     if sub.any():

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,36 @@ def test_blocks_find_what_windows_find():
         assert decontaminate.Automaton(items, width).scan(text) == (len(words), sorted(hit), found)
 
 
+def test_items_that_share_words(monkeypatch):
+    """Looking windows up around a common block finds what comparing items one by one finds, in time that the items don't multiply."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(20)]
+    items = [(f"i{k}", " ".join(common[: rng.randrange(8, 20)] + rng.choices("abc", k=rng.randrange(3, 12)))) for k in range(120)]
+    texts = [" ".join(rng.choices("abc", k=3) + common[rng.randrange(4) : rng.randrange(10, 20)] + rng.choices("abc", k=9)) for _ in range(80)] + [t for _, t in items[:20]]
+    found = {}
+    for least in (0, 16, 10**9):
+        monkeypatch.setattr(decontaminate, "COMMON", least)
+        finder = decontaminate.Automaton(items, 13)
+        found[least] = [finder.scan(t) for t in texts]
+    assert found[0] == found[16] == found[10**9] and sum(len(f[1]) > 0 for f in found[0]) > 20
+    monkeypatch.setattr(decontaminate, "COMMON", 16)
+    took = {}
+    for n in (1000, 4000):
+        finder = decontaminate.Automaton([(f"i{k}", " ".join(common[:9] + [f"w{k}", f"v{k}", f"u{k}", f"t{k}", f"s{k}"])) for k in range(n)], 13)
+        began = time.perf_counter()
+        finder.scan(" and ".join([" ".join(common[:9])] * 2000))
+        took[n] = time.perf_counter() - began
+    assert took[4000] < 3 * took[1000] + 0.05
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_contamination_of_odd_documents(spark, empty):
+    benchmark = spark.createDataFrame([("q", odd.A), (None, "one two"), ("n", None)], "item_id string, text string")
+    rows = decontaminate.contamination(odd.docs(spark, empty), benchmark).collect()
+    assert len(rows) == (0 if empty else len(odd.rows()))
+    assert {r.doc_id for r in rows if r.contaminated} == (set() if empty else {1, 5, 6, 8, 9, 11, None})
+
+
 def test_repeated_documents_give_a_row_each_with_many_shards(spark):
     passage = " ".join(f"q{i}" for i in range(20))
     items = [(1, passage), (2, "short item"), (3, "brown fox")]
@@ -275,6 +306,12 @@ def test_quality_judges_thin_length_classes_and_unknown_languages(spark):
     assert all(got[i].kept for i in [*range(204), 400, 401])
 
 
+def test_folding_of_all_planes():
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else chr(0x1D7CE + int(c)) if c.isdigit() else c for c in t)
+    assert toxicity.fold(bold("bad") + " bad") == " bad bad " and toxicity.fold(bold("b4d")) == " bad "
+    assert toxicity.fold("x\U00020000y \U0001F600 z") == " x\U00020000y z "
+
+
 def test_folding():
     assert toxicity.fold("You 1d10t, mоrоn! SCUM!! ｌｏｓｅｒ l0ser") == " you idiot moron scum loser loser "
     assert toxicity.fold(None) == " " and toxicity.fold("...") == "  "
