@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -65,6 +67,10 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         for at in range(0, n, step):
             yield batch.slice(at, step)
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":  # workers are used again by other stages, so what a task has freed goes back at its end
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 class Shared:
