@@ -11,15 +11,14 @@ these join the sharded tables; so a frequent n-gram is asked for once by a block
 text.  The answers meet the block's texts again (a third of their size, packed), where the log
 probabilities of all places are looked up and summed for each document.  Nothing is broadcast.
 
-A document is kept if its log perplexity lies between two fences, which come from quantiles of the
-trusted documents of its language and length class.  Both sides matter: noise is too surprising,
-endless repetition not surprising enough.
+A document is kept if its log perplexity lies between two limits from quantiles of the trusted documents
+of its language, as distances from their median; a distance counts by how far a mean over that many
+characters strays.  Both sides matter: noise is too surprising, endless repetition not surprising enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,10 @@ MARK = "\U0010ffff"
 ALPHABET = 0x110000
 #: Smallest step of a log perplexity in the histograms that quantiles are read from.
 STEP = 0.001
-#: Length classes: a text has less than 2 ** 32 characters.
-LENGTHS = 32
+#: Width of a bin of the distances from a median.
+WIDTH = 0.01
+#: Characters whose mean spreads as much by chance as whole documents differ.
+LEVEL = 4096
 
 
 def _numbered(codes: np.ndarray, size: int) -> np.ndarray:
@@ -238,100 +239,88 @@ def scored(docs: DataFrame, model: DataFrame, block_bytes: int = 16 << 20) -> Da
     return packed.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(score, f"{schema}, _n long, _nll double")
 
 
-def _length_class() -> Column:
-    return F.floor(F.log2(F.greatest(F.col("_n"), F.lit(1)).cast("double"))).cast("int")
-
-
 def _quantile(q: float) -> Column:
     return F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin")))
 
 
-def _ranked(bins: DataFrame, *keys: str) -> DataFrame:
+def _ranked(bins: DataFrame, key: str) -> DataFrame:
     """A histogram with running sums (``upto``) and sums (``total``) of each key."""
-    sums = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
-    own = Window.partitionBy(*keys)
+    sums = bins.groupBy(key, "bin").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(key)
     return sums.withColumns({"upto": F.sum("n").over(own.orderBy("bin")), "total": F.sum("n").over(own)})
 
 
-def _pooled(bins: DataFrame, least: int) -> DataFrame:
-    """Histograms of the distance from a median (``bin``) for every length class: its own, and where it has fewer than ``least`` documents also those of the nearest classes up to that number.
+def _spread() -> Column:
+    """How far a document's mean may stray: less the more characters it has, but texts of any length differ."""
+    return F.sqrt(1 / F.greatest(F.col("_n"), F.lit(1)) + F.lit(1 / LEVEL))
 
-    The mean over fewer characters spreads more, so distances of longer texts grow by the root of the ratio of lengths.
-    """
-    counts = bins.groupBy("len").agg(F.sum("n").alias("n")).withColumn("_for", F.explode(F.sequence(F.lit(0), F.lit(LENGTHS - 1))))
-    nearer = Window.partitionBy("_for").orderBy(F.abs(F.col("len") - F.col("_for"))).rangeBetween(Window.unboundedPreceding, -1)
-    uses = counts.withColumn("_nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0))).where(F.col("_nearer") < least)
-    wider = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("len") - F.col("_for")) / 2))
-    return bins.join(F.broadcast(uses.select("len", "_for")), "len").select(F.col("_for").alias("len"), F.round(F.col("bin") * wider).cast("long").alias("bin"), "n")
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= 100_000 else df
 
-def fences(scores: DataFrame, reach: float, tail: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Limits of ``_nll``: (lang, mid), (lang, len, low, high) and (len, below, above, bottom, top), the last for every length class.
 
-    ``mid`` is a language's median.  ``low`` and ``high`` lie ``reach`` times as far from the median of a
-    language's length class as its quantiles ``tail`` and 1 - ``tail`` do, where it has ``least``
-    documents; ``below`` and ``above`` are such limits of the distance from ``mid``, over all languages,
-    ``bottom`` and ``top`` those of ``_nll`` itself.  In these four a thin length class is pooled with the
-    nearest ones.  Quantiles are exact to STEP: they are read from histograms, never from a gathered list.
+def fences(scores: DataFrame, tail: float, least: int) -> tuple[DataFrame, tuple[float, float, float] | None]:
+    """(lang, mid, low, high) of each language in ``scores`` (lang, _n, _nll), and (mid, low, high) for a language not in it.
+
+    ``mid`` is a language's median of ``_nll``; ``low`` and ``high`` are the quantiles ``tail`` and 1 - ``tail``
+    of the distances from it, in units of :func:`_spread`.  A language of fewer than ``least`` documents takes
+    these two from the distances of all languages, each from its own median; one without any takes the
+    median and the distances of all.  Quantiles are exact to a bin: they are read from histograms, never
+    from a gathered list.
     """
-    bins = scores.where("_nll is not null").groupBy("lang", "len", F.round(F.col("_nll") / STEP).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = checkpoint(bins)
-    mids = _ranked(bins, "lang").groupBy("lang").agg(_quantile(0.5).alias("mid"))
-    away = lambda q: F.lit(reach) * F.greatest(F.abs(F.col(q) - F.col("q2")), F.lit(5))
-    limits = lambda ranked, fewest, *keys: (
-        ranked.groupBy(*keys).agg(F.first("total").alias("total"), _quantile(tail).alias("q1"), _quantile(0.5).alias("q2"), _quantile(1 - tail).alias("q3")).where(F.col("total") >= fewest)
-        .select(*keys, ((F.col("q2") - away("q1")) * STEP).alias("low"), ((F.col("q2") + away("q3")) * STEP).alias("high"))
-    )
+    known = scores.where("_nll is not null")
+    count = F.count(F.lit(1)).alias("n")
+    bins = checkpoint(known.groupBy("lang", F.round(F.col("_nll") / STEP).cast("long").alias("bin")).agg(count))
+    mids = checkpoint(_ranked(bins, "lang").groupBy("lang").agg((_quantile(0.5) * STEP).alias("mid")))
     # a bin is a thousandth of a log probability, so there are some 20,000 of these
-    whole = sorted(tuple(r) for r in bins.groupBy("bin").agg(F.sum("n")).collect())
-    half = sum(n for _, n in whole) / 2
-    middle = next((x for (x, _), upto in zip(whole, accumulate(n for _, n in whole)) if upto >= half), 0)
-    off = bins.join(mids, "lang").withColumn("bin", F.col("bin") - F.col("mid"))
-    every = limits(_ranked(_pooled(off, least), "len"), 1, "len").selectExpr("len", "low as below", "high as above")
-    raw = limits(_ranked(_pooled(bins.withColumn("bin", F.col("bin") - middle), least), "len"), 1, "len")
-    raw = raw.select("len", (F.col("low") + middle * STEP).alias("bottom"), (F.col("high") + middle * STEP).alias("top"))
-    return mids.select("lang", (F.col("mid") * STEP).alias("mid")), limits(_ranked(bins, "lang", "len"), least, "lang", "len"), every.join(raw, "len")
-
-
-def judged(docs: DataFrame, trusted_ids: DataFrame, reach: float, tail: float, least: int, max_ids: int, block_bytes: int) -> DataFrame:
+    middle = _ranked(bins.select(F.lit(0).alias("all"), "bin", "n"), "all").agg(_quantile(0.5) * STEP).first()[0]
+    if middle is None:
+        return mids.select("lang", "mid", F.col("mid").alias("low"), F.col("mid").alias("high")), None
+    cell = lambda own, lang, mid: F.struct(F.lit(own).alias("own"), lang.alias("lang"), F.floor((F.col("_nll") - mid) / _spread() / WIDTH).alias("bin"))
+    off = known.join(_few(mids), "lang").select(F.explode(F.array(cell(True, F.col("lang"), F.col("mid")), cell(False, F.lit(""), F.lit(middle)))).alias("cell"))
+    cells = checkpoint(off.groupBy("cell.own", "cell.lang", "cell.bin").agg(count))
+    limits = [(_quantile(tail) * WIDTH).alias("low"), ((_quantile(1 - tail) + 1) * WIDTH).alias("high")]
+    every = {r.own: r for r in _ranked(cells, "own").groupBy("own").agg(*limits).collect()}  # two rows
+    own = _ranked(cells.where("own"), "lang").groupBy("lang").agg(*limits, F.first("total").alias("total"))
+    pick = lambda side: F.when(F.col("total") >= least, F.col(side)).otherwise(F.lit(every[True][side])).alias(side)
+    return mids.join(own, "lang").select("lang", "mid", pick("low"), pick("high")), (middle, every[False].low, every[False].high)
+
+
+def judged(docs: DataFrame, trusted_ids: DataFrame, tail: float, margin: float, least: int, max_ids: int, block_bytes: int) -> DataFrame:
     """``docs`` (_id, more columns, _lang, _text) without the text, with ``_n``, ``_nll``, ``low``, ``high``, ``kept``."""
     ids = trusted_ids.distinct()
     ids = F.broadcast(ids) if ids.count() <= max_ids else ids
     among = lambda df: df.join(ids, F.col("_id") == F.col("_trusted"), "left_semi")
-    scores = checkpoint(scored(docs, train(among(docs.select("_id", "_text")), "_text"), block_bytes).withColumn("_len", _length_class()))
-    known = among(scores.select("_id", F.col("_lang").alias("lang"), F.col("_len").alias("len"), "_nll"))
-    mids, own, every = (checkpoint(x) for x in fences(known, reach, tail, least))
-    hint = F.broadcast if mids.count() + own.count() <= 100_000 else (lambda df: df)  # there are 32 length classes at most
-    found = scores.join(hint(mids.withColumnRenamed("lang", "_lang")), "_lang", "left")
-    found = found.join(hint(own.withColumnsRenamed({"lang": "_lang", "len": "_len"})), ["_lang", "_len"], "left")
-    found = found.join(F.broadcast(every.withColumnRenamed("len", "_len")), "_len", "left")
-    low, high = F.coalesce("low", F.col("mid") + F.col("below"), "bottom"), F.coalesce("high", F.col("mid") + F.col("above"), "top")
-    kept = F.coalesce(F.col("_nll").between(low, high), F.lit(True))
-    return found.select(*scores.columns, low.alias("low"), high.alias("high"), kept.alias("kept"))
+    scores = checkpoint(scored(docs, train(among(docs.select("_id", "_text")), "_text"), block_bytes))
+    own, rest = fences(among(scores.select("_id", F.col("_lang").alias("lang"), "_n", "_nll")), tail, least)
+    own = checkpoint(own.select(F.col("lang").alias("_lang"), F.col("mid").alias("_mid"), F.col("low").alias("_low"), F.col("high").alias("_high")))
+    mid, low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("_mid", "_low", "_high"), rest or (None, None, None)))
+    found = scores.join(_few(own), "_lang", "left").select(*scores.columns, (mid + margin * low * _spread()).alias("low"), (mid + margin * high * _spread()).alias("high"))
+    return found.withColumn("kept", F.coalesce(F.col("_nll").between(F.col("low"), F.col("high")), F.lit(True)))
 
 
 def _language(lang_col: str) -> Column:
     return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 5.0, tail: float = 0.05, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = 0.001, margin: float = 2.0, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: id, ``n_chars``, ``perplexity``, ``low``, ``high``, ``kept``.
 
     ``trusted_ids``: one column, ``_trusted``, the ids of the trusted documents; the model counts all
-    of them.  Perplexity is per character.  Where a language's length class has fewer than ``least``
-    trusted documents, its fences stand as far from the language's median as those of that length in
-    all languages do, pooled with the nearest lengths where there are fewer than ``least`` of it; a
-    language without trusted text has the fences of all trusted text.  So each document with text is
+    of them.  Perplexity is per character.  The limits are the quantiles ``tail`` and
+    1 - ``tail`` of a language's trusted documents, ``margin`` times as far from their median: the model has
+    seen these documents, so others that are as good are more surprising.  A language with fewer than ``least`` of them has the distances from the median
+    of all languages, and one without any the fences of all trusted text.  So each document with text is
     judged.  Null and empty texts have no perplexity and are kept, as is everything when nothing is
     trusted.  A null language is one of its own.  Repeated rows give a row each; repeated trusted ids
     count once.  A text of any length is scored whole.
     """
     rows = docs.select(F.col(id_col).alias("_id"), _language(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    found = judged(rows, trusted_ids, reach, tail, least, max_ids, block_bytes)
+    found = judged(rows, trusted_ids, tail, margin, least, max_ids, block_bytes)
     return found.select(F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.exp("_nll").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
-def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = 5.0, tail: float = 0.05, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", tail: float = 0.001, margin: float = 2.0, least: int = 25, max_ids: int = 4_000_000, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` that :func:`classify` keeps, columns as they are.
 
     A verdict depends on language and text alone, so rows are told by a hash of both; only rows that a
@@ -340,7 +329,7 @@ def drop_poor(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", t
     key = lambda lang, text: F.sha2(F.concat(F.length(lang).cast("string"), F.lit(":"), lang, F.coalesce(text, F.lit(""))), 256)
     rows = docs.select(F.col(id_col).alias("_id"), _language(lang_col).alias("_lang"), F.col(text_col).cast("string").alias("_text"))
     rows = rows.select("_id", key(F.col("_lang"), F.col("_text")).alias("_key"), "_lang", "_text")
-    poor = judged(rows, trusted_ids, reach, tail, least, max_ids, block_bytes).where("not kept")
+    poor = judged(rows, trusted_ids, tail, margin, least, max_ids, block_bytes).where("not kept")
     poor = checkpoint(poor.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")))
     packed = docs.select(key(_language(lang_col), F.col(text_col).cast("string")).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     safe, maybe = split_by(packed, "_key", poor.select("_key"))

@@ -8,7 +8,7 @@ import re
 import corpus_pipeline
 from barloom.llm.queries import vocabulary
 from tests.llm import odd
-from tests.llm.test_texts import contaminated_brute, kneser_ney
+from tests.llm.test_texts import contaminated_brute, fences_brute, kneser_ney
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -35,22 +35,14 @@ def fixture():
 
 
 def kept_by_quality(docs, trusted):
-    """The model by its definition, quantiles from sorted lists; all but a few documents share one length class of enough trusted ones."""
+    """The model by its definition, quantiles from sorted lists."""
     nll = kneser_ney([t for i, t, _ in docs if i in trusted and t])
-    scores = [(i, t, lang or "", round(nll(t), 9)) if t else (i, t, lang or "", None) for i, t, lang in docs]
+    scores = [(i, len(t or ""), lang or "", nll(t) if t else None) for i, t, lang in docs]
+    own, rest = fences_brute([(lang, n, x) for i, n, lang, x in scores if i in trusted])
     out = []
-    for i, t, lang, x in scores:
-        if x is None:
-            out.append(True)
-            continue
-        size = int(math.log2(len(t)))
-        known = sorted(round(s[3] / 0.001) for s in scores if s[0] in trusted and s[2] == lang and s[1] and int(math.log2(len(s[1]))) == size)
-        if len(known) < 25:
-            out.append(None)  # judged by pooled fences
-            continue
-        at = lambda q: known[math.ceil(q * len(known)) - 1]  # noqa: B023, E731
-        low, high = at(0.5) - 5 * max(at(0.5) - at(0.05), 5), at(0.5) + 5 * max(at(0.95) - at(0.5), 5)
-        out.append(low * 0.001 <= x <= high * 0.001)
+    for _, n, lang, x in scores:
+        mid, low, high = own.get(lang, rest)
+        out.append(x is None or 2 * low <= (x - mid) / math.sqrt(1 / n + 1 / 4096) <= 2 * high)
     return out
 
 
@@ -60,9 +52,9 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(1, len(words))))}
 
 
-def brute(docs, labels, benchmark, unsure):
-    """The documents that stay; ``unsure`` says which thin length classes were kept."""
-    kept = [d for d, k in zip(docs, kept_by_quality(docs, {i for i, good, _ in labels if good})) if (unsure(d) if k is None else k)]
+def brute(docs, labels, benchmark):
+    """The documents that stay."""
+    kept = [d for d, k in zip(docs, kept_by_quality(docs, {i for i, good, _ in labels if good})) if k]
     groups = {}
     for d in kept:
         groups.setdefault(SPACE.sub("", d[1] or ""), []).append(d)
@@ -94,10 +86,9 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     library.no_truncation()
     docs, labels, benchmark = fixture()
     write(spark, tmp_path, docs, labels, benchmark)
-    wanted = brute(docs, labels, benchmark, lambda d: True)
+    wanted = brute(docs, labels, benchmark)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    # pooled fences decide over 503 alone, which is too short for a class of its own
-    assert {i for i in got} | {503} == {d[0] for d in wanted} | {503}
+    assert set(got) == {d[0] for d in wanted}
     assert not {1, 7, 200, 204, 210, 211, 330, 400, 402} & set(got) and {301, 307, 10, 40, 500} <= set(got)
     for i, text, _ in wanted:
         if i in got:

@@ -256,14 +256,34 @@ def test_perplexity_equals_its_definition(spark, letters):
         assert all(math.isclose(got[i]._nll, wanted(t.replace("\0", chr(0xFFFD))), rel_tol=1e-9) if t else got[i]._nll is None for i, t in enumerate(asked))
 
 
-def test_fences_are_quantiles(spark):
+def fences_brute(rows, tail=0.001, least=25):
+    """What ``quality.fences`` gives for (lang, n, nll), from sorted lists."""
+    at = lambda values, q: sorted(values)[max(math.ceil(q * len(values) - 1e-9), 1) - 1]
+    rows = [(lang, n, x) for lang, n, x in rows if x is not None]
+    mid = {g: at([round(x / 0.001) for lang, _, x in rows if lang == g], 0.5) * 0.001 for g in {r[0] for r in rows}}
+    every = at([round(x / 0.001) for *_, x in rows], 0.5) * 0.001
+    off = lambda n, x, m: math.floor((x - m) / math.sqrt(1 / max(n, 1) + 1 / 4096) / 0.01)
+    limits = lambda z: (at(z, tail) * 0.01, (at(z, 1 - tail) + 1) * 0.01)
+    pooled = limits([off(n, x, mid[lang]) for lang, n, x in rows])
+    own = {}
+    for g in mid:
+        z = [off(n, x, mid[g]) for lang, n, x in rows if lang == g]
+        own[g] = (mid[g], *(limits(z) if len(z) >= least else pooled))
+    return own, (every, *limits([off(n, x, every) for _, n, x in rows]))
+
+
+@pytest.mark.parametrize("tail", [0.0, 0.001, 0.05, 0.2])
+def test_fences_are_quantiles(spark, tail):
     r = random.Random(8)
-    rows = [("ru", 9, round(r.gauss(2, 0.1), 3)) for _ in range(101)] + [("ja", 9, round(r.gauss(4, 0.3), 3)) for _ in range(57)]
-    own = {x.lang: x for x in quality.fences(spark.createDataFrame(rows, "lang string, len int, _nll double"), 5.0, 0.05, 25)[1].collect()}
-    for lang in ("ru", "ja"):
-        values = sorted(x[2] for x in rows if x[0] == lang)
-        at = lambda q: values[math.ceil(q * len(values)) - 1]  # noqa: B023, E731
-        assert math.isclose(own[lang].low, at(0.5) - 5 * (at(0.5) - at(0.05)), abs_tol=1e-6) and math.isclose(own[lang].high, at(0.5) + 5 * (at(0.95) - at(0.5)), abs_tol=1e-6)
+    size = lambda: r.choice([1, 7, 90, 700, 5000, 2_000_000])
+    rows = [("ru", size(), r.gauss(2, 0.1)) for _ in range(101)] + [("ja", size(), r.gauss(4, 0.3)) for _ in range(57)]
+    rows += [("", size(), r.gauss(3, 0.2)) for _ in range(9)] + [("xx", 12, 2.5), ("ru", 0, None), ("nn", 0, None)] + [("yy", 30, 3.25)] * 40
+    own, rest = quality.fences(spark.createDataFrame(rows, "lang string, _n long, _nll double"), tail, 25)
+    wanted, every = fences_brute(rows, tail)
+    got = {x.lang: (x.mid, x.low, x.high) for x in own.collect()}
+    assert set(got) == set(wanted) == {"ru", "ja", "", "xx", "yy"}
+    assert all(got[g] == pytest.approx(wanted[g], abs=1e-9) for g in got) and rest == pytest.approx(every, abs=1e-9)
+    assert quality.fences(spark.createDataFrame([("nn", 0, None)], "lang string, _n long, _nll double"), tail, 25)[1] is None
 
 
 def test_very_long_text_is_scored_whole(spark):
@@ -289,9 +309,11 @@ def test_quality_keeps_clean_and_drops_noise(spark):
     assert quality.drop_poor(docs, ids.limit(0)).count() == len(rows)
     assert quality.classify(docs.limit(0), ids).count() == 0
     assert quality.drop_poor(odd.docs(spark), ids).columns == odd.docs(spark).columns
+    strange = quality.classify(odd.docs(spark), ids).collect()
+    assert len(strange) == len(odd.rows()) and all(r.kept for r in strange if not r.n_chars)
 
 
-def test_quality_judges_thin_length_classes_and_unknown_languages(spark):
+def test_quality_judges_all_lengths_and_unknown_languages(spark):
     r = random.Random(4)
     syllables = "ta re mi so lun der king ing".split()
     good = lambda n: " ".join("".join(r.choice(syllables) for _ in range(r.randrange(1, 4))) for _ in range(n))
