@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.stored import checkpoint, shared_dir
 
-__all__ = ["Shared", "checkpoint", "join_counted", "shared_dir", "slices", "stored", "table", "without"]
+__all__ = ["Shared", "checkpoint", "give_back", "join_counted", "shared_dir", "slices", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,17 @@ def without(rows: DataFrame, gone: DataFrame, key: str, size: str, hot_groups: i
     return rows.join(F.broadcast(gone.where(hot).select(key)), key, "left_anti").join(gone.where(~hot).select(key), key, "left_anti")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: workers are used again by other stages, which shouldn't find it held."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``max_bytes``, one row at least; Arrow's free memory goes back at the end."""
+    """The same rows in record batches of about ``max_bytes``, one row at least; freed memory goes back at the end."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -66,11 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Itera
         step = max(1, int(n * max_bytes / max(batch.nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":  # workers are used again by other stages, so what a task has freed goes back at its end
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    give_back()
 
 
 class Shared:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import checkpoint, without
+from barloom.llm.common import checkpoint, give_back, without
 from barloom.llm.exact_dedup import split_by
 
 ORDER = 4
@@ -45,7 +45,7 @@ LEVEL = 4096
 
 def _numbered(codes: np.ndarray, size: int) -> np.ndarray:
     """Codes below ``size`` as numbers from 0 on, equal for equal codes."""
-    if size > 1 << 24:
+    if size > 1 << 22:
         return np.unique(codes, return_inverse=True)[1].astype(np.int64)
     place = np.zeros(size, bool)
     place[codes] = True
@@ -110,6 +110,7 @@ def _cut(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, block_bytes: int) -> Iterator[list[pa.RecordBatch]]:
@@ -220,6 +221,7 @@ def scored(docs: DataFrame, model: DataFrame, block_bytes: int = 16 << 20) -> Da
         for name in ("p", "mass"):
             some = found.filter(pc.is_valid(found[name]))
             tables.append(dict(zip(some["gram"].to_pylist(), some[name].to_pylist())))
+        del some
         if "" not in tables[0] or not packed.num_rows:
             raise RuntimeError("The documents changed between two reads; write them to a table first.")
         out = []
@@ -230,6 +232,8 @@ def scored(docs: DataFrame, model: DataFrame, block_bytes: int = 16 << 20) -> Da
                 sums = np.concatenate([[0.0], np.cumsum(grams.surprise(*tables)[grams.own()])])
                 mean = np.divide(sums[ends] - sums[ends - lengths], lengths, out=np.zeros(len(lengths)), where=lengths > 0)
                 out.append(pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lengths), pa.array(mean, mask=lengths == 0)], [*keep, "_n", "_nll"]))
+        del tables
+        give_back()
         return pa.Table.from_batches(out)
 
     asked = docs.mapInArrow(ask, "gram string, _block long")
