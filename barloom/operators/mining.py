@@ -118,6 +118,7 @@ def windows_of(total: int, n: int = WINDOWS, overlap: float = OVERLAP, rolling:
 
     As the fixed sizes have it, each window trains on 60 % and validates on what follows, so the later
     parts are suffixes of each other; ``rolling`` gives windows of equal length that move on instead.
+    Windows with an empty validation part are left out, so very few rows have none.
     """
     step, size, tail = int(total * (1 - overlap) / max(n - 1, 1)), int(total * 0.6), int(total * 0.4)
     if rolling:
@@ -125,7 +126,7 @@ def windows_of(total: int, n: int = WINDOWS, overlap: float = OVERLAP, rolling:
     out = []
     for i in range(n):
         middle = i * step + size
-        if middle >= total:
+        if middle >= total or tail == 0:
             break
         out.append((i, middle, min(middle + tail, total) - 1))
     return out
@@ -144,7 +145,7 @@ def robustness(rows: DataFrame, flags: list[str], patterns: DataFrame, n: int =
     borders = {r[0]: r[1] for r in placed.where(F.col("_pos").isin([p for _, a, b in spans for p in (a, b)])).select("_pos", "_us").collect()}
     limits = [F.struct(F.lit(i).alias("w"), F.lit(borders[a]).alias("a"), F.lit(borders[b]).alias("b")) for i, a, b in spans]
     facts = long_form(timed, flags, categories, keep=["tf", "direccion", "_us", "continuacion"])
-    facts = facts.withColumn("_w", F.explode(F.filter(F.array(*limits), lambda s: F.col("_us").between(s["a"], s["b"]))))
+    facts = facts.withColumn("_w", F.explode(F.filter(F.array(*limits).cast("array<struct<w:int,a:bigint,b:bigint>>"), lambda s: F.col("_us").between(s["a"], s["b"]))))
     rates = facts.groupBy("variable", "value", "direccion", F.col("_w.w").alias("w")).agg(F.count(F.lit(1)).alias("_n"), _wins().alias("wr")).where(F.col("_n") >= least)
     per = rates.groupBy("variable", "value", "direccion").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("w", "wr"))), lambda s: s["wr"]).alias("wr_ventanas"), F.stddev_pop("wr").alias("wr_std"), F.avg((F.col("wr") >= WR_EDGE).cast("double")).alias("pct_ventanas_edge")

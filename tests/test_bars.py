@@ -498,3 +498,13 @@ def test_report(spark):
     page = report.html_page("T", report.html_table(df, "x"), report.html_table(df.limit(0), "y"))
     assert "&lt;b&gt;" in page and "0.5000" in page and "No data." in page
     assert "pending" in report.match_text({"variable": "v", "value": "1", "tf": "1H", "direccion": "LONG", "n": 3, "winrate": 0.5, "wr_valid": None})
+
+
+@pytest.mark.parametrize("rolling", [False, True])
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_robustness_of_very_few_rows(spark, n, rolling):
+    rows = [("a", f"1H_{i}", "1H", "LONG", datetime(2024, 1, 1, i), "CONTINUACION", 1) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, mov_id string, tf string, direccion string, timestamp_inicio timestamp_ntz, continuacion string, up int")
+    patterns = spark.createDataFrame([("up", "1", "LONG")], "variable string, value string, direccion string")
+    assert all(0 <= a <= b < n for _, a, b in mining.windows_of(n, rolling=rolling))
+    assert [(r.variable, r.wr_ventanas, r.robusto) for r in mining.robustness(df, ["up"], patterns, rolling=rolling).collect()] == [("up", None, False)]
