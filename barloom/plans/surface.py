@@ -26,7 +26,7 @@ from barloom.plans.oracle import structure as structure_sql
 from barloom.plans.queries import FLAGS, SWINGS, THRESHOLDS, events, flagged, orders, stated_legs
 from barloom.sources import bars as sources
 from barloom.sources.paged import BarPages, ranges_option
-from barloom.sources.report import html_page, html_table, match_text
+from barloom.sources.report import html_page, html_table, match_text, table_rows
 from barloom.stored import checkpoint, shared_dir
 from barloom.streaming import bars as streaming
 from barloom.streaming import live
@@ -168,7 +168,7 @@ def report_page(spark, sf_dir):
     rows = []
     for title, d in parts.items():
         body = page.split(f"<h2>{title}</h2>")[1].split("</table>")[0]
-        rows.append((title, body.count("<tr>") - 1, all(f"<td>{r[0]}</td>" in body for r in d.collect())))
+        rows.append((title, table_rows(page, title), all(f"<td>{r[0]}</td>" in body for r in d.collect())))
     return spark.createDataFrame(rows, "title string, n_rows long, whole boolean")
 
 
@@ -414,5 +414,5 @@ def analysed_patterns(spark, sf_dir):
 def analysis_report(spark, sf_dir):
     """The report of the whole chain: sections of its page and their rows."""
     page = pipeline.report(analysed(spark, sf_dir))
-    rows = [(t, page.split(f"<h2>{t}</h2>")[1].split("</table>")[0].count("<tr>") - 1) for t in ("Movements", "Outcomes", "Patterns")]
+    rows = [(t, table_rows(page, t)) for t in ("Movements", "Outcomes", "Patterns")]
     return spark.createDataFrame(rows, "title string, n_rows long")

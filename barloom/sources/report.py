@@ -22,6 +22,11 @@ def html_table(df: DataFrame, title: str, rows: int = 500) -> str:
     return f"<h2>{escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
+def table_rows(page: str, title: str) -> int:
+    """The rows of the table under ``title`` in a page; none under a note."""
+    return page.split(f"<h2>{escape(title)}</h2>")[1].split("<h2>")[0].count("<tr><td>")
+
+
 def html_page(title: str, *tables: str) -> str:
     style = "body{font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 6px}"
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{style}</style></head><body><h1>{escape(title)}</h1>{"".join(tables)}</body></html>'

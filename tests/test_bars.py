@@ -508,3 +508,9 @@ def test_robustness_of_very_few_rows(spark, n, rolling):
     patterns = spark.createDataFrame([("up", "1", "LONG")], "variable string, value string, direccion string")
     assert all(0 <= a <= b < n for _, a, b in mining.windows_of(n, rolling=rolling))
     assert [(r.variable, r.wr_ventanas, r.robusto) for r in mining.robustness(df, ["up"], patterns, rolling=rolling).collect()] == [("up", None, False)]
+
+
+def test_rows_of_a_section_without_data(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    page = report.html_page("T", report.html_table(df.limit(0), "none"), report.html_table(df, "two"))
+    assert [report.table_rows(page, t) for t in ("none", "two")] == [0, 2]
