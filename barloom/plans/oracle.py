@@ -304,6 +304,8 @@ _PATRON = "variable || '==' || value || coalesce('@' || tf, '') AS patron"
 ORACLE["summary_table"] = f"{HELD} SELECT {_PATRON}, direccion, n, round(winrate, 4) AS winrate, round(wr_valid, 4) AS wr_valid, estado FROM good"
 ORACLE["top_k_patterns"] = f"{STATED} SELECT {_PATRON}, direccion, n FROM mined ORDER BY n DESC, patron, direccion LIMIT 20"
 ORACLE["predicate_parse"] = f"{STATED} SELECT {_PATRON}, direccion, variable, value, tf FROM mined"
+#: Halves to even; printf alone rounds the binary value, which is beside most decimal halves.
+FOUR_DIGITS = "printf('%.4f', round_even({}::DECIMAL(18, 12), 4))"
 ORACLE["robust_windows"] = f"""{STATED}, p AS (SELECT *, row_number() OVER (ORDER BY epoch_us(timestamp_inicio), tf, mov_id, symbol) - 1 AS place, count(*) OVER () AS total FROM o1),
     w0 AS (SELECT i AS w, i * (total * 0.5 / 4)::DOUBLE AS x, total FROM (SELECT count(*) AS total FROM o1), range(5) r(i)),
     w1 AS (SELECT w, w * floor(total * 0.5 / 4)::BIGINT + floor(total * 0.6)::BIGINT AS a, floor(total * 0.4)::BIGINT AS tail, total FROM w0),
@@ -311,7 +313,7 @@ ORACLE["robust_windows"] = f"""{STATED}, p AS (SELECT *, row_number() OVER (ORDE
     w3 AS (SELECT w, pa.timestamp_inicio AS lo, pb.timestamp_inicio AS hi FROM w2 JOIN p pa ON pa.place = a JOIN p pb ON pb.place = w2.b),
     af AS ({' UNION ALL '.join(f"SELECT direccion, timestamp_inicio, (continuacion = 'CONTINUACION')::INT::DOUBLE AS win, '{f}' AS variable FROM o1 WHERE {f} = 1" for f in FLAGS)}),
     rates AS (SELECT variable, direccion, w, avg(win) AS wr FROM af JOIN w3 ON timestamp_inicio BETWEEN lo AND hi GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-    per AS (SELECT variable, direccion, string_agg(printf('%.4f', wr), ',' ORDER BY w) AS wr_ventanas, stddev_pop(wr) AS s, avg((wr >= 0.55)::INT) AS e FROM rates GROUP BY 1, 2)
+    per AS (SELECT variable, direccion, string_agg({FOUR_DIGITS.format('wr')}, ',' ORDER BY w) AS wr_ventanas, stddev_pop(wr) AS s, avg((wr >= 0.55)::INT) AS e FROM rates GROUP BY 1, 2)
     SELECT m.variable, m.value, m.tf, m.direccion, m.n, wr_ventanas, round(s, 4) AS wr_std, round(e, 4) AS pct_ventanas_edge, coalesce(e >= 0.70 AND s <= 0.15, false) AS robusto FROM mined m LEFT JOIN per USING (variable, direccion)"""
 _NOW = "now_ AS (SELECT * FROM fl WHERE tf = '{}' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"
 ORACLE["match_current"] = f"""{STATED}, {_NOW.format('1H')}, active AS ({' UNION ALL '.join(f"SELECT symbol, '{f}' AS variable FROM now_ WHERE {f} = 1" for f in FLAGS)}) SELECT symbol, {_PATRON}, direccion, n FROM mined JOIN active USING (variable)"""

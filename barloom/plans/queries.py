@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.catalogue import FIB_RATIOS, ratio_name
@@ -363,11 +363,17 @@ def train_statistics(spark, sf_dir):
     return rounded(df.select(*mining.PATTERN, "n", "n_train", *mining.TRAIN), list(mining.TRAIN), 3)
 
 
+def four_digits(x: Column) -> Column:
+    """As text, halves to even, as the reference rounds the win rates of windows."""
+    return F.format_string("%.4f", F.bround(x, 4))
+
+
 @query
 def robust_windows(spark, sf_dir):
+    """Patterns with their win rates in each window, to four digits, halves to even."""
     rows = stated_legs(spark, sf_dir)
     df = mining.robustness(rows, FLAGS, mining.mine(rows, FLAGS, holdout=False))
-    wr = F.array_join(F.transform("wr_ventanas", lambda x: F.format_string("%.4f", x)), ",")
+    wr = F.array_join(F.transform("wr_ventanas", four_digits), ",")
     return df.select(*mining.PATTERN, "n", wr.alias("wr_ventanas"), F.round("wr_std", 4).alias("wr_std"), F.round("pct_ventanas_edge", 4).alias("pct_ventanas_edge"), "robusto")
 
 
