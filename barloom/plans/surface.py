@@ -259,7 +259,7 @@ def stream_upsert(spark, sf_dir):
     rows = sources.from_orders(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"), "o_orderstatus"), "seq")
     for status in (True, False):
         part = rows.where((F.col("o_orderstatus") == "F") == status).select("symbol", "ts", "price", "seq")
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
         source = spark.readStream.schema(schema).parquet(f"{path}/in")
         started = streaming.upsert_stream(source, f"{path}/table", f"{path}/state", schema, "month")
         started.processAllAvailable()

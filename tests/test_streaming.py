@@ -13,6 +13,7 @@ from barloom.plans.pipeline import matrix, states_of
 from barloom.sources.bars import latest
 from barloom.streaming import bars as streaming
 from barloom.streaming import live
+from tests.oracle import DATA, connect, difference
 from tests.test_bars import T0, make, walk
 
 TICK = "symbol string, ts timestamp, price double, volume double, seq long"
@@ -121,3 +122,18 @@ def test_live_states_equal_the_batch(spark, tmp_path, batches):
     for s in "ab":
         assert last[s].pop("late") == 0
         assert last[s] == wanted[s]
+
+
+def test_upsert_stream_reads_what_many_tasks_wrote(spark, tmp_path, monkeypatch):
+    from barloom.plans import surface
+
+    monkeypatch.setattr(surface, "place", lambda _: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = surface.QUERIES["stream_upsert"](spark, f"{DATA}/sf0.001").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(list((tmp_path / "in").glob("part-*"))) == 8  # four tasks for each of two micro-batches
+    assert difference(found, connect("sf0.001").sql(surface.ORACLE["stream_upsert"]).df()) == ""
