@@ -37,7 +37,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 16 << 20):
+        for batch in slices(batches, 4 << 20):
             lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
             pair = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(source.dictionary), 1) + source.indices.to_numpy(zero_copy_only=False)
             groups, group = np.unique(pair, return_inverse=True)

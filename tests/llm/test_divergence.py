@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from barloom.llm.divergence import audit
+from barloom.llm.divergence import audit, term_counts
 from tests.llm import odd
 
 
@@ -63,3 +63,9 @@ def test_odd_documents(spark):
     rows = [(r[1], r[2], r[3]) for r in odd.rows()]
     assert {tuple(r) for r in audit(odd.docs(spark), least=2).select("lang", "source", "part", "item", "value", "rank").collect()} == brute(rows, 2)
     assert audit(odd.docs(spark, empty=True)).count() == 0
+
+
+def test_counting_takes_a_few_megabytes_at_once(spark):
+    docs = spark.range(0, 12, 1, 1).selectExpr("'en' AS lang", "'a' AS source", "repeat('ab ', 350000) AS text")
+    found = term_counts(docs).where("term = 'ab'").collect()
+    assert len(found) >= 3 and sum(r.n for r in found) == 12 * 350_000 and sum(r.docs for r in found) == 12
